@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import packing, token_files
+from quarry.llm import html_text, jaccard_join, packing, quality, token_files, toxicity, url_rules
 from quarry.llm.common import table
 
 
@@ -15,14 +14,62 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=4096, end_id=2)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_tokens(table(spark, sf_dir, "documents"), end_id=1)
     return token_files.read_tokens(spark, path, with_ids=False)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents")).drop("node")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_html_text": op2_html_text,
+    "op3_toxicity": op3_toxicity,
     "op5_token_files": op5_token_files,
+    "op6_quality": op6_quality,
+    "op8_url_rules": op8_url_rules,
+    "op9_jaccard": op9_jaccard,
 }
 
-SQL: dict[str, str] = {}
+
+def _url_sql() -> str:
+    """The verdicts by plain string functions for the explicit rules, and the patterns as they are."""
+    rules = sorted(((len(r), r, v) for v, r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))), reverse=True)
+    fits = lambda r: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*r.split("/", 1))
+    names = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r, _ in rules)
+    verdicts = " ".join(f"WHEN {fits(r)} THEN '{v}'" for _, r, v in rules)
+    blocks = " OR ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in url_rules.PATTERNS)
+    return f"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url FROM pages
+), v AS (
+  SELECT page_id,
+    translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+)
+SELECT page_id, host, path, CASE {names} END AS rule,
+  CASE {verdicts} WHEN {blocks} THEN 'block' ELSE 'allow' END AS verdict
+FROM v"""
+
+
+SQL: dict[str, str] = {"op8_url_rules": _url_sql()}
