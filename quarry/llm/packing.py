@@ -28,7 +28,7 @@ from quarry.llm.tokens import default_tokenizer, word_ids
 STEP = 64
 SHARD = 2048
 POLY = 0xEDB88320
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
+PIECES = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 
 def _times(a: int, b: int) -> int:
@@ -129,16 +129,16 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, en
     shards = max(1, -(-sized.count() // SHARD))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n", "crcs"], kind="stable", ignore_index=True)
-        ids, lengths, base = pdf.doc_id.tolist(), pdf.n.to_numpy(np.int64), int(pdf.shard.iloc[0]) << 32
+        pdf = pdf.sort_values(["id", "n", "crcs"], kind="stable", ignore_index=True)
+        ids, lengths, base = pdf.id.tolist(), pdf.n.to_numpy(np.int64), int(pdf.shard.iloc[0]) << 32
         rows = []
         for d, start, n, seq, offset in pack_lengths(lengths, capacity, linear, quadratic):
             crcs = np.frombuffer(pdf.crcs.iat[d], "<u4")
             before, upto = int(crcs[start // STEP]), int(crcs[-(-(start + n) // STEP)])
             rows.append((ids[d], start, n, crc_of_suffix(before, upto, 4 * n), int(lengths[d]), base + seq, offset, linear * n + quadratic * n * n))
-        out = pd.DataFrame(rows, columns=[x.split(" ")[0] for x in PIECES.split(", ")])
-        out["doc_id"] = out.doc_id.astype("Int64")
-        return out
+        return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in PIECES.split(", ")])
 
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "crcs"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(place, PIECES)
+    shard = F.pmod(F.xxhash64("doc_id", "n", "crcs"), F.lit(shards)).alias("shard")
+    dealt = sized.select(F.col("doc_id").cast("string").alias("id"), "n", "crcs", shard)  # pandas has no integer column with nulls
+    pieces = dealt.groupBy("shard").applyInPandas(place, PIECES)
+    return pieces.select(F.col("id").cast("long").alias("doc_id"), *pieces.columns[1:])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import html_text, jaccard_join, packing, quality, suffix_dedup, token_files, toxicity, url_rules
+from quarry.llm import html_text, jaccard_join, near_vectors, packing, quality, suffix_dedup, token_files, toxicity, url_rules
 from quarry.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write_tokens(table(spark, sf_dir, "documents"), end_id=1)
     return token_files.read_tokens(spark, path, with_ids=False)
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
     "op3_toxicity": op3_toxicity,
+    "op4_near_vectors": op4_near_vectors,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_suffix_dedup": op7_suffix_dedup,
