@@ -1,16 +1,24 @@
-"""Exact encoding by the tokenizers library with a bounded cache of white-space separated words.
+"""Exact encoding by the tokenizers library, with a bounded cache of words.
 
-The tokenizer's pre-tokenizer never joins text across white space and its normaliser works inside words, so encoding
-each distinct word once gives the ids of the whole text. Space, tab, line feed and carriage return are the cuts used.
+For a tokenizer whose normaliser is NFC, white space to one space, lower case, and whose pre-tokenizer drops white space
+and cuts runs of letters from all else, a text's ids are those of its words one after another. Each distinct word is
+then encoded once: a plain word by the library's own model, a word and its end mark as the two, anything else by the
+whole tokenizer. Texts for other tokenizers are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
 _HELD: dict[str, "WordIds"] = {}
+_MARKS = frozenset(".,!?;:")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write a byte that has no visible character as the next free one from 256 on.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
+_KINDS = ["NFC", "Replace", "Lowercase"]
 
 
 def default_tokenizer() -> str:
@@ -22,21 +30,37 @@ def default_tokenizer() -> str:
 class WordIds(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes. Cleared at `limit` words, so its memory is bounded."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        steps, cuts = (spec.get("normalizer") or {}).get("normalizers", []), (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split = cuts[0].get("pattern", {}).get("Regex", "") if len(cuts) == 2 else ""
+        self.by_word = [s["type"] for s in steps] == _KINDS and split.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and cuts[0]["behavior"] == "Removed" and cuts[1]["type"] == "ByteLevel" and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if word.isalpha() and (low := word.lower()).isalpha() and (low.isascii() or max(low) < "ɐ"):
+            ids = self[low] if low != word else self._pack([t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES))])
+        elif len(word) > 1 and word[-1] in _MARKS and word[:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        else:
+            ids = self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(self) >= self.limit:
             self.clear()
         if len(word) <= 48:
             self[word] = ids
         return ids
 
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
         for c in "\n\t\r":
             if c in text:
                 text = text.replace(c, " ")
