@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import html_text, jaccard_join, near_vectors, packing, quality, suffix_dedup, token_files, toxicity, url_rules
+from quarry.llm import html_text, jaccard_join, mixing, near_vectors, packing, quality, suffix_dedup, token_files, toxicity, url_rules
 from quarry.llm.common import table
 
 
@@ -49,6 +49,17 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents")).drop("node")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixed.select("doc_id", "source", "tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate", "copies")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
@@ -59,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_url_rules": op8_url_rules,
     "op9_jaccard": op9_jaccard,
+    "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
 
 
