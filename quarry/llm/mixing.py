@@ -67,7 +67,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     gain = [F.when((F.col(f"c{k}") >= 4) & (lean[k] >= LEAN), lean[k] / spread[k]).otherwise(0.0) for k in (1, 2)]
     counted = seen.select("_y", F.explode("_terms").alias("term")).groupBy("term").agg(*has).withColumn("gain", F.greatest(*gain))
     for r in counted.where("gain > 0").orderBy(F.desc("gain"), "term").limit(TERMS).collect():
-        model["terms"].append((r.term, [log((r[f"c{k}"] + 0.5) / (n[k] + 1)) for k in range(3)]))
+        model["terms"].append((r.term, [(r[f"c{k}"] + 0.5) / (n[k] + 1) for k in range(3)]))
     for name, cuts in CUTS.items():
         got = {r[0]: r for r in seen.groupBy(f"_b_{name}").agg(*has).collect()}
         model["bins"][name] = [[log((got[b][f"c{k}"] + 0.5 if b in got else 0.5) / (n[k] + 0.5 * (len(cuts) + 1))) for k in range(3)] for b in range(len(cuts) + 1)]
@@ -78,15 +78,17 @@ def posterior(model: dict) -> list[Column]:
     """A column per domain, adding up to 1."""
     score = [F.lit(x) for x in model["prior"]]
     if model["terms"]:
-        # against the first domain, and pulled in, since terms of one text are not independent
-        odds = {t: [max(-6.0, min(6.0, w[k] - w[0])) for k in range(3)] for t, w in model["terms"]}
+        # against the first domain, and held in, since terms of one text are not independent
+        held = lambda x: max(-6.0, min(6.0, x))
+        odds = {t: [held(log(w[k] / (1 - w[k])) - log(w[0] / (1 - w[0]))) for k in range(3)] for t, w in model["terms"]}
+        absent = [held(sum(log((1 - w[k]) / (1 - w[0])) for _, w in model["terms"])) for k in range(3)]
         found = F.array_intersect("_terms", F.array(*[F.lit(t) for t in odds]))
 
         def total(book: Column) -> Column:
             return F.aggregate(found, F.lit(0.0), lambda s, t: s + book[t])
 
         for k in (1, 2):
-            score[k] = score[k] + total(F.create_map(*[x for t, w in odds.items() for x in (F.lit(t), F.lit(w[k]))]))
+            score[k] = score[k] + F.lit(absent[k]) + total(F.create_map(*[x for t, w in odds.items() for x in (F.lit(t), F.lit(w[k]))]))
     for name, rows in model["bins"].items():
         for k in range(3):
             score[k] = score[k] + F.element_at(F.array(*[F.lit(r[k]) for r in rows]), F.col(f"_b_{name}") + 1)
