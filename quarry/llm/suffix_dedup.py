@@ -2,9 +2,9 @@
 
 A byte goes if it lies in a string of `length` bytes that also starts anywhere else, in the same text or another.
 
-1. Anchors. In every window of `length` bytes the k-grams of least hash are its anchors, so equal windows have equal
-   anchors at equal places. An anchor that occurs once shows that no window around it repeats.
-2. Copies. Occurrences of an anchor whose whole neighbourhoods (all windows around it) are equal are one context; a
+1. Anchors. The first k-gram of least hash in a window of `length` bytes is its anchor, so equal windows have equal
+   anchors at equal places. An anchor that occurs once shows that no window it stands for repeats.
+2. Copies. Occurrences of an anchor for which the bytes of all windows it stands for are equal are one context; a
    context found twice repeats as a whole.
 3. Suffix arrays. The other contexts of anchors that occur more than once are dealt to shards by anchor. A shard sorts
    its suffixes by Larsson-Sadakane refinement in numpy, gets common prefixes as Kasai does, and windows whose common
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import U64, Stash, mix
 
-GRAM = 48
+GRAM = 32
 SLICE = 1 << 18
 MOST = 8192
 SHARD_BYTES = 2_000_000
@@ -55,11 +55,14 @@ def _slide(h: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, anchor hash, context hash) in the joined bytes of texts that end at `ends`, by ascending position."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, context hash, lo, hi) in the joined bytes of texts that end at `ends`, in text order.
+
+    lo and hi bound the bytes of all windows of which this gram is the first of least hash, so each window has one.
+    """
     n, wide = len(data), length - GRAM + 1
     if n < length:
-        return (np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, U64))
+        return (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     power, inverse = _powers(n + 1)
     sums = np.concatenate([np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(1)) * power[:n])])
     grams = n - GRAM + 1
@@ -73,39 +76,52 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     edge = np.zeros(wide - 1, U64)
     most = _slide(np.concatenate([edge, least, edge]), wide, np.maximum)
     p = np.flatnonzero(most == h)
-    begin = np.repeat(begins, ends - begins)[p]
-    lo, hi = np.maximum(p - (length - GRAM), begin), np.minimum(p + length, stop[p])
+    if not len(p):
+        return (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    hp, text = h[p], np.searchsorted(ends, p, side="right")
+    first, last = np.maximum(begins[text], p - wide + 1), np.minimum(p, ends[text] - length)
+    for step, edge_of in ((-1, first), (1, last)):  # the nearest gram of lower hash (or, before it, of the same) ends the range
+        todo, other = np.arange(len(p)), np.arange(len(p)) + step
+        while True:
+            inside = (other >= 0) & (other < len(p))
+            todo, other = todo[inside], other[inside]
+            near = np.abs(p[other] - p[todo]) < wide
+            todo, other = todo[near], other[near]
+            if not len(todo):
+                break
+            ends_it = hp[other] <= hp[todo] if step < 0 else hp[other] < hp[todo]
+            i, j = todo[ends_it], other[ends_it]
+            edge_of[i] = np.maximum(edge_of[i], p[j] + 1) if step < 0 else np.minimum(edge_of[i], p[j] - wide)
+            todo, other = todo[~ends_it], other[~ends_it] + step
+    good = first <= last
+    p, hp, lo, hi = p[good], hp[good], first[good], last[good] + length
     c = mix((sums[hi] - sums[lo]) * inverse[lo]) ^ mix(((p - lo) * 4096 + (hi - p)).astype(U64))
-    return p, h[p], mix(c)
+    return hp, mix(c), lo, hi
 
 
-def text_anchors(batch: list[tuple[int, bytes]], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index, positions, anchors, contexts) of each text of at least `length` bytes; long texts go slice by slice."""
+def text_anchors(batch: list[tuple[int, bytes]], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, anchors, contexts, lo, hi) of each text of at least `length` bytes; long texts go slice by slice."""
     held: list[tuple[int, bytes]] = []
     size = 0
 
-    def flush() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        data = np.frombuffer(b"".join(x for _, x in held), np.uint8)
+    def flush() -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         ends = np.cumsum([len(x) for _, x in held])
-        p, a, c = anchors(data, ends, length)
-        cut = np.concatenate([[0], np.searchsorted(p, ends)])
+        a, c, lo, hi = anchors(np.frombuffer(b"".join(x for _, x in held), np.uint8), ends, length)
+        cut = np.concatenate([[0], np.searchsorted(lo, ends)])
         for j, (i, x) in enumerate(held):
             s = slice(cut[j], cut[j + 1])
             if s.stop > s.start:
-                yield i, p[s] - (ends[j] - len(x)), a[s], c[s]
+                yield i, a[s], c[s], lo[s] - (ends[j] - len(x)), hi[s] - (ends[j] - len(x))
 
     for i, x in batch:
         if len(x) < length:
             continue
         if len(x) > 2 * SLICE:
-            raw, around = np.frombuffer(x, np.uint8), 2 * length
-            found = []
-            for b in range(0, len(x) - length + 1, SLICE):  # windows that start here, with what contexts need on both sides
-                lo, hi = max(b - around, 0), min(b + SLICE + around, len(x))
-                p, a, c = anchors(raw[lo:hi], np.array([hi - lo]), length)
-                p = p + lo
-                inner = (p >= b) & (p < b + SLICE)
-                found.append((p[inner], a[inner], c[inner]))
+            raw, found = np.frombuffer(x, np.uint8), []
+            for b in range(0, len(x) - length + 1, SLICE):  # the windows that start here
+                piece = raw[b : b + SLICE + length - 1]
+                a, c, lo, hi = anchors(piece, np.array([len(piece)]), length)
+                found.append((a, c, lo + b, hi + b))
             yield (i, *(np.concatenate(z) for z in zip(*found, strict=True)))
             continue
         held.append((i, x))
@@ -124,7 +140,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, U64)
     for i in range(7):
         key = (key << U64(9)) | padded[i : n + i]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     head = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
@@ -137,11 +153,11 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         act = sa[open_at]
         after = act + h
         nxt = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        order = np.lexsort((nxt, rank[act]))
-        act, nxt = act[order], nxt[order]
+        key = (rank[act].astype(U64) << U64(32)) | nxt.astype(U64)
+        order = np.argsort(key)
+        act, key = act[order], key[order]
         sa[open_at] = act
-        group = rank[act]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])])
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         head[open_at] = new
         rank[act] = np.maximum.accumulate(np.where(new, open_at, 0))
         h *= 2
@@ -268,20 +284,19 @@ def find_spans(docs: DataFrame, length: int, stash: Stash) -> DataFrame:
         for b in it:
             t = b.column("t").to_numpy()
             data = [(i, x.encode()) for i, x in enumerate(b.column("text").to_pylist())]
-            made = [(p, a, c, np.full(len(p), t[i]), np.full(len(p), len(data[i][1]))) for i, p, a, c in text_anchors(data, length)]
+            made = [(a, c, np.full(len(a), t[i]), lo, hi) for i, a, c, lo, hi in text_anchors(data, length)]
             if made:
-                p, a, c, t, n = (np.concatenate(z) for z in zip(*made, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(t), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32))], names=["a", "c", "t", "pos", "n"])
+                a, c, t, lo, hi = (np.concatenate(z) for z in zip(*made, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(t), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["a", "c", "t", "lo", "hi"])
 
-    every = stash(text.mapInArrow(mark, "a long, c long, t long, pos int, n int"), "anchors", codec="none")
-    o = F.xxhash64("t", "pos")
+    every = stash(text.mapInArrow(mark, "a long, c long, t long, lo int, hi int"), "anchors", codec="none")
+    o = F.xxhash64("t", "lo")
     seen = every.groupBy("a").agg(F.min(o).alias("o1"), F.max(o).alias("o2"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("o1 <> o2")
     again = stash(every.join(seen.select("a", F.expr("c1 <> c2").alias("mixed")), "a"), "repeated")
     stash.drop(every)
-    whole = [F.col("t"), F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).alias("lo"), F.least(F.col("pos") + length, F.col("n")).alias("hi")]
+    whole = ["t", "lo", "hi"]
     mixed = stash(again.where("mixed").groupBy("a", "c").agg(F.min("t").alias("t"), (F.min(o) != F.max(o)).alias("twice")), "contexts")
     pieces = again.where("not mixed").select(*whole).union(again.where("mixed").join(mixed.where("twice").select("a", "c"), ["a", "c"]).select(*whole))
-    pieces = pieces.where(F.col("hi") - F.col("lo") >= length)
     copies = text.groupBy("t").agg(F.count("*").alias("k"), F.max(F.octet_length("text")).alias("hi")).where(f"k > 1 and hi >= {length}")
     pieces = pieces.union(copies.select("t", F.lit(0).alias("lo"), "hi"))
 
@@ -291,12 +306,11 @@ def find_spans(docs: DataFrame, length: int, stash: Stash) -> DataFrame:
         for b in it:
             data = [(i, x.encode()) for i, x in enumerate(b.column("text").to_pylist())]
             t, want, rows = b.column("t").to_pylist(), b.column("want").to_pylist(), []
-            for i, p, a, c in text_anchors(data, length):
+            for i, a, c, lo, hi in text_anchors(data, length):
                 twice = {(w["a"], w["c"]): w["twice"] for w in want[i]}
-                for q, x, y in zip(p.tolist(), a.view(np.int64).tolist(), c.view(np.int64).tolist(), strict=True):
+                for x, y, u, v in zip(a.view(np.int64).tolist(), c.view(np.int64).tolist(), lo.tolist(), hi.tolist(), strict=True):
                     if (x, y) in twice:
-                        lo = max(q - (length - GRAM), 0)
-                        rows.append((x, y, t[i], lo, twice.pop((x, y)), data[i][1][lo : q + length]))
+                        rows.append((x, y, t[i], u, twice.pop((x, y)), data[i][1][u:v]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(z, k) for z, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["a", "c", "t", "lo", "twice", "ctx"])
 
