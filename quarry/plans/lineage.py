@@ -150,3 +150,35 @@ def name_spans(spark, sf_dir):
     w = Window.partitionBy("conv_id", "turn").orderBy("pos")
     c = c.withColumn("before", F.lag("word").over(w)).withColumn("core", F.regexp_replace("word", r"^[^A-Za-z]+|[^A-Za-z]+$", ""))
     return c.where(T.looks_like_name(F.col("core"))).select("conv_id", "turn", "pos", "core", F.coalesce(F.lower("before").isin("the", "of"), F.lit(False)).alias("after_article"))
+
+
+@query(r"""
+SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(string_split(text, chr(10))) >= 9 AND len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^(#|Licensed)'))) = 0 AS valid FROM documents""")
+def document_validity(spark, sf_dir):
+    """Long enough, and without a flagged line."""
+    lines = F.split("text", "\n")
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(lines).cast("long").alias("lines"), ((F.size(lines) >= 9) & ~F.exists(lines, lambda x: x.rlike("^(#|Licensed)"))).alias("valid"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Prime' END AS qualifier, source AS base, CASE WHEN doc_id % 3 = 0 THEN 'Prime ' || source ELSE source END AS full_name FROM documents""")
+def qualifier_split(spark, sf_dir):
+    """Qualified names taken apart, whatever their case, and put together again."""
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.when(F.col("doc_id") % 2 == 0, "Prime ").otherwise("pRIME   "), "source")).otherwise(F.col("source"))
+    q, base = T.split_qualifier(raw, "Prime")
+    return read(spark, sf_dir, "documents").select("doc_id", q.alias("qualifier"), base.alias("base"), T.join_qualifier(q, base).alias("full_name"))
+
+
+@query("""
+WITH sig AS (SELECT source, list_sort(list(DISTINCT lang)) AS expected FROM documents WHERE doc_id % 7 = 0 GROUP BY 1)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN [] WHEN expected IS NULL THEN list_transform(range(doc_id % 4), lambda i: 'Unknown')
+  WHEN len(expected) = 1 THEN list_transform(range(doc_id % 4), lambda i: expected[1]) WHEN doc_id % 4 = 1 THEN expected ELSE list_transform(range(doc_id % 4), lambda i: 'Unknown') END AS names
+FROM documents LEFT JOIN sig USING (source)""")
+def presence_cascade(spark, sf_dir):
+    """None counted: none; one expected: repeated; several: the matches or Unknown; no pool: Unknown."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    sig = docs.where("doc_id % 7 = 0").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("expected"))
+    n = (F.col("doc_id") % 4).cast("int")
+    unknown = F.array_repeat(F.lit("Unknown"), n)
+    names = F.when(n == 0, F.array().cast("array<string>")).when(F.col("expected").isNull(), unknown).when(F.size("expected") == 1, F.array_repeat(F.get("expected", F.lit(0)), n)).when(n == 1, F.col("expected")).otherwise(unknown)
+    return docs.join(sig, "source", "left").select("doc_id", names.alias("names"))

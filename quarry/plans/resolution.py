@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.graph import connected_components
+from quarry.operators.ranking import dense_ids
 from quarry.plans.catalog import query
 from quarry.sources.tables import read
 
@@ -97,3 +98,13 @@ def pad_to_four(spark, sf_dir):
     got = lots.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["att"]).alias("atts"))
     four = pad(F.col("atts"), 4)
     return got.select("id", *[four[i].alias(f"a{i + 1}") for i in range(4)], F.when(F.size("atts") > 4, "Y").otherwise("").alias("more"))
+
+
+@query(f"""
+WITH {_RECORDS}
+SELECT 'm' || lpad(CAST(row_number() OVER (ORDER BY c, p) AS VARCHAR), CAST(greatest(4, len(CAST(row_number() OVER (ORDER BY c, p) AS VARCHAR))) AS INTEGER), '0') AS identity, c, p, min(id) AS representative, count(*) - 1 AS rematch_count
+FROM rec GROUP BY c, p""")
+def dense_identities(spark, sf_dir):
+    """Blocks as identities, numbered m0001 onwards in key order."""
+    g = records(spark, sf_dir).groupBy("c", "p").agg(F.min("id").alias("representative"), (F.count("*") - 1).alias("rematch_count"))
+    return dense_ids(g, ["c", "p"], "n").select(F.format_string("m%04d", "n").alias("identity"), "c", "p", "representative", "rematch_count")
