@@ -81,19 +81,20 @@ def count(text: str | None, words: WordHash) -> tuple[int, ...]:
     )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """The input's columns and COUNTS of `text`."""
-    keep = [c for c in docs.columns if c not in COUNTS]
+def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The input's columns (or those of `keep`) and COUNTS of `text`."""
+    keep = [c for c in keep or docs.columns if c not in COUNTS]
+    sent = list(dict.fromkeys([*keep, "text"]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for b in it:
             made = [count(t, words) for t in b.column("text").to_pylist()]
             cols = [pa.array(list(x), pa.int64()) for x in zip(*made, strict=True)] or [pa.array([], pa.int64())] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*keep, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, *COUNTS])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep)
-    return docs.select(*keep).mapInArrow(run, kinds + "".join(f", {c} long" for c in COUNTS))
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*sent).mapInArrow(run, kinds + "".join(f", {c} long" for c in COUNTS))
 
 
 def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], least_precision: float = 0.95, most_rules: int = 24, most_tests: int = 4) -> list[Rule]:
@@ -159,16 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     few = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `sample` rows of two numbers
-    rows = statistics(known).select("doc_id", "_quality", *[c.alias(f"f_{k}") for k, c in features().items()]).orderBy("doc_id").limit(sample).collect()
+    rows = statistics(known, ["doc_id", "_quality"]).select("doc_id", "_quality", *[c.alias(f"f_{k}") for k, c in features().items()]).orderBy("doc_id").limit(sample).collect()
     if not rows:
         return []
     x = np.array([r[2:] for r in rows], float)
     return learn_rules(x, np.array([r[1] == 0 for r in rows]), list(FEATURES))
 
 
-def rate(docs: DataFrame, labels: DataFrame, rules: list[Rule] | None = None, sample: int = SAMPLE) -> DataFrame:
-    """The input's columns, COUNTS, base_failed, rule (number of the rule that rejects, 0: none) and kept."""
+def rate(docs: DataFrame, labels: DataFrame, rules: list[Rule] | None = None, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
+    """The input's columns (or those of `keep`), COUNTS, base_failed, rule (number of the rule that rejects, 0: none) and kept."""
     rules = fit(docs, labels, sample) if rules is None else rules
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = statistics(docs.drop("base_failed", "rule", "kept")).withColumn("base_failed", base).withColumn("rule", verdict(rules, features()))
+    out = statistics(docs.drop("base_failed", "rule", "kept"), keep).withColumn("base_failed", base).withColumn("rule", verdict(rules, features()))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
