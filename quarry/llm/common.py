@@ -98,23 +98,49 @@ def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 20_000) -> Iter
 def components(stash: Stash, edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): smallest node reachable, for every node with an edge (a, b), by alternating large-star and small-star.
 
-    Work per round is linear in the edges and every step is a partial aggregate or an equi-join; each round is a
+    Work per round is linear in the edges and every step is a partial aggregate or an equi-join; each round is one
     written table. Only two numbers per round reach the driver.
     """
-    e = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    from pyspark.sql import Observation
+
+    def keep(df: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+        out = stash(df.where("u <> v").distinct().observe(seen, F.count("*").alias("n"), mark), tag)
+        return out, (seen.get["n"], seen.get["h"])
+
+    e, mark = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     for i in range(rounds):
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or (seen is not None and mark == seen):
+        if not mark[0]:
             break
-        seen = mark
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
-        old, e = e, stash(small.where("u <> v").distinct(), f"star{i}")
-        stash.drop(old)
+        before, (e_new, now) = mark, keep(small, f"star{i}")
+        stash.drop(e)
+        e, mark = e_new, now
+        if now == before:
+            break
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+class Forest:
+    """Union-find over integers 0..n-1, smallest root."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y

@@ -7,10 +7,10 @@ like sizes. That order is cut into FRAGMENTS vertical fragments. The first fragm
 already differ by there may not exceed what the threshold lets them differ by in all. For those left, every fragment's
 overlap is counted on its own and the partial counts are summed per pair.
 
-Groups of near copies are not expanded into pairs: two rounds link each member to the group's leaders and the links form
-components; then only pairs whose sides are still in different components are compared, and all of these are, so no
-component misses a link. Nothing is capped. The table of frequent shingles has at most FREQUENT rows (which ones only
-changes the order, never the result); it is the only broadcast.
+Groups of more than WIDE sets that share a prefix shingle, such as near copies, are not expanded into pairs: they are
+dealt in blocks of about BLOCK sets to tasks for pairs of blocks, which add up the overlaps of all their pairs fragment
+by fragment in memory and return only a spanning forest of the links. Nothing is capped. The table of frequent shingles
+has at most FREQUENT rows (which ones only changes the order, never the result); it is the only broadcast.
 
 Nulls: a null text has no shingles, n_shingles 0, and links with nothing; a null doc_id is kept and never names a
 component unless all its members are null. Repeated rows and repeated doc_ids are members of their sets' classes. An
@@ -22,16 +22,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import U64, Stash, WordHash, components, mix, texts
+from quarry.llm.common import U64, Forest, Stash, WordHash, components, mix, texts
 
 FREQUENT = 400_000
 FRAGMENTS = 8
 LOCAL = 4  # a shingle is looked at as frequent if some part of the input has it so often
-TOP = U64(1) << U64(63)
+WIDE = 128
+BLOCK = 384
 
 
 def shingle_set(data: bytes, n: int, words: WordHash) -> np.ndarray:
@@ -191,47 +193,65 @@ def verify(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
     return counted.where(den * F.col("n") >= num * (F.col("s") - F.col("n"))).select("a", "b")
 
 
-def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rounds: int = 2) -> DataFrame:
+def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int, columns: int = 4096) -> Iterator[tuple[int, int]]:
+    """Links between rows `left` and `right` of `sets`: overlaps added up over fragments of the shared shingles."""
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    count = np.diff(np.append(np.flatnonzero(new), len(flat)))
+    shared = np.repeat(count > 1, count)
+    ident, row = np.cumsum(new[shared]) - 1, row[shared]
+    overlap = np.zeros((len(left), len(right)), np.float32)
+    cuts = np.searchsorted(ident, np.arange(0, (ident[-1] + 1 if len(ident) else 0) + columns, columns))
+    for k in range(len(cuts) - 1):
+        some = slice(cuts[k], cuts[k + 1])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[row[some], ident[some] - k * columns] = 1
+        overlap += m[left] @ m[right].T
+    n = np.rint(overlap).astype(np.int64)
+    found = den * n >= num * (size[left][:, None] + size[right][None, :] - n)
+    for x, y in zip(*np.nonzero(found), strict=True):
+        if left[x] != right[y]:
+            yield int(left[x]), int(right[y])
+
+
+def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and node (the class of equal sets) of every row."""
     stash = Stash(docs.sparkSession)
     rows = stash(describe(docs, n, num, den, frequent(docs, n)), "sets")
-    shared = rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_n"))
     # copies of one set have the same prefix and first fragment, whichever row of them is taken
     classes = stash(rows.where("size > 0").groupBy("node", "size").agg(F.first("prefix").alias("prefix"), F.first("first").alias("first"), F.min("doc_id").alias("doc_id")), "classes")
     every = postings(classes)
-    often = every.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
+    often = every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     index = stash(every.join(often, "token"), "index")
-    firsts = classes.select("node", "size", "first")
-    links, root, done = None, None, None
-    for k in range(rounds + 1):
-        here = index.withColumn("c", F.col("node")) if root is None else index.join(root, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root")
-        left = here.select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"), F.col("c").alias("ca"))
-        if k < rounds:  # the leaders of each group of like sizes
-            band = F.floor(F.log(F.col("size")) / float(np.log(den / num)) + k / rounds).alias("band")
-            mark = F.xxhash64("node", F.lit(k))
-            lead = here.groupBy("token", band).agg(F.min(F.struct(mark.alias("m"), "node", "size", "pos", "c")).alias("l"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-            lead = lead.select("token", "band", F.col("l.node").alias("b"), F.col("l.size").alias("sb"), F.col("l.pos").alias("pb"), F.col("l.c").alias("cb"))
-            left = left.withColumn("band", F.floor(F.log(F.col("sa")) / float(np.log(den / num)) + k / rounds))
-            met = left.join(lead, ["token", "band"]).where("ca <> cb")
-        else:  # all pairs across components
-            mixed = here.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-            left = left.join(mixed, "token")
-            right = left.select("token", *[F.col(x).alias(y) for x, y in (("a", "b"), ("sa", "sb"), ("pa", "pb"), ("ca", "cb"))])
-            met = left.join(right, "token").where("a < b and ca <> cb")
-        pairs = met.where(may_link(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        near = stash(screen(pairs, firsts, num, den), f"near{k}")
-        nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-        parts = stash(fragments(docs, nodes.join(classes.select("node", "doc_id"), "node"), n), f"parts{k}", codec="none")
-        found = stash(verify(near, parts, num, den), f"links{k}")
-        stash.drop(parts)
-        done = near if done is None else done.union(near)
-        links = found if links is None else links.union(found)
-        root = stash(components(stash, links), f"roots{k}")
-    stash.drop(index)
-    label = shared.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = label.join(names, "root").select("node", "component_id")
-    out = rows.select("doc_id", "node", "size").join(named, "node", "left")
+    left = index.where(f"k <= {WIDE}").select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"))
+    right = left.select("token", *[F.col(x).alias(y) for x, y in (("a", "b"), ("sa", "sb"), ("pa", "pb"))])
+    met = left.join(right, (left.token == right.token) & (F.col("a") < F.col("b")) & may_link(num, den))
+    near = stash(screen(met.select("a", "b").distinct(), classes.select("node", "size", "first"), num, den), "near")
+
+    wide = index.where(f"k > {WIDE}").select("token", "node", "k")
+    nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).union(wide.select("node")).distinct()
+    parts = stash(fragments(docs, nodes.join(classes.select("node", "doc_id"), "node"), n), "parts", codec="none")
+    pairs = verify(near, parts, num, den)
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part").groupby("node").agg(salt=("salt", "first"), segment=("segment", lambda x: b"".join(x))).reset_index()
+        sets = [np.frombuffer(x, "<u8") for x in pdf.segment]
+        nodes_, salt = pdf.node.tolist(), pdf.salt.to_numpy()
+        lo, hi = np.flatnonzero(salt == salt.min()), np.flatnonzero(salt == salt.max())
+        forest = Forest(len(sets))
+        kept = [(nodes_[x], nodes_[y]) for x, y in block_links(sets, lo, hi, num, den) if forest.join(x, y)]
+        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    m = F.ceil(F.col("k") / BLOCK).cast("int")
+    dealt = wide.withColumn("m", m).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
+    dealt = dealt.select("node", "token", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
+    across = dealt.join(parts.select("node", "part", "segment"), "node").groupBy("token", "i", "j").applyInPandas(block, "a long, b long")
+    root = components(stash, pairs.union(across))
+    shared = classes.select("node", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = shared.join(shared.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
+    out = rows.select("doc_id", "node", "size").join(stash(named, "named"), "node", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
