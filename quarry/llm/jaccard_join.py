@@ -238,7 +238,6 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     pairs = verify(near, parts, num, den)
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part").groupby("node").agg(salt=("salt", "first"), segment=("segment", lambda x: b"".join(x))).reset_index()
         sets = [np.frombuffer(x, "<u8") for x in pdf.segment]
         nodes_, salt = pdf.node.tolist(), pdf.salt.to_numpy()
         lo, hi = np.flatnonzero(salt == salt.min()), np.flatnonzero(salt == salt.max())
@@ -249,7 +248,11 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     m = F.ceil(F.col("k") / BLOCK).cast("int")
     dealt = wide.withColumn("m", m).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
     dealt = dealt.select("node", "token", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
-    across = dealt.join(parts.select("node", "part", "segment"), "node").groupBy("token", "i", "j").applyInPandas(block, "a long, b long")
+    # one row per set: its fragments in order
+    segments = F.array_sort(F.collect_list(F.struct("part", "segment")))
+    one = parts.join(wide.select("node").distinct(), "node", "left_semi").groupBy("node").agg(segments.alias("segments"))
+    one = one.select("node", F.aggregate("segments", F.lit(b""), lambda s, x: F.concat(s, x["segment"])).alias("segment"))
+    across = dealt.join(one, "node").groupBy("token", "i", "j").applyInPandas(block, "a long, b long")
     root = components(stash, pairs.union(across))
     shared = classes.select("node", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = shared.join(shared.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
