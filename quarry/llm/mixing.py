@@ -28,23 +28,20 @@ SAMPLE = 10_000
 TERMS = 400
 PREFIX = 5
 LEAN = 3.0  # a term is some twenty times as frequent in its domain as elsewhere
-CUTS = {"symbols": (0.02, 0.1, 0.3, 0.6, 0.9), "capitals": (0.05, 0.15, 0.3, 0.6), "distinct": (0.1, 0.25, 0.45, 0.55, 0.65, 0.8), "words": (5, 10, 30, 100, 300, 1000)}
+CUTS = {"symbols": (0.02, 0.1, 0.3, 0.6, 0.9), "capitals": (0.05, 0.15, 0.3, 0.6), "distinct": (0.1, 0.2, 0.3, 0.45, 0.6, 0.8), "words": (5, 10, 30, 100, 300, 1000)}
 
 
 def features(docs: DataFrame) -> DataFrame:
     """The input's columns with tokens, _terms (distinct word beginnings) and a bin for each of CUTS."""
     text = F.coalesce("text", F.lit(""))
-    words = F.array_remove(F.split(F.translate(text, "\n\t\r\f\v", "     "), " "), "")
-    out = docs.withColumn("_words", words).withColumn("tokens", F.size("_words").cast("long"))
+    words = F.split(F.lower(text), "[ \\t-\\r]+")
+    out = docs.select("*", words.alias("_words"), F.length(text).alias("_chars"), F.regexp_count(text, F.lit("[#*$%&|<>]")).alias("_symbols"), F.regexp_count(text, F.lit("[A-Z]")).alias("_capitals"))
+    terms = F.array_distinct(F.transform("_words", lambda w: F.substring(w, 1, PREFIX)))
+    out = out.withColumn("tokens", F.size(F.array_remove("_words", "")).cast("long")).withColumn("_terms", terms)
     n = F.greatest(F.col("tokens"), F.lit(1))
-    chars = F.greatest(F.length(text), F.lit(1))
-    lost = lambda letters: chars - F.greatest(F.length(F.translate(text, letters, "")), F.lit(1))
-    share = {"symbols": lost("#*$%&|<>") / n, "capitals": lost("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / chars, "distinct": F.size(F.array_distinct("_words")) / n, "words": F.col("tokens")}
-    terms = F.array_distinct(F.transform("_words", lambda w: F.lower(F.substring(w, 1, PREFIX))))
-    out = out.withColumn("_terms", terms)
-    for name, cuts in CUTS.items():
-        out = out.withColumn(f"_b_{name}", sum(((share[name] >= c).cast("int") for c in cuts), F.lit(0)))
-    return out.drop("_words")
+    share = {"symbols": F.col("_symbols") / n, "capitals": F.col("_capitals") / F.greatest("_chars", F.lit(1)), "distinct": F.size("_terms") / n, "words": F.col("tokens")}
+    bins = [sum(((share[name] >= c).cast("int") for c in cuts), F.lit(0)).alias(f"_b_{name}") for name, cuts in CUTS.items()]
+    return out.select(*docs.columns, "tokens", "_terms", *bins)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
@@ -122,7 +119,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """The input's columns, tokens, p_<domain>, rate, and copies: the rate rounded at random by a hash of the document."""
     stash = Stash(docs.sparkSession)
     made = ["tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"]
-    docs = docs.drop(*made, "_terms", "_words", "_y", "p0", "p1", "p2", "_s", "_u", *[f"_b_{k}" for k in CUTS])
+    docs = docs.drop(*made, "_terms", "_words", "_chars", "_symbols", "_capitals", "_y", "p0", "p1", "p2", "_s", "_u", *[f"_b_{k}" for k in CUTS])
     scored = features(docs).withColumn("_s", F.array(*posterior(learn(docs, labels, sample))))
     top = F.array_max("_s")
     scored = scored.withColumn("_s", F.transform("_s", lambda x: F.exp(x - top)))
