@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one whose doc_id names the component (a single row of it)."""
-    groups = jaccard_join.join_components(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.min("node").alias("_node"))
+    groups = jaccard_join.join_components(docs, n=5, num=80, den=100).where("doc_id <=> component_id").groupBy("doc_id").agg(F.min("node").alias("_node"))
     one = docs.join(groups.select("doc_id"), docs.doc_id.eqNullSafe(groups.doc_id), "left_semi").select(*COLUMNS)
     repeated = one.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.xxhash64(*COLUMNS)).alias("_h")).where("_n > 1 and doc_id is not null")
     marked = one.join(repeated, "doc_id", "left").where(F.col("_h").isNull() | (F.col("_h") == F.xxhash64(*COLUMNS))).select(*COLUMNS)

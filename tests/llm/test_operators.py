@@ -276,3 +276,18 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     assert {r.doc_id for r in out} == set(range(40))
+
+
+def test_pipeline_join_threshold(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+    def jaccard(a, b, n):
+        x, y = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    words = prose(200, 900).split()
+    copy = " ".join("changed" if i in (40, 90, 140, 190) else w for i, w in enumerate(words))
+    assert 0.8 <= jaccard(" ".join(words), copy, 5) < 0.85 and jaccard(" ".join(words), copy, 3) < 0.9
+    rows = [(1, " ".join(words), "en", "s", 1), (2, copy, "en", "s", 1), (3, prose(200, 901), "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.ngram_join(spark, df, "").collect()) == [1, 3]
