@@ -2,19 +2,21 @@
 
 A classifier learned from the labelled table gives each document a posterior over DOMAINS; it is naive Bayes over the
 presence of telling word beginnings and over binned shares of symbols, capitals and distinct words. Projected-gradient
-least squares then fits a rate in [0, most] for every document, so that the expected tokens of each domain, the sum of
+least squares then fits a nonnegative rate for every document, so that the expected tokens of each domain, the sum of
 rate * tokens * posterior, meet their targets: the largest domain keeps its tokens and the others get their weights
-relative to it, or what there is of them. Each step is one aggregate over the documents; only one number per domain
+relative to it. Where a domain has fewer tokens than that, rates above 1 repeat its documents; otherwise, or with
+`most`, rates are bounded. Shares that are missed by more than MISSED are told in a warning. Each step is one aggregate over the documents; only one number per domain
 reaches the driver, and a document's rate is an expression of its posterior and those numbers.
 
 Tokens are white-space separated words. The classifier learns from at most `sample` labelled rows (default SAMPLE, those
 of lowest hash), with at most TERMS terms; all else covers all rows. Nulls: a null text is empty, with 0 tokens; null
 labels are not learned from; a null doc_id is kept. Repeated rows get a rate each. An empty table gives no rows; without
-labels all documents are of the first domain. Other columns are passed through by `mix`, but those named as results.
+labels all documents are of the first domain, and the others' targets are missed. Other columns are passed through by `mix`, but those named as results.
 """
 
 from __future__ import annotations
 
+import warnings
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,8 @@ TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 SAMPLE = 10_000
 TERMS = 400
 PREFIX = 5
+NONE = 1e-9  # a domain with no larger a share of the tokens has no documents
+MISSED = 0.001
 LEAN = 3.0  # a term is some twenty times as frequent in its domain as elsewhere
 CUTS = {"symbols": (0.02, 0.1, 0.3, 0.6, 0.9), "capitals": (0.05, 0.15, 0.3, 0.6), "distinct": (0.1, 0.2, 0.3, 0.45, 0.6, 0.8), "words": (5, 10, 30, 100, 300, 1000)}
 
@@ -92,30 +96,41 @@ def posterior(model: dict) -> list[Column]:
     return score
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float], most: float, steps: int = 25, close: float = 1e-6) -> tuple[Column, list[list[float]]]:
-    """The rate of a document as an expression of p0..p2, and the residuals of each step (relative to a domain's tokens)."""
+def fit(soft: DataFrame, targets: dict[str, float], most: float | None = None, steps: int = 25, close: float = 1e-6) -> tuple[Column, list[list[float]], dict[str, float]]:
+    """The rate of a document as an expression of p0..p2, the residuals of each step (relative to a domain's tokens), and
+    what the shares of the domains then differ by from the targets. Without `most`, rates are held to 1 only if every
+    domain has the tokens its target asks for."""
     p = [F.col(f"p{k}") for k in range(3)]
     w = [targets[d] for d in DOMAINS]
     rate, history = F.lit(1.0), []
     goal: list[float] = []
     mass: list[float] = []
-    for _ in range(steps):
+    for step in range(steps + 1):
         got = soft.agg(*[F.sum(rate * F.col("tokens") * p[k]) for k in range(3)]).first()
         now = [float(x or 0.0) for x in got]
         if not goal:
-            mass = now
             lead = max(range(3), key=lambda k: w[k])
-            goal = [min(mass[k], w[k] / w[lead] * mass[lead]) for k in range(3)]
+            # no document is of a domain below this; its target shows in what is left
+            mass = [x if x > NONE * sum(now) else 0.0 for x in now]
+            goal = [w[k] / w[lead] * mass[lead] for k in range(3)]
+            if most is None and all(goal[k] <= mass[k] for k in range(3) if mass[k] > 0):
+                most = 1.0
         miss = [(now[k] - goal[k]) / mass[k] if mass[k] > 0 else 0.0 for k in range(3)]
-        if max(map(abs, miss)) < close:
+        if step == steps or max(map(abs, miss)) < close:
             break
         history.append(miss)
         # the gradient of half the sum of squared misses over mass, per token of the document
-        rate = F.least(F.lit(most), F.greatest(F.lit(0.0), rate - sum((p[k] * miss[k] for k in range(3)), F.lit(0.0))))
-    return rate, history
+        rate = F.greatest(F.lit(0.0), rate - sum((p[k] * miss[k] for k in range(3)), F.lit(0.0)))
+        rate = rate if most is None else F.least(F.lit(most), rate)
+    return rate, history, {d: (now[k] / sum(now) if sum(now) else 0.0) - w[k] / sum(w) for k, d in enumerate(DOMAINS)}
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float = 1.0, sample: int = SAMPLE) -> DataFrame:
+def fit_rates(soft: DataFrame, targets: dict[str, float], most: float | None, steps: int = 25, close: float = 1e-6) -> tuple[Column, list[list[float]]]:
+    """The rate and the residuals of `fit`."""
+    return fit(soft, targets, most, steps, close)[:2]
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float | None = None, sample: int = SAMPLE) -> DataFrame:
     """The input's columns, tokens, p_<domain>, rate, and copies: the rate rounded at random by a hash of the document."""
     stash = Stash(docs.sparkSession)
     made = ["tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"]
@@ -126,6 +141,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     all_ = F.aggregate("_s", F.lit(0.0), lambda s, x: s + x)
     scored = scored.withColumn("_s", F.transform("_s", lambda x: x / all_)).select(*docs.columns, "tokens", *[F.col("_s")[k].alias(f"p{k}") for k in range(3)], (F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(1 << 20)) / (1 << 20)).alias("_u"))
     soft = stash(scored, "soft")
-    rate, _ = fit_rates(soft, targets or TARGETS, most)
+    rate, _, left = fit(soft, targets or TARGETS, most)
+    if max(map(abs, left.values())) > MISSED:
+        warnings.warn(f"mixing: shares differ from their targets by {', '.join(f'{d} {x:+.4f}' for d, x in left.items())}", stacklevel=2)
     rate = F.bround(rate, 3)
     return soft.select(*docs.columns, "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate.alias("rate"), F.floor(rate + F.col("_u")).cast("int").alias("copies"))

@@ -291,3 +291,17 @@ def test_pipeline_join_threshold(spark):
     rows = [(1, " ".join(words), "en", "s", 1), (2, copy, "en", "s", 1), (3, prose(200, 901), "en", "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.ngram_join(spark, df, "").collect()) == [1, 3]
+
+
+def test_mixing_scarce_domain(spark):
+    rows = [(i, 10, 0.0, 0.01, 0.99) if i < 4 else (i, 10, 0.99, 0.01, 0.0) for i in range(100)]
+    soft = spark.createDataFrame(rows, "id int, tokens long, p0 double, p1 double, p2 double")
+    targets = {"clean": 0.5, "low": 0.01, "toxic": 0.5}
+    rate, _, left = mixing.fit(soft, targets)
+    sums = soft.select(rate.alias("r"), "tokens", "p0", "p2").agg(F.sum(F.expr("r * tokens * p0")), F.sum(F.expr("r * tokens * p2")), F.min("r")).first()
+    assert abs(sums[1] / sums[0] - 1) < 0.01 and sums[2] >= 0.9
+    assert max(map(abs, left.values())) < 0.01
+    # with a bound, or without documents of a domain, what is missed is told against the targets themselves
+    assert mixing.fit(soft, targets, most=1.0)[2]["toxic"] < -0.4
+    rate, _, left = mixing.fit(soft.where("id >= 4"), targets)
+    assert abs(left["toxic"] + 0.5 / 1.01) < 1e-6 and soft.where("id >= 4").where(rate < 0.9).count() == 0
