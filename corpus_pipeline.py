@@ -20,12 +20,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose doc_id names the component (a single row of it)."""
-    groups = jaccard_join.join_components(docs, n=5, num=80, den=100).where("doc_id <=> component_id").groupBy("doc_id").agg(F.min("node").alias("_node"))
-    one = docs.join(groups.select("doc_id"), docs.doc_id.eqNullSafe(groups.doc_id), "left_semi").select(*COLUMNS)
-    repeated = one.groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.xxhash64(*COLUMNS)).alias("_h")).where("_n > 1 and doc_id is not null")
-    marked = one.join(repeated, "doc_id", "left").where(F.col("_h").isNull() | (F.col("_h") == F.xxhash64(*COLUMNS))).select(*COLUMNS)
-    return marked.dropDuplicates()
+    """One row of each component: the least by (doc_id, node, hash of the row), null ids last. A row without words is its own."""
+    marked = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
+    rows = jaccard_join.join_groups(marked, n=5, num=80, den=100, keep=("_row",))
+    alone = F.col("root").isNull()
+    key = ["root", F.when(alone, F.col("doc_id")).alias("_id"), F.when(alone, F.col("_row")).alias("_own")]
+    least = rows.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "_row")).alias("x")).select("x.doc_id", "x._row")
+    one = marked.join(least, marked.doc_id.eqNullSafe(least.doc_id) & (marked["_row"] == least["_row"]), "left_semi")
+    return one.select(*COLUMNS).dropDuplicates()
 
 
 def suffix_arrays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

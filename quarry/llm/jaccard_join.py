@@ -83,8 +83,8 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
     return top.column("h").to_numpy().view(U64)[::-1].copy()
 
 
-def describe(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray) -> DataFrame:
-    """doc_id, node (digest of the set), size, prefix (first shingles in the global order), first (low bits of fragment 0)."""
+def describe(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, node (digest of the set), size, prefix (first shingles in the global order), first (low bits of fragment 0), and the columns `keep` (64-bit integers)."""
     spark = docs.sparkSession
     by_hash = np.argsort(often)
     held = spark.sparkContext.broadcast((often[by_hash], by_hash.astype(np.int64)))
@@ -111,9 +111,9 @@ def describe(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray) ->
                 prefix.append(light.astype("<u8").tobytes())
                 first.append(np.unique(h[h >> U64(61) == 0].astype("<u2")).tobytes())
                 start = stop
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(first, pa.binary())], names=["doc_id", "node", "size", "prefix", "first"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(first, pa.binary()), *[b.column(c) for c in keep]], names=["doc_id", "node", "size", "prefix", "first", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, size long, prefix binary, first binary")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(["doc_id long, node long, size long, prefix binary, first binary", *[f"{c} long" for c in keep]]))
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -220,8 +220,13 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num
 
 def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and node (the class of equal sets) of every row."""
+    return join_groups(docs, n, num, den).drop("root")
+
+
+def join_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As join_components, with root (the component's least node, null without shingles) and the columns `keep` of every row."""
     stash = Stash(docs.sparkSession)
-    rows = stash(describe(docs, n, num, den, frequent(docs, n)), "sets")
+    rows = stash(describe(docs, n, num, den, frequent(docs, n), keep), "sets")
     # copies of one set have the same prefix and first fragment, whichever row of them is taken
     classes = stash(rows.where("size > 0").groupBy("node", "size").agg(F.first("prefix").alias("prefix"), F.first("first").alias("first"), F.min("doc_id").alias("doc_id")), "classes")
     every = postings(classes)
@@ -255,6 +260,6 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
     across = dealt.join(one, "node").groupBy("token", "i", "j").applyInPandas(block, "a long, b long")
     root = components(stash, pairs.union(across))
     shared = classes.select("node", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = shared.join(shared.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
-    out = rows.select("doc_id", "node", "size").join(stash(named, "named"), "node", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    named = shared.join(shared.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "root", "component_id")
+    out = rows.select("doc_id", "node", "size", *keep).join(stash(named, "named"), "node", "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", "root", *keep)

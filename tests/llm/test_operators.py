@@ -305,3 +305,31 @@ def test_mixing_scarce_domain(spark):
     assert mixing.fit(soft, targets, most=1.0)[2]["toxic"] < -0.4
     rate, _, left = mixing.fit(soft.where("id >= 4"), targets)
     assert abs(left["toxic"] + 0.5 / 1.01) < 1e-6 and soft.where("id >= 4").where(rate < 0.9).count() == 0
+
+
+def test_pipeline_join_rows(spark, docs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    cols = corpus_pipeline.COLUMNS
+    more = [(None, prose(30, 950)), (None, prose(30, 950) + " "), (9, BASE), (40, prose(6000, 3))]
+    df = docs.select(*cols).union(spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in more], docs.select(*cols).schema))
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, df, "").collect()]
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+
+    rows = [*DOCS, *more]
+    sets = [shingles(t) for _, t in rows]
+    left, groups = set(range(len(rows))), []
+    while left:
+        seen, todo = set(), [left.pop()]
+        while todo:
+            i = todo.pop()
+            seen.add(i)
+            todo += [j for j in left if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+            left -= set(todo)
+        groups.append([rows[i] for i in seen])
+    assert len(got) == len(groups)
+    for g in groups:
+        least = min((d for d, _ in g if d is not None), default=None)
+        assert sum(x in g for x in got) == 1 and any(x in g and x[0] == least for x in got)
