@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -95,11 +96,12 @@ def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 20_000) -> Iter
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def components(stash: Stash, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(stash: Stash, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root): smallest node reachable, for every node with an edge (a, b), by alternating large-star and small-star.
 
     Work per round is linear in the edges and every step is a partial aggregate or an equi-join; each round is one
-    written table. Only two numbers per round reach the driver.
+    written table. Only two numbers per round reach the driver. It ends when a round changes nothing; if `rounds` are
+    given and do not suffice, it raises.
     """
     from pyspark.sql import Observation
 
@@ -110,9 +112,11 @@ def components(stash: Stash, edges: DataFrame, rounds: int = 40) -> DataFrame:
         return out, (seen.get["n"], seen.get["h"])
 
     e, mark = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
-    for i in range(rounds):
+    for i in count():
         if not mark[0]:
             break
+        if i == rounds:
+            raise RuntimeError(f"components: not settled after {rounds} rounds")
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

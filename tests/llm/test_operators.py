@@ -333,3 +333,17 @@ def test_pipeline_join_rows(spark, docs):
     for g in groups:
         least = min((d for d, _ in g if d is not None), default=None)
         assert sum(x in g for x in got) == 1 and any(x in g and x[0] == least for x in got)
+
+
+def test_components_settle(spark):
+    from quarry.llm.common import Stash, components
+    from quarry.operators.graph import connected_components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r.root for r in components(Stash(spark), edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(Stash(spark), edges, rounds=1)
+    nodes = spark.createDataFrame([(i,) for i in range(21)], "id long")
+    assert {r.root for r in connected_components(nodes, edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        connected_components(nodes, edges, rounds=1)
