@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.runtime import shared_folder
+
 
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, root): smallest id reachable. nodes: id; edges: a, b. Lineage is cut by checkpoint() in the shared folder.
 
     It ends when a round moves nothing; if `rounds` are given and do not suffice, it raises.
     """
-    sc = nodes.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-"))
+    shared_folder(nodes.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     label = both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")).checkpoint()
     for i in count():

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.runtime import shared_folder
+
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
     """1-based numbers in the given order: range partitions, counted, with the counts before each as its offset."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-"))
+    shared_folder(df.sparkSession)
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per partition

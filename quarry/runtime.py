@@ -1,4 +1,4 @@
-"""Ships this package to Python workers, so executors that do not share the driver's folders can import it."""
+"""Ships this package to Python workers, and names the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -26,3 +26,15 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _DONE.add(sc.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir or the checkpoint folder set on the session; only a local master may do without, with a folder of its own."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
