@@ -1,40 +1,37 @@
-"""Shared helpers: tables, scratch space in the shared folder, stable hashes, connected components."""
+"""Shared helpers: tables, scratch space, byte-bounded batches, words and their hashes, connected components."""
 
 from __future__ import annotations
 
-import hashlib
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.runtime import shared_folder
+
 U64 = np.uint64
+GOLD = U64(0x9E3779B97F4A7C15)
+SLICE_BYTES = 4 << 20
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary folder where that is unset (local tests)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or (sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
 class Stash:
     """Tables written in the shared folder, so that later stages reread them instead of recomputing after a lost executor."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.n = spark, f"{scratch(spark)}/quarry-{uuid.uuid4().hex}", 0
+        self.spark, self.base, self.n = spark, f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}", 0
 
     def path(self, tag: str) -> str:
         self.n += 1
@@ -47,30 +44,76 @@ class Stash:
         out._stash_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no later plan reads."""
-        if path := getattr(df, "_stash_path", None):
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class WordHash(dict):
-    """word -> stable 64-bit hash. Cleared when it has `limit` words, so its memory is bounded."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-    def all(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later plan reads."""
+        for df in tables:
+            if path := getattr(df, "_stash_path", None):
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free_name(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that the table does not have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = f"_{w}"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+def text_key(*cols: Column | str) -> Column:
+    """128 bits of some columns, as 16 bytes: equal for equal rows, nulls apart from empty texts."""
+    made = F.concat_ws("", *(F.coalesce(F.concat(F.lit("+"), F.length(F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(":"), F.col(c) if isinstance(c, str) else c), F.lit("-")) for c in cols))
+    return F.unhex(F.md5(made.cast("binary")))
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in turns of at most `most` bytes of a column, or one row where that alone has more."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, n = 0, batch.num_rows
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all values on end, their bounds); a null is empty."""
+    a = column.cast(pa.large_binary())
+    a = pc.fill_null(a, b"") if a.null_count else a
+    _, offsets, data = a.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def split_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(index of each word in the distinct words, the distinct words as bytes, words of each text); words are cut at ASCII white space."""
+    data, bounds = joined_bytes(column)
+    first = bounds[:-1][bounds[:-1] < bounds[1:]]
+    blank = _SPACE[data]
+    begin = ~blank
+    begin[1:] &= blank[:-1]
+    begin[first] = ~blank[first]
+    end = ~blank
+    end[:-1] &= blank[1:]
+    last = np.append(first[1:], len(data)) - 1 if len(first) else first
+    end[last] = ~blank[last]
+    begin, end = np.flatnonzero(begin), np.flatnonzero(end)
+    offsets = np.concatenate([[0], np.cumsum(end - begin + 1)])
+    body = data[~blank]
+    body = _LOWER[body] if lower else body
+    coded = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary, np.diff(np.searchsorted(begin, bounds))
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """Stable 64-bit hashes."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.fromiter(map(xxh3_64_intdigest, words.to_pylist()), U64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -80,20 +123,49 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    """UTF-8 bytes of a string column; null is the empty text."""
-    return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
+def rolled(w: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n consecutive word hashes from each place."""
+    h = np.full(len(at), n, U64)
+    for i in range(n):
+        h = mix(h) + w[at + i] * GOLD
+    return mix(h)
+
+
+def joined_values(values: list[np.ndarray], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(all values on end, number of each)."""
+    return np.concatenate([np.zeros(0, kind), *values]), np.array(list(map(len, values)), np.int64)
+
+
+def binary_rows(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary value of each run of `sizes` items."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64) * flat.dtype.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+class Bits:
+    """A table of 2^n bits that tells which 64-bit keys may be in a column. It is of fixed size whatever the column, built by
+    an aggregate of at most 2^(n - 6) rows, and may say yes for a key that is not there, never no for one that is."""
+
+    def __init__(self, df: DataFrame, key: str, n: int = 26):
+        self.n = n
+        low = F.expr(f"`{key}` & {(1 << n) - 1}")
+        words = df.select(F.shiftright(low, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        table = np.zeros(1 << (n - 6), np.int64)
+        table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+        self.held = df.sparkSession.sparkContext.broadcast(table.view(U64))
+
+    def __getstate__(self) -> dict:
+        return {"n": self.n, "held": self.held}
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        low = keys.view(np.int64) & ((1 << self.n) - 1)
+        return (self.held.value[low >> 6] >> (low & 63).astype(U64)) & U64(1) == 1
 
 
-def batches(rows: Iterable[dict], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each size, on end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def components(stash: Stash, edges: DataFrame, rounds: int | None = None) -> DataFrame:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Stash
-from quarry.llm.tokens import default_tokenizer, word_ids
+from quarry.llm.common import Stash, slices
+from quarry.llm.tokens import default_tokenizer, piece_ids
 
 STEP = 64
 SHARD = 2048
@@ -60,21 +60,20 @@ def crc_of_suffix(crc_prefix: int, crc_whole: int, n_bytes: int) -> int:
 
 def measure_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, n tokens, crcs: CRC-32 of the ids before every STEP-th token and of all of them."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, step = word_ids(tokenizer), 4 * STEP
-        for b in it:
-            n, crcs = [], []
-            for t in b.column("text").to_pylist():
-                x = held.encode(t or "") + end
-                crc, marks = 0, [0]
-                for i in range(0, len(x), step):
-                    crc = zlib.crc32(x[i : i + step], crc)
-                    marks.append(crc)
-                n.append(len(x) // 4)
-                crcs.append(np.array(marks, "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.binary())], names=["doc_id", "n", "crcs"])
+        held, step = piece_ids(tokenizer), 4 * STEP
+        for batch in it:
+            for b in slices(batch):
+                ids, n = held.encode_ended(b.column("text"), end_id)
+                raw, crcs = memoryview(ids.tobytes()), []
+                ends = 4 * np.cumsum(n)
+                for begin, end in zip((ends - 4 * n).tolist(), ends.tolist(), strict=True):
+                    crc, marks = 0, [0]
+                    for i in range(begin, end, step):
+                        crc = zlib.crc32(raw[i : min(i + step, end)], crc)
+                        marks.append(crc)
+                    crcs.append(np.array(marks, "<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(crcs, pa.binary())], names=["doc_id", "n", "crcs"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, crcs binary")
 

@@ -1,6 +1,6 @@
 """Token-ID output: canonical length-limited Huffman files of token ids.
 
-`write_tokens` encodes every text once, counts all ids, fits one canonical code of at most 16 bits per id by
+`write_tokens` encodes every text once, counting all ids as it goes, fits one canonical code of at most 16 bits per id by
 package-merge over the global counts, and writes files in ascending document order: a file is a parquet container of
 independent blocks, each with its documents, its bit stream and a bit offset for every `STEP` ids. `read_tokens` decodes
 blocks by one table look-up per id, all checkpoints of a block in lockstep.
@@ -20,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Stash, texts
-from quarry.llm.tokens import default_tokenizer, word_ids
+from quarry.llm.common import Stash, binary_rows, slices
+from quarry.llm.tokens import default_tokenizer, piece_ids
 
 LIMIT = 16
 STEP = 256
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 FILE_IDS = 8_000_000
 BLOCKS = "file int, block int, start long, n_docs int, n_ids int, docs binary, known binary, lens binary, marks binary, bits binary, n_bits long, book binary"
 
@@ -112,23 +112,28 @@ def unpack_bits(bits: bytes, n_ids: int, marks: np.ndarray, sym: np.ndarray, siz
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 16-bit where the vocabulary allows, else 32-bit), n, crc of the 32-bit ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("crc", pa.int64())])
-    end = np.array([end_id], "<u4").tobytes()
+    """doc_id, ids (little-endian unsigned 16-bit where the vocabulary allows, else 32-bit), crc of the 32-bit ids, and on
+    the last row of each slice the ids that the slice has, with their counts."""
+    names = ["doc_id", "ids", "crc", "used", "counts"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = word_ids(tokenizer)
-        narrow = held.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
-        for b in it:
-            ids, n, crc = [], [], []
-            for t in b.column("text").to_pylist():
-                x = held.encode(t or "") + end
-                n.append(len(x) // 4)
-                crc.append(zlib.crc32(x))
-                ids.append(np.frombuffer(x, "<u4").astype("<u2").tobytes() if narrow else x)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], schema=schema)
+        held = piece_ids(tokenizer)
+        kind = id_kind(max(held.size, end_id + 1))
+        for batch in it:
+            for b in slices(batch):
+                ids, n = held.encode_ended(b.column("text"), end_id)
+                raw, ends = memoryview(ids.tobytes()), np.cumsum(n)
+                crcs = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                found = np.bincount(ids)
+                used = np.flatnonzero(found)
+                last = [None] * (len(n) - 1)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), binary_rows(ids.astype(kind), n), pa.array(crcs, pa.int64()), pa.array([*last, used.astype("<u4").tobytes()], pa.binary()), pa.array([*last, found[used].astype("<i8").tobytes()], pa.binary())], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, crc long, used binary, counts binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n long, crc long")
+
+def id_kind(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, path: str | None = None) -> str:
@@ -138,18 +143,20 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     from tokenizers import Tokenizer
 
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
-    kind = "<u2" if size <= 1 << 16 else "<u4"
+    kind = id_kind(size)
     stash = Stash(spark)
     coded = stash(encode_documents(docs, tokenizer, end_id), "ids")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in it:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=size)
+            for used, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[np.frombuffer(used, "<u4")] += np.frombuffer(n, "<i8")
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["id", "n"])
 
-    found = coded.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    per_slice = coded.select("used", "counts").where("used is not null")
+    found = per_slice.mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(size, np.int64)  # at most one row per id of the vocabulary
     for r in found:
         counts[r.id] = r.n
@@ -161,11 +168,11 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
         names = [x.split(" ")[0] for x in BLOCKS.split(", ")]
         types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
         schema = pa.schema([(x.split(" ")[0], types[x.split(" ")[1]]) for x in BLOCKS.split(", ")])
-        held: list[tuple[int | None, np.ndarray]] = []
+        held: list[tuple[int | None, np.ndarray]] = []  # at most BLOCK ids and a document
         state = {"n": 0, "block": 0, "start": 0}
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate([x for _, x in held]) if held else np.zeros(0, np.int64)
+            ids = np.concatenate([x for _, x in held])
             bits, n_bits, marks = pack_bits(ids, lens, codes)
             known = np.array([d is not None for d, _ in held], np.uint8)
             row = [file, state["block"], state["start"], len(held), len(ids), np.array([d or 0 for d, _ in held], "<i8").tobytes(), known.tobytes(), np.array([len(x) for _, x in held], "<u4").tobytes(), marks.astype("<u8").tobytes(), bits, n_bits, lens.tobytes() if state["block"] == 0 else None]
@@ -175,12 +182,13 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1,
             held.clear()
             return pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True))], schema)
 
-        for b in it:
-            for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                held.append((d, np.frombuffer(x, kind).astype(np.int64)))
-                state["n"] += len(held[-1][1])
-                if state["n"] >= BLOCK:
-                    yield flush()
+        for batch in it:
+            for b in slices(batch, "ids"):
+                for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                    held.append((d, np.frombuffer(x, kind)))
+                    state["n"] += len(held[-1][1])
+                    if state["n"] >= BLOCK:
+                        yield flush()
         if held:
             yield flush()
 
@@ -201,7 +209,7 @@ def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
     def decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sym, size = decode_table(lens)
         for b in it:
-            for r in b.to_pylist():
+            for r in (row for i in range(b.num_rows) for row in b.slice(i, 1).to_pylist()):
                 ids = unpack_bits(r["bits"], r["n_ids"], np.frombuffer(r["marks"], "<u8"), sym, size).astype("<u4")
                 n = np.frombuffer(r["lens"], "<u4").astype(np.int64)
                 ends = np.cumsum(n)
