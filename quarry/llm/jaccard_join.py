@@ -1,16 +1,21 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document's set holds its distinct shingles of `n` words as 64-bit hashes. Equal sets are collapsed first, by an
-aggregate over (size, digest). All shingles have one global order: those that are not frequent by hash, then the
+aggregate over (size, 128-bit digest). All shingles have one global order: those that are not frequent by hash, then the
 frequent ones by count; a pair at the threshold must share one of the first shingles of both (prefix filter) and have
 like sizes. That order is cut into FRAGMENTS vertical fragments. The first fragment screens candidates: what two sets
 already differ by there may not exceed what the threshold lets them differ by in all. For those left, every fragment's
 overlap is counted on its own and the partial counts are summed per pair.
 
-Groups of more than WIDE sets that share a prefix shingle, such as near copies, are not expanded into pairs: they are
-dealt in blocks of about BLOCK sets to tasks for pairs of blocks, which add up the overlaps of all their pairs fragment
-by fragment in memory and return only a spanning forest of the links. Nothing is capped. The table of frequent shingles
-has at most FREQUENT rows (which ones only changes the order, never the result); it is the only broadcast.
+Components need a spanning forest of the links only, so candidates come in three steps, each of them exact. First, sets
+that share a prefix shingle with up to NARROW others are compared with them, and in a larger group with one pivot, the
+least of the group. Then, in groups whose members are not all linked yet, those of different components are compared:
+in pairs in a group of up to WIDE; in a larger one, such as unlike copies of a form, in blocks of about BLOCK sets.
+There the members outside the largest component meet all others in tasks for pairs of blocks, which add up the overlaps
+of all their pairs fragment by fragment in memory and return only a spanning forest of the links. Nothing is capped. The table of
+frequent shingles has at most FREQUENT rows (which ones only changes the order, never the result), and the table that
+tells texts whose fragments are wanted has 2^MARK_BITS bits whatever the corpus (a wrong yes is dropped by the join that
+follows); both are broadcast.
 
 Nulls: a null text has no shingles, n_shingles 0, and links with nothing; a null doc_id is kept and never names a
 component unless all its members are null. Repeated rows and repeated doc_ids are members of their sets' classes. An
@@ -27,50 +32,62 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import U64, Forest, Stash, WordHash, components, mix, texts
+from quarry.llm.common import GOLD, U64, Bits, Forest, Stash, components, hash_words, mix, rolled, runs, slices, split_words
 
 FREQUENT = 400_000
 FRAGMENTS = 8
 LOCAL = 4  # a shingle is looked at as frequent if some part of the input has it so often
+NARROW = 8
 WIDE = 128
 BLOCK = 384
-
-
-def shingle_set(data: bytes, n: int, words: WordHash) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles; the whole sequence as one if it has fewer words."""
-    w = words.all(data.lower().split())
-    if not len(w):
-        return w
-    m = min(n, len(w))
-    h = np.full(len(w) - m + 1, m, U64)
-    for i in range(m):
-        h = mix(h) + w[i : len(w) - m + 1 + i] * U64(0x9E3779B97F4A7C15)
-    return np.unique(mix(h))
-
-
-def digest(h: np.ndarray) -> int:
-    """Signed 63-bit digest of a sorted set, never 0."""
-    if not len(h):
-        return 0
-    at = np.arange(1, len(h) + 1, dtype=U64)
-    v = mix(np.array([np.bitwise_xor.reduce(mix(h + at * U64(0xD6E8FEB86659FD93)))], U64) + U64(len(h)))
-    return int(v[0] >> U64(1)) or 1
+MARK_BITS = 26
+_SIEVE = 23  # bits of the table that tells most shingles that are not frequent
+
+
+def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes of the n-word shingles of all texts on end, number of each text's); the whole sequence as one if it has fewer words."""
+    index, words, count = split_words(column, lower=True)
+    w = hash_words(words)[index]
+    start = np.cumsum(count) - count
+    size = np.where(count > 0, np.maximum(count - n + 1, 1), 0)
+    flat, first = np.empty(size.sum(), U64), np.cumsum(size) - size
+    long = count >= n
+    flat[runs(first[long], size[long])] = rolled(w, runs(start[long], size[long]), n)
+    for m in range(1, n):
+        some = count == m
+        flat[first[some]] = rolled(w, start[some], m)
+    for a, b in zip(first.tolist(), (first + size).tolist(), strict=True):
+        flat[a:b].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[first[size > 0]] = True
+    return flat[new], np.diff(np.concatenate([[0], np.cumsum(new)])[np.append(first, len(flat))])
+
+
+def digests(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set."""
+    at, out = (np.cumsum(size) - size)[size > 0], []
+    for seed in (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)):
+        d = np.zeros(len(size), U64)
+        d[size > 0] = np.add.reduceat(mix((flat ^ seed) * GOLD), at) if len(at) else 0
+        out.append(mix(d + size.astype(U64)).view(np.int64))
+    return out[0], out[1]
 
 
 def frequent(docs: DataFrame, n: int) -> np.ndarray:
     """Hashes of frequent shingles, ascending by count."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = WordHash(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             u, c = np.unique(np.concatenate(held), return_counts=True)
             some = c >= LOCAL
             return pa.RecordBatch.from_arrays([pa.array(u[some].view(np.int64)), pa.array(c[some].astype(np.int64))], names=["h", "n"])
 
-        for b in it:
-            for t in texts(b):
-                held.append(shingle_set(t, n, words))
+        for batch in it:
+            for b in slices(batch):
+                held.append(shingle_sets(b.column("text"), n)[0])
                 size += len(held[-1])
                 if size >= 4_000_000:
                     yield flush()
@@ -84,49 +101,60 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, node (digest of the set), size, prefix (first shingles in the global order), first (low bits of fragment 0), and the columns `keep` (64-bit integers)."""
-    spark = docs.sparkSession
+    """doc_id, key (of the row), d1 and d2 (digests of the set), size, prefix (first shingles in the global order), first
+    (low bits of fragment 0), and the columns `keep` (64-bit integers)."""
     by_hash = np.argsort(often)
-    held = spark.sparkContext.broadcast((often[by_hash], by_hash.astype(np.int64)))
+    held = docs.sparkSession.sparkContext.broadcast((often[by_hash], by_hash.astype(np.int32)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         known, rank = held.value
-        for b in it:
-            sets = [shingle_set(t, n, words) for t in texts(b)]
-            flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-            hot = known[at] == flat if len(known) else np.zeros(len(flat), bool)
-            node, size, prefix, first, start = [], [], [], [], 0
-            for h in sets:
-                k, stop = len(h), start + len(h)
-                p = k - (num * k + den - 1) // den + 1 if k else 0
-                is_hot = hot[start:stop]
-                light = h[~is_hot][:p]
-                if len(light) < p:
-                    heavy, order = h[is_hot], np.argsort(rank[at[start:stop][is_hot]])
-                    light = np.concatenate([light, heavy[order][: p - len(light)]])
-                node.append(digest(h))
-                size.append(k)
-                prefix.append(light.astype("<u8").tobytes())
-                first.append(np.unique(h[h >> U64(61) == 0].astype("<u2")).tobytes())
-                start = stop
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.binary()), pa.array(first, pa.binary()), *[b.column(c) for c in keep]], names=["doc_id", "node", "size", "prefix", "first", *keep])
-
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(["doc_id long, node long, size long, prefix binary, first binary", *[f"{c} long" for c in keep]]))
+        sieve = np.zeros(1 << _SIEVE, bool)
+        sieve[known >> U64(64 - _SIEVE)] = True
+        for batch in it:
+            for b in slices(batch):
+                flat, size = shingle_sets(b.column("text"), n)
+                maybe = np.flatnonzero(sieve[flat >> U64(64 - _SIEVE)])
+                at = np.minimum(np.searchsorted(known, flat[maybe]), max(len(known) - 1, 0))
+                place = np.full(len(flat), -1, np.int32)
+                if len(known):
+                    place[maybe] = np.where(known[at] == flat[maybe], rank[at], -1)
+                wanted = np.where(size > 0, size - (num * size + den - 1) // den + 1, 0)
+                low = np.flatnonzero(flat >> U64(64 - (FRAGMENTS - 1).bit_length()) == 0)
+                ends = np.cumsum(size)
+                cut = np.searchsorted(low, np.append(ends - size, len(flat)))
+                prefix, first = [], []
+                for i, (start, stop, p) in enumerate(zip((ends - size).tolist(), ends.tolist(), wanted.tolist(), strict=True)):
+                    h, r = flat[start:stop], place[start:stop]
+                    light = h[r < 0][:p]
+                    if len(light) < p:
+                        hot = np.flatnonzero(r >= 0)
+                        light = np.concatenate([light, h[hot[np.argsort(r[hot])][: p - len(light)]]])
+                    prefix.append(light.astype("<u8").tobytes())
+                    first.append(np.unique(flat[low[cut[i] : cut[i + 1]]].astype("<u2")).tobytes())
+                d1, d2 = digests(flat, size)
+                cols = [pa.array(d1), pa.array(d2), pa.array(size), pa.array(prefix, pa.binary()), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_key"), *cols, *[b.column(c) for c in keep]], names=["doc_id", "key", "d1", "d2", "size", "prefix", "first", *keep])
+
+    rows = docs.select("doc_id", row_key().alias("_key"), "text", *keep)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, key long, d1 long, d2 long, size long, prefix binary, first binary", *[f"{c} long" for c in keep]]))
+
+
+def row_key() -> Column:
+    """64 bits of a row's doc_id and text: what has one key is taken together, and told apart by its set's digests."""
+    return F.xxhash64("doc_id", F.lit("|"), "text")
 
 
 def postings(classes: DataFrame) -> DataFrame:
     """(token, node, size, pos) of every prefix shingle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            sets = [np.frombuffer(x, "<i8") for x in b.column("prefix").to_pylist()]
-            n = np.array([len(s) for s in sets], np.int64)
-            if n.sum():
-                at = np.repeat(np.arange(len(n)), n)
-                pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), b.column("node").take(pa.array(at)), b.column("size").take(pa.array(at)), pa.array(pos.astype(np.int32))], names=["token", "node", "size", "pos"])
+        for batch in it:
+            for b in slices(batch, "prefix"):
+                sets = [np.frombuffer(x, "<i8") for x in b.column("prefix").to_pylist()]
+                n = np.array([len(s) for s in sets], np.int64)
+                if n.sum():
+                    at = np.repeat(np.arange(len(n)), n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), b.column("node").take(pa.array(at)), b.column("size").take(pa.array(at)), pa.array(runs(np.zeros(len(n), np.int64), n).astype(np.int32))], names=["token", "node", "size", "pos"])
 
     return classes.select("node", "size", "prefix").mapInArrow(run, "token long, node long, size long, pos int")
 
@@ -142,13 +170,14 @@ def screen(pairs: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame
     """Pairs (a, b) whose first fragments do not differ by more than the threshold allows in all."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ok = []
-            for x, y, s in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), batch.column("s").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
-                w = np.sort(np.concatenate([u, v]))
-                ok.append((len(w) - 2 * int((w[1:] == w[:-1]).sum())) * (num + den) <= (den - num) * s)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in it:
+            for batch in slices(whole, "fa"):
+                ok = []
+                for x, y, s in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), batch.column("s").to_pylist(), strict=True):
+                    w = np.frombuffer(x + y, "<u2").copy()
+                    w.sort()
+                    ok.append((len(w) - 2 * np.count_nonzero(w[1:] == w[:-1])) * (num + den) <= (den - num) * s)
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     left = firsts.select(F.col("node").alias("a"), F.col("first").alias("fa"), F.col("size").alias("sa"))
     right = firsts.select(F.col("node").alias("b"), F.col("first").alias("fb"), F.col("size").alias("sb"))
@@ -157,34 +186,43 @@ def screen(pairs: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame
 
 
 def fragments(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, size, part, segment): the sets of these classes (node, doc_id), cut by the top bits of the order."""
+    """(node, size, part, segment): the sets of these classes (node, key, d1, d2), cut by the top bits of the order.
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = WordHash(), U64(64 - (FRAGMENTS - 1).bit_length())
-        for b in it:
-            rows = []
-            for node, t in zip(b.column("node").to_pylist(), texts(b), strict=True):
-                h = shingle_set(t, n, words)
-                if digest(h) == node:
-                    cut = np.searchsorted(h >> bits, np.arange(FRAGMENTS + 1))
-                    rows += [(node, len(h), i, h[cut[i] : cut[i + 1]].astype("<u8").tobytes()) for i in range(FRAGMENTS)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["node", "size", "part", "segment"])
+    Texts are read again and those whose row key may be wanted are cut; no text is shuffled.
+    """
+    wanted = Bits(nodes, "key", MARK_BITS)
 
-    found = docs.select("doc_id", "text").alias("d").join(nodes.alias("n"), F.expr("d.doc_id <=> n.doc_id")).select("n.node", "d.text")
-    return found.mapInArrow(run, "node long, size long, part int, segment binary").dropDuplicates(["node", "part"])
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = U64(64 - (FRAGMENTS - 1).bit_length())
+        for whole in it:
+            for b in slices(whole.filter(pa.array(wanted.has(whole.column("key").to_numpy())))):
+                flat, size = shingle_sets(b.column("text"), n)
+                d1, d2 = digests(flat, size)
+                ends, raw = np.cumsum(size), flat.astype("<u8").tobytes()
+                full = np.flatnonzero(size)
+                part = (flat >> top).astype(np.int64)
+                cuts = np.searchsorted(np.repeat(np.arange(len(size)), size) * FRAGMENTS + part, np.arange(len(size) * FRAGMENTS + 1))
+                cuts = cuts.tolist()
+                segments = [raw[8 * cuts[k] : 8 * cuts[k + 1]] for i in full.tolist() for k in range(i * FRAGMENTS, (i + 1) * FRAGMENTS)]
+                at = np.repeat(full, FRAGMENTS)
+                yield pa.RecordBatch.from_arrays([pa.array(d1[at]), pa.array(d2[at]), pa.array(size[at]), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(full))), pa.array(segments, pa.binary())], names=["d1", "d2", "size", "part", "segment"])
+
+    found = docs.select(row_key().alias("key"), "text").mapInArrow(run, "d1 long, d2 long, size long, part int, segment binary")
+    return found.join(nodes.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "size", "part", "segment").dropDuplicates(["node", "part"])
 
 
 def verify(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b): partial overlaps per fragment, summed per pair."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            n = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                w = np.sort(np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")]))
-                n.append(int((w[1:] == w[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.select(["a", "b", "s"]).columns, pa.array(n, pa.int64())], names=["a", "b", "s", "n"])
+        for whole in it:
+            for batch in slices(whole, "x"):
+                n = []
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    w = np.frombuffer(x + y, "<u8").copy()
+                    w.sort()
+                    n.append(np.count_nonzero(w[1:] == w[:-1]))
+                yield pa.RecordBatch.from_arrays([*batch.select(["a", "b", "s"]).columns, pa.array(n, pa.int64())], names=["a", "b", "s", "n"])
 
     left = parts.select(F.col("node").alias("a"), "part", F.col("segment").alias("x"), F.col("size").alias("sa"))
     right = parts.select(F.col("node").alias("b"), "part", F.col("segment").alias("y"), F.col("size").alias("sb"))
@@ -218,48 +256,88 @@ def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num
             yield int(left[x]), int(right[y])
 
 
+def across_blocks(wide: DataFrame, docs: DataFrame, classes: DataFrame, n: int, num: int, den: int, stash: Stash) -> DataFrame:
+    """Links (a, b) between the components of each group: wide has token, node, c (component).
+
+    Members of a group's largest component meet only the others, which also meet one another; a set is sent once for
+    each block of those.
+    """
+    per = wide.groupBy("token", "c").agg(F.count("*").alias("k"))
+    groups = per.groupBy("token").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c")).alias("top"))
+    blocks = lambda x: F.greatest(F.ceil(x / BLOCK), F.lit(1)).cast("int")
+    groups = groups.select("token", F.col("top.c").alias("main"), blocks(F.col("top.k")).alias("mb"), blocks(F.col("k") - F.col("top.k")).alias("rb"))
+    rows = wide.join(groups, "token").withColumn("rest", F.col("c") != F.col("main"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rb")).otherwise(F.col("mb"))).cast("int"))
+    side = "struct({0} as x, {1} as i, {2} as j)"
+    to_rest = F.expr(f"transform(sequence(0, rb - 1), o -> {side.format('false', 'salt', 'o')})")
+    to_all = F.expr(f"concat(transform(sequence(0, mb - 1), o -> {side.format('false', 'o', 'salt')}), transform(sequence(0, rb - 1), o -> {side.format('true', 'least(salt, o)', 'greatest(salt, o)')}))")
+    dealt = rows.select("token", "node", "rest", "salt", F.explode(F.when(F.col("rest"), to_all).otherwise(to_rest)).alias("to")).select("token", "node", "rest", "salt", "to.*")
+    parts = stash(fragments(docs, classes.join(wide.select("node").distinct(), "node", "left_semi"), n), "wide-parts")
+    one = parts.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("part", "segment"))).alias("segments"))  # one row per set, in order
+    one = one.select("node", F.aggregate("segments", F.lit(b""), lambda s, x: F.concat(s, x["segment"])).alias("segment"))
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, "<u8") for x in pdf.segment]
+        names, rest, salt = pdf.node.tolist(), pdf["rest"].to_numpy(bool), pdf.salt.to_numpy()
+        if pdf.x.iloc[0]:
+            lo, hi = np.flatnonzero(salt == pdf.i.iloc[0]), np.flatnonzero(salt == pdf.j.iloc[0])
+        else:
+            lo, hi = np.flatnonzero(~rest), np.flatnonzero(rest)
+        forest = Forest(len(sets))
+        kept = [(names[x], names[y]) for x, y in block_links(sets, lo, hi, num, den) if forest.join(x, y)] if len(lo) and len(hi) else []
+        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(one, "node").groupBy("token", "x", "i", "j").applyInPandas(block, "a long, b long")
+
+
 def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id and node (the class of equal sets) of every row."""
+    """doc_id, n_shingles, component_id and node (the class of equal sets, null without shingles) of every row."""
     return join_groups(docs, n, num, den).drop("root")
 
 
 def join_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
     """As join_components, with root (the component's least node, null without shingles) and the columns `keep` of every row."""
     stash = Stash(docs.sparkSession)
-    rows = stash(describe(docs, n, num, den, frequent(docs, n), keep), "sets")
+    found = stash(describe(docs, n, num, den, frequent(docs, n), keep), "sets")
     # copies of one set have the same prefix and first fragment, whichever row of them is taken
-    classes = stash(rows.where("size > 0").groupBy("node", "size").agg(F.first("prefix").alias("prefix"), F.first("first").alias("first"), F.min("doc_id").alias("doc_id")), "classes")
+    classes = found.where("size > 0").groupBy("d1", "d2", "size").agg(F.first("prefix").alias("prefix"), F.first("first").alias("first"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # ids are those that were written
+    rows = stash(found.select("doc_id", "d1", "d2", "size", *keep), "rows")
+    stash.drop(found)
     every = postings(classes)
-    often = every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    often = stash(every.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("node", "size", "pos")).alias("pivot")).where("k > 1"), "tokens")
     index = stash(every.join(often, "token"), "index")
-    left = index.where(f"k <= {WIDE}").select("token", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"))
-    right = left.select("token", *[F.col(x).alias(y) for x, y in (("a", "b"), ("sa", "sb"), ("pa", "pb"))])
-    met = left.join(right, (left.token == right.token) & (F.col("a") < F.col("b")) & may_link(num, den))
-    near = stash(screen(met.select("a", "b").distinct(), classes.select("node", "size", "first"), num, den), "near")
-
-    wide = index.where(f"k > {WIDE}").select("token", "node", "k")
-    nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).union(wide.select("node")).distinct()
-    parts = stash(fragments(docs, nodes.join(classes.select("node", "doc_id"), "node"), n), "parts", codec="none")
-    pairs = verify(near, parts, num, den)
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, "<u8") for x in pdf.segment]
-        nodes_, salt = pdf.node.tolist(), pdf.salt.to_numpy()
-        lo, hi = np.flatnonzero(salt == salt.min()), np.flatnonzero(salt == salt.max())
-        forest = Forest(len(sets))
-        kept = [(nodes_[x], nodes_[y]) for x, y in block_links(sets, lo, hi, num, den) if forest.join(x, y)]
-        return pd.DataFrame(kept, columns=["a", "b"], dtype="int64")
-
-    m = F.ceil(F.col("k") / BLOCK).cast("int")
-    dealt = wide.withColumn("m", m).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, m - 1)")))
-    dealt = dealt.select("node", "token", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
-    # one row per set: its fragments in order
-    segments = F.array_sort(F.collect_list(F.struct("part", "segment")))
-    one = parts.join(wide.select("node").distinct(), "node", "left_semi").groupBy("node").agg(segments.alias("segments"))
-    one = one.select("node", F.aggregate("segments", F.lit(b""), lambda s, x: F.concat(s, x["segment"])).alias("segment"))
-    across = dealt.join(one, "node").groupBy("token", "i", "j").applyInPandas(block, "a long, b long")
-    root = components(stash, pairs.union(across))
-    shared = classes.select("node", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = shared.join(shared.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "root", "component_id")
-    out = rows.select("doc_id", "node", "size", *keep).join(stash(named, "named"), "node", "left")
+    stash.drop(often)
+
+    def side(df: DataFrame, s: str, *more: str) -> DataFrame:
+        return df.select("token", F.col("node").alias(s), F.col("size").alias(f"s{s}"), F.col("pos").alias(f"p{s}"), *[F.col(c).alias(f"{c}{s}") for c in more])
+
+    def met(df: DataFrame, *more: str) -> DataFrame:
+        return side(df, "a", *more).join(side(df, "b", *more), "token").where("a < b").where(may_link(num, den))
+
+    def links(pairs: DataFrame, tag: str) -> DataFrame:
+        near = stash(screen(pairs.select("a", "b").distinct(), classes.select("node", "size", "first"), num, den), f"near-{tag}")
+        nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+        parts = stash(fragments(docs, classes.join(nodes, "node", "left_semi"), n), f"parts-{tag}")
+        out = stash(verify(near, parts, num, den), f"links-{tag}")
+        stash.drop(near, parts)
+        return out
+
+    star = index.where(f"k > {NARROW} and node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("pivot.size").alias("sa"), F.col("pivot.pos").alias("pa"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"))
+    first = links(met(index.where(f"k <= {NARROW}")).select("a", "b").union(star.where(may_link(num, den)).select("a", "b")), "first")
+    root = stash(components(stash, first), "linked")
+    large = index.where(f"k > {NARROW}").select("token", "node", "size", "pos", "k").join(root, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    large = stash(large.select("token", "node", "size", "pos", "k", "c"), "large")
+    split = large.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
+    open_ = stash(large.join(split, "token"), "open")
+    stash.drop(index, large)
+    pairs = met(open_.where(f"k <= {WIDE}"), "c").where("ca <> cb")
+    second = links(pairs, "second")
+    third = stash(across_blocks(open_.where(f"k > {WIDE}").select("token", "node", "c"), docs, classes, n, num, den, stash), "links-wide")
+    stash.drop(open_)
+    spanning = root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    root = components(stash, spanning.union(second).union(third))
+    shared = classes.select("node", "d1", "d2", "size", "doc_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = shared.join(shared.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("d1", "d2", "size", "node", "root", "component_id")
+    out = rows.join(stash(named, "named"), ["d1", "d2", "size"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", "root", *keep)
