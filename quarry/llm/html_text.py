@@ -1,14 +1,17 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. Elements that are never main text (by tag, role or name: menus, page headers and
-footers, sidebars, notices, adverts, forms, scripts, comments) are set aside. For every other element the density is its
+A page becomes a tree of elements. Elements that are never main text by their tag (menus, footers, asides, scripts,
+controls) are set aside. A role, a name (class or id) or the tag of a form or page header is a hint only: what has one is
+set aside unless it holds the page's core, that is an article or main element, else a first heading, else the element of
+most plain text that readers did not write, and more text than what no hint touches. For every other element the density is its
 characters per tag, adjusted by how much of them is linked; an element's density sum adds up the densities of its
 children. The element of the largest sum is the article's core; the least density on its path from the body is the
 threshold by which its siblings join it, and an article or main element around it is taken whole. Its text is emitted by
 blocks, in page order.
 
 Nulls: null html gives the empty text and 0 characters; a null page_id or url is kept. Repeated rows are extracted each on
-their own; nothing is capped. An empty table gives no rows. Other columns are ignored.
+their own; nothing is capped, a page of any length is parsed whole. An empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from math import e, log
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quarry.llm.common import slices
+
 #: Fixed values of HTML: elements without an end tag, of unparsed content, of block layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -28,11 +33,13 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 #: A start tag ends an open element of these tags, up to the nearest stop.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Never main text.
-NOISE_TAGS = frozenset("nav footer aside form button select input textarea label script style noscript iframe object embed svg canvas template dialog head menu fieldset audio video map search title option".split())
+NOISE_TAGS = frozenset("nav footer aside button select input textarea label script style noscript iframe object embed svg canvas template dialog head menu audio video map search title option".split())
+HINT_TAGS = frozenset("form fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot adbox adsbygoogle banner sponsor sponsored promo promotion promoted nav navbar navigation menu menubar breadcrumb breadcrumbs crumbs pagination pager sidebar sidebars aside rail footer footers foot masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations teaser teasers trending popular comment comments commentlist disqus respond reply replies discussion reader-comments search widget widgets tags tagcloud skip skiplink print hidden copyright legal disclaimer outbrain taboola".split()
 )
+READERS = frozenset("comment comments commentlist disqus respond reply replies discussion reader-comments".split())
 NOISE_ARTICLES = frozenset("ad advert comment reply promo sponsored teaser related recommended".split())
 #: Names of a page's layout, not of what an element holds.
 LAYOUT = ("has-", "with-", "no-", "without-")
@@ -43,36 +50,91 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+#: What is known of an element before the page is weighed: nothing, a hint that it is noise, one that readers wrote it, noise.
+PLAIN, HINT, READER, NOISE = range(4)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "kind", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", noise: bool):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: "Node | None", kind: int):
+        self.tag, self.parent, self.kind, self.noise = tag, parent, kind, kind != PLAIN
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_noise(tag: str, attrs: str, inside: bool) -> bool:
-    """By tag, role, name or visibility. inside: of an article or main element, whose header is its own."""
-    if tag in NOISE_TAGS or (tag == "header" and not inside):
-        return True
+def noise_kind(tag: str, attrs: str, inside: bool) -> int:
+    """By tag, visibility, role or name. inside: of an article or main element, whose header is its own."""
+    if tag in NOISE_TAGS:
+        return NOISE
+    kind = HINT if tag in HINT_TAGS or (tag == "header" and not inside) else PLAIN
     for m in _ATTR.finditer(attrs) if attrs else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return NOISE
         if key == "role" and value in NOISE_ROLES:
-            return True
+            kind = max(kind, HINT)
         if key in ("class", "id") and tag not in ("body", "html", "main"):
             names = [w for w in (m[2] or "").strip("\"'").split() if not w.lower().startswith(LAYOUT)]
             words = {x for w in names for x in (w.lower(), *(y.lower() for y in _NAME.findall(w)))}
             if words & (NOISE_NAMES if tag != "article" else NOISE_ARTICLES):
-                return True
-    return False
+                kind = max(kind, READER if words & READERS else HINT)
+    return kind
+
+
+def text_size(x: Node | str) -> int:
+    """Characters of a text, or of an element outside its children."""
+    return len(x.strip()) if isinstance(x, str) else sum(len(p.strip()) for p in x.parts if isinstance(p, str))
+
+
+def settle(root: Node) -> None:
+    """Overrule hints on elements that hold the page's core."""
+    order: list[tuple[Node, bool]] = []
+    todo = [(root, False)]
+    while todo:
+        x, readers = todo.pop()
+        if x.kind == NOISE:
+            continue
+        readers = readers or x.kind == READER
+        order.append((x, readers))
+        todo += [(p, readers) for p in reversed(x.parts) if isinstance(p, Node)]
+    if not any(x.kind for x, _ in order):
+        return
+    signs = {id(x) for x, readers in order if x.tag in KEPT_INSIDE and not readers and x.kind == PLAIN} or {id(x) for x, readers in order if x.tag == "h1" and not readers}
+    if not signs:
+        own = [(not readers, sum(0 if isinstance(p, Node) and (p.tag == "a" or p.noise) else text_size(p) for p in x.parts), id(x)) for x, readers in order]
+        signs = {max((y for y in own if y[1]), default=(False, 0, 0), key=lambda y: y[:2])[2]}
+    strong, net = set(signs), dict.fromkeys((id(x) for x, _ in order), 0)
+    for x, _ in reversed(order):
+        net[id(x)] += text_size(x)
+        if (up := x.parent) is not None:
+            if id(x) in strong:
+                strong.add(id(up))
+            if x.kind == PLAIN or id(x) in strong:
+                net[id(up)] += net[id(x)]
+    free, open_ = 0, {id(root)}
+    for x, _ in order:
+        if x.parent is None or id(x.parent) in open_:
+            if x.kind == PLAIN:
+                open_.add(id(x))
+                free += text_size(x)
+    counted: set[int] = set()  # elements whose text a hint overruled further out has brought in
+    for x, _ in order:  # outer elements first
+        if x.parent is not None and id(x.parent) in counted and (x.kind == PLAIN or id(x) in strong):
+            counted.add(id(x))
+        if x.kind == PLAIN:
+            continue
+        inside = net[id(x)]
+        outside = free - inside if id(x) in counted else free
+        if id(x) in strong and inside > outside:
+            x.noise = False
+            free = outside + inside
+            counted.add(id(x))
 
 
 def parse(html: str) -> Node:
-    root = Node("html", None, False)
+    root = Node("html", None, PLAIN)
     stack, at, n = [root], 0, len(html)
     inside = 0
 
@@ -118,7 +180,7 @@ def parse(html: str) -> Node:
                 if stack[i].tag in stops:
                     break
         top = stack[-1]
-        node = Node(tag, top, is_noise(tag, attrs, inside > 0))
+        node = Node(tag, top, noise_kind(tag, attrs, inside > 0))
         top.parts.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -129,6 +191,7 @@ def parse(html: str) -> Node:
             continue
         stack.append(node)
         inside += tag in KEPT_INSIDE
+    settle(root)
     return root
 
 
@@ -222,8 +285,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            made = [extract(h) for h in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(made, pa.string()), pa.array([len(x) for x in made], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for batch in it:
+            for b in slices(batch, "html"):
+                made = [extract(h) for h in b.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(made, pa.string()), pa.array([len(x) for x in made], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
