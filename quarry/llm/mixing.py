@@ -3,15 +3,19 @@
 A classifier learned from the labelled table gives each document a posterior over DOMAINS; it is naive Bayes over the
 presence of telling word beginnings and over binned shares of symbols, capitals and distinct words. Projected-gradient
 least squares then fits a nonnegative rate for every document, so that the expected tokens of each domain, the sum of
-rate * tokens * posterior, meet their targets: the largest domain keeps its tokens and the others get their weights
-relative to it. Where a domain has fewer tokens than that, rates above 1 repeat its documents; otherwise, or with
-`most`, rates are bounded. Shares that are missed by more than MISSED are told in a warning. Each step is one aggregate over the documents; only one number per domain
-reaches the driver, and a document's rate is an expression of its posterior and those numbers.
-
-Tokens are white-space separated words. The classifier learns from at most `sample` labelled rows (default SAMPLE, those
-of lowest hash), with at most TERMS terms; all else covers all rows. Nulls: a null text is empty, with 0 tokens; null
-labels are not learned from; a null doc_id is kept. Repeated rows get a rate each. An empty table gives no rows; without
-labels all documents are of the first domain, and the others' targets are missed. Other columns are passed through by `mix`, but those named as results.
+rate * tokens * posterior, meet their targets: of the domains that are there, that of the largest weight keeps its tokens
+and the others get their weights relative to it. Where a domain has fewer tokens than that, rates above 1 repeat its
+documents; otherwise, or with `most`, rates are bounded. A domain whose share is less than its weight over SCARCE is
+taken as not there: its target cannot be met, and the rest is mixed among themselves. Shares that are missed by more than
+MISSED are told in a warning. Each step is one aggregate over the documents; only one number per domain reaches the
+driver, and a document's rate is an expression of its posterior and those numbers.
+
+Tokens are white-space separated words. The classifier learns from at most `sample` labelled documents (default SAMPLE,
+those of lowest hash; of a repeated doc_id the least row, of several labels the worst), with at most TERMS terms; all else
+covers all rows. Nulls: a null text is empty, with 0 tokens; null labels are not learned from; a null doc_id is kept.
+Repeated rows get a rate each; empty texts too, whatever their length. An empty table gives no rows; without labels all
+documents are of the first domain, and the others' targets are missed. If no domain that is there has a weight, it raises.
+Other columns are passed through by `mix`, whatever their names, but those named as results.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ TARGETS = {"clean": 0.96, "low": 0.03, "toxic": 0.01}
 SAMPLE = 10_000
 TERMS = 400
 PREFIX = 5
-NONE = 1e-9  # a domain with no larger a share of the tokens has no documents
+SCARCE = 100.0  # a domain whose documents would be repeated more often than that is taken as not there
 MISSED = 0.001
 LEAN = 3.0  # a term is some twenty times as frequent in its domain as elsewhere
 CUTS = {"symbols": (0.02, 0.1, 0.3, 0.6, 0.9), "capitals": (0.05, 0.15, 0.3, 0.6), "distinct": (0.1, 0.2, 0.3, 0.45, 0.6, 0.8), "words": (5, 10, 30, 100, 300, 1000)}
@@ -53,8 +57,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
     few = labels.where("doc_id is not null and toxic is not null and quality is not null").groupBy("doc_id").agg(F.max(domain).alias("_y"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most `sample` rows of two numbers are sent; repeated documents beyond it are left out of the sample, not of the mix
-    seen = Stash(docs.sparkSession)(features(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").limit(sample)).select("_y", "_terms", *[f"_b_{k}" for k in CUTS]), "seen")
+    # at most `sample` rows of two numbers are sent
+    each = features(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")).select("doc_id", F.struct("_y", "_terms", *[f"_b_{k}" for k in CUTS]).alias("x"))
+    seen = Stash(docs.sparkSession)(each.groupBy("doc_id").agg(F.min("x").alias("x")).select("x.*"), "seen")
     size = {r._y: r.n for r in seen.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     total = sum(size.values())
     model = {"prior": [log((size.get(k, 0) + (0.01 if total else k == 0)) / (total + 0.03)) if total or k == 0 else -50.0 for k in range(3)], "terms": [], "bins": {}}
@@ -109,10 +114,11 @@ def fit(soft: DataFrame, targets: dict[str, float], most: float | None = None, s
         got = soft.agg(*[F.sum(rate * F.col("tokens") * p[k]) for k in range(3)]).first()
         now = [float(x or 0.0) for x in got]
         if not goal:
-            lead = max(range(3), key=lambda k: w[k])
-            # no document is of a domain below this; its target shows in what is left
-            mass = [x if x > NONE * sum(now) else 0.0 for x in now]
-            goal = [w[k] / w[lead] * mass[lead] for k in range(3)]
+            mass = [x if x * sum(w) * SCARCE >= w[k] * sum(now) else 0.0 for k, x in enumerate(now)]
+            lead = max(range(3), key=lambda k: (mass[k] > 0, w[k], mass[k]))
+            if mass[lead] > 0 and not w[lead]:
+                raise ValueError("no document is of a domain whose target is above 0")
+            goal = [w[k] / w[lead] * mass[lead] if w[lead] else 0.0 for k in range(3)]
             if most is None and all(goal[k] <= mass[k] for k in range(3) if mass[k] > 0):
                 most = 1.0
         miss = [(now[k] - goal[k]) / mass[k] if mass[k] > 0 else 0.0 for k in range(3)]
@@ -134,15 +140,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """The input's columns, tokens, p_<domain>, rate, and copies: the rate rounded at random by a hash of the document."""
     stash = Stash(docs.sparkSession)
     made = ["tokens", *(f"p_{d}" for d in DOMAINS), "rate", "copies"]
-    docs = docs.drop(*made, "_terms", "_words", "_chars", "_symbols", "_capitals", "_y", "p0", "p1", "p2", "_s", "_u", *[f"_b_{k}" for k in CUTS])
-    scored = features(docs).withColumn("_s", F.array(*posterior(learn(docs, labels, sample))))
+    keep = [c for c in docs.columns if c.lower() not in made]
+    seed = F.xxhash64(*[F.col(c) for c in docs.columns if c.lower() in ("doc_id", "text")])
+    # the input's columns travel in one, so that none can clash with a name that is used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"), (F.pmod(seed, F.lit(1 << 20)) / (1 << 20)).alias("u"))
+    scored = features(rows).withColumn("_s", F.array(*posterior(learn(docs, labels, sample))))
     top = F.array_max("_s")
     scored = scored.withColumn("_s", F.transform("_s", lambda x: F.exp(x - top)))
     all_ = F.aggregate("_s", F.lit(0.0), lambda s, x: s + x)
-    scored = scored.withColumn("_s", F.transform("_s", lambda x: x / all_)).select(*docs.columns, "tokens", *[F.col("_s")[k].alias(f"p{k}") for k in range(3)], (F.pmod(F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns]), F.lit(1 << 20)) / (1 << 20)).alias("_u"))
+    scored = scored.withColumn("_s", F.transform("_s", lambda x: x / all_)).select("row", "u", "tokens", *[F.col("_s")[k].alias(f"p{k}") for k in range(3)])
     soft = stash(scored, "soft")
     rate, _, left = fit(soft, targets or TARGETS, most)
     if max(map(abs, left.values())) > MISSED:
         warnings.warn(f"mixing: shares differ from their targets by {', '.join(f'{d} {x:+.4f}' for d, x in left.items())}", stacklevel=2)
     rate = F.bround(rate, 3)
-    return soft.select(*docs.columns, "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate.alias("rate"), F.floor(rate + F.col("_u")).cast("int").alias("copies"))
+    return soft.select(*[F.col(f"row.`{c}`").alias(c) for c in keep], "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate.alias("rate"), F.floor(rate + F.col("u")).cast("int").alias("copies"))

@@ -5,33 +5,39 @@ unit vector. Two vectors collide in a projection if one lies in the window of ha
 at the cosine threshold collide in so many projections that a count of `needed` keeps all but MISS of them, while
 others seldom reach it. Pairs that reach it are verified by the cosine in double precision.
 
-The first projection also cuts each label into cells as wide as its own (wider) window, so only neighbouring cells
-meet; a cell is dealt by a hash into blocks of about BLOCK vectors and each pair of blocks is one task, so a hot label
-or a crowd of near copies is many bounded tasks. A task sorts each projection, adds up window collisions for all its
-pairs in memory, and returns only counts per vector and a spanning forest. Equal vectors are one class with a
-multiplicity. The work of a label still grows with the square of its distinct vectors, in blocks.
+To find pairs, wide query-centred windows (a pair at the threshold leaves one with a probability of 2e-4) are used on the
+first projections: some of them, more for a larger label, cut space into cells of four half-widths, and a vector visits the
+cells that its window touches; in a task, one projection more is sorted and each query takes the range of its window,
+and SIEVES more drop pairs. Only for what is left are all collisions counted. A cell is dealt by a hash into blocks of
+about BLOCK vectors and each pair of blocks is one task, so a crowd of near copies is many bounded tasks. A task returns
+only counts per vector and a spanning forest. Equal unit vectors are one class with a multiplicity. The work of a label
+grows with the square of its distinct vectors, less a factor of about 0.64 for each axis of the cells.
 
 Vectors that are null, empty, zero or hold null or non-finite components, or have a null label, link with nothing: 0
-links, their own component. A null vec_id is kept. Repeated rows are links of each other. An empty table gives no rows.
-Other columns are ignored.
+links, their own component. Components of any finite size are compared (vectors are scaled by their largest first). A
+null vec_id is kept. Repeated rows are links of each other. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 from math import comb, erf, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Forest, Stash, components
+from quarry.llm.common import Forest, Stash, components, runs
 
 PROJECTIONS = 32
 WINDOW = 0.3
 MISS = 2e-4
+SIEVES = 4
+MOST_AXES = 12
 BLOCK = 1024
 
 
@@ -50,97 +56,126 @@ def axes(dim: int, m: int = PROJECTIONS) -> np.ndarray:
     return np.random.default_rng(dim).standard_normal((dim, m))
 
 
-def project(vectors: DataFrame, wide: float) -> DataFrame:
-    """vec_id, label, dim, ok, key (equal vectors), cell, v (components as doubles), p (projections)."""
+def project(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, dim, v (unit vector in doubles), p (projections); dim is 0 and the rest null for what links with nothing."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                column, label = b.column("embedding"), b.column("label").cast(pa.int64())
+                size = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components become NaN
+                start, known = np.cumsum(size) - size, ~label.is_null().to_numpy(zero_copy_only=False)
+                dim, v, p = np.zeros(len(size), np.int32), [None] * len(size), [None] * len(size)
+                for d in np.unique(size[size > 0]).tolist():
+                    rows = np.flatnonzero((size == d) & known)
+                    x = flat[start[rows][:, None] + np.arange(d)]
+                    most = np.abs(x).max(1, initial=0.0)
+                    good = np.isfinite(most) & (most > 0)
+                    rows, x = rows[good], x[good] / most[good][:, None]
+                    x = x / np.sqrt((x * x).sum(1))[:, None] + 0.0
+                    y = (x @ axes(d)).astype("<f4")
+                    dim[rows] = d
+                    for i, u, w in zip(rows.tolist(), x.astype("<f8"), y, strict=True):
+                        v[i], p[i] = u.tobytes(), w.tobytes()
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), label, pa.array(dim), pa.array(v, pa.binary()), pa.array(p, pa.binary())], names=["vec_id", "label", "dim", "v", "p"])
+
+    return vectors.select("vec_id", "label", "embedding").mapInArrow(run, "vec_id long, label long, dim int, v binary, p binary")
+
+
+def deal(classes: DataFrame, wide: float) -> DataFrame:
+    """The columns of classes and, for each cell that a vector is in or visits, cell and home: true for its own one. It visits cells after its own only, so two vectors meet once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
         for b in it:
-            rows = []
-            for x, label in zip(b.column("embedding").to_pylist(), b.column("label").to_pylist(), strict=True):
-                v = np.array(x, np.float64) if x and label is not None and None not in x else None
-                norm = float(np.sqrt(v @ v)) if v is not None else 0.0
-                if not 0 < norm < np.inf:
-                    rows.append((0, False, None, None, None))
-                    continue
-                a = held.setdefault(len(v), axes(len(v)))
-                p = (v / norm) @ a
-                rows.append((len(v), True, int(np.floor(p[0] / wide)), v.tobytes(), p.astype("<f4").tobytes()))
-            made = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), b.column("label").cast(pa.int64()), *(pa.array(list(x), k) for x, k in zip(made, kinds, strict=True))], names=["vec_id", "label", "dim", "ok", "cell", "v", "p"])
-
-    return vectors.select("vec_id", "label", "embedding").mapInArrow(run, "vec_id long, label long, dim int, ok boolean, cell int, v binary, p binary")
-
-
-def collisions(p: np.ndarray, q: np.ndarray, window: float) -> np.ndarray:
-    """How many projections have q[j] in the window around p[i], for all i and j: sorted projections, range counts."""
-    out = np.zeros((len(p), len(q)), np.uint8)
-    rows = np.arange(len(p))
-    for k in range(p.shape[1]):
-        order = np.argsort(q[:, k], kind="stable")
-        line = q[order, k]
-        edge = np.zeros((len(p), len(q) + 1), np.int8)
-        edge[rows, np.searchsorted(line, p[:, k] - window, "left")] += 1
-        edge[rows, np.searchsorted(line, p[:, k] + window, "right")] -= 1
-        out[:, order] += np.cumsum(edge[:, :-1], axis=1, dtype=np.int8).view(np.uint8)
-    return out
+            n_axes = b.column("axes").to_numpy()
+            p = np.frombuffer(b"".join(b.column("p").to_pylist()), "<f4").reshape(b.num_rows, -1)
+            at = lambda x: np.clip(np.floor(x / (4 * wide)), -8, 7).astype(np.int64) + 8
+            own, low, high = at(p), at(p - wide), at(p + wide)
+            row, cell, home = [], [], []
+            for i, k in enumerate(n_axes.tolist()):
+                mine = tuple(own[i, :k].tolist())
+                for c in product(*(range(x, y + 1) for x, y in zip(low[i, :k].tolist(), high[i, :k].tolist(), strict=True))):
+                    if c >= mine:
+                        row.append(i)
+                        cell.append(sum(x << (4 * j) for j, x in enumerate(c)))
+                        home.append(c == mine)
+            rows = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in ("label", "dim", "node", "k", "v", "p")), pa.array(cell, pa.int64()), pa.array(home, pa.bool_())], names=["label", "dim", "node", "k", "v", "p", "cell", "home"])
+
+    return classes.select("label", "dim", "node", "k", "v", "p", "axes").mapInArrow(run, "label long, dim int, node long, k long, v binary, p binary, cell long, home boolean")
+
+
+def collisions(p: np.ndarray, q: np.ndarray, wide: float, window: float, least: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) in each other's wide windows of some projections from `skip` on that collide in `least` or more of all."""
+    line = np.argsort(q[:, skip], kind="stable")
+    value = q[line, skip]
+    lo, hi = np.searchsorted(value, p[:, skip] - wide, "left"), np.searchsorted(value, p[:, skip] + wide, "right")
+    i, j = np.repeat(np.arange(len(p)), hi - lo), line[runs(lo, hi - lo)]
+    for k in range(skip + 1, skip + 1 + SIEVES):
+        near = np.abs(p[i, k] - q[j, k]) <= wide
+        i, j = i[near], j[near]
+    enough = np.zeros(len(i), bool)
+    for s in range(0, len(i), 65_536):
+        some = slice(s, s + 65_536)
+        enough[some] = np.count_nonzero(np.abs(p[i[some]] - q[j[some]]) <= window, axis=1) >= least
+    return i[enough], j[enough]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     stash = Stash(vectors.sparkSession)
-    reach = sqrt(2 - 2 * cosine)
-    wide, least = 3.7 * reach, needed(cosine)  # a pair misses the wide window with probability 2e-4
-    key = F.when(F.col("ok"), F.xxhash64("v", "label")).alias("key")
-    rows = stash(project(vectors, wide).select("vec_id", "label", "dim", "ok", "cell", "v", "p", key), "projected")
-    good = rows.where("ok")
-    classes = stash(good.groupBy("key", "label", "dim", "cell").agg(F.count("*").alias("k"), F.min("vec_id").alias("vec_id"), F.first("v").alias("v"), F.first("p").alias("p")), "classes")
-    counts = classes.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
-    for name, step in (("m", 0), ("up", 1), ("down", -1)):
-        near = counts.select("label", "dim", (F.col("cell") - step).alias("cell"), F.col("m").alias(name))
-        classes = classes.join(near, ["label", "dim", "cell"], "left")
-    dealt = classes.withColumn("s", F.pmod(F.xxhash64("key"), F.col("m")).cast("int"))
-    task = "transform(sequence(0, {n} - 1), o -> struct({cell} as c, {x} as x, {i} as i, {j} as j, {right} as r))"
-    own = task.format(n="m", cell="cell", x="0", i="least(s, o)", j="greatest(s, o)", right="s > o")
-    up = task.format(n="up", cell="cell", x="1", i="s", j="o", right="false")
-    down = task.format(n="down", cell="cell - 1", x="1", i="o", j="s", right="true")
-    none = "cast(array() as array<struct<c:int,x:int,i:int,j:int,r:boolean>>)"
-    dealt = dealt.withColumn("to", F.explode(F.expr(f"concat({own}, coalesce({up}, {none}), coalesce({down}, {none}))")))
+    wide, least = 3.7 * sqrt(2 - 2 * cosine), needed(cosine)
+    keys = [F.when(F.col("dim") > 0, F.xxhash64("v", "label")).alias("k1"), F.when(F.col("dim") > 0, F.xxhash64(F.lit("second"), "label", "v")).alias("k2")]
+    found = stash(project(vectors).select("*", *keys), "projected")
+    classes = found.where("dim > 0").groupBy("k1", "k2", "label", "dim").agg(F.count("*").alias("k"), F.min("vec_id").alias("vec_id"), F.first("v").alias("v"), F.first("p").alias("p"))
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # ids are those that were written
+    rows = stash(found.select("vec_id", "k1", "k2"), "rows")
+    stash.drop(found)
+    many = F.least(F.lit(MOST_AXES), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)))).cast("int").alias("axes")
+    sizes = classes.groupBy("label", "dim").agg(many)
+    met = stash(deal(classes.join(sizes, ["label", "dim"]), wide), "cells")
+    blocks = lambda side: F.ceil(F.count_if(side) / BLOCK).cast("int")
+    cells = met.groupBy("label", "dim", "cell").agg(blocks(F.col("home")).alias("hb"), blocks(~F.col("home")).alias("vb")).where("hb > 0")
+    dealt = met.join(cells, ["label", "dim", "cell"]).withColumn("s", F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("hb")).otherwise(F.col("vb"))).cast("int"))
+    to = "transform(if({n} > 0, sequence(0, {n} - 1), cast(array() as array<int>)), o -> struct({x} as x, {i} as i, {j} as j))"
+    at_home = F.expr(f"concat({to.format(n='hb', x='false', i='least(s, o)', j='greatest(s, o)')}, {to.format(n='vb', x='true', i='s', j='o')})")
+    away = F.expr(to.format(n="hb", x="true", i="o", j="s"))
+    tasks = dealt.withColumn("to", F.explode(F.when(F.col("home"), at_home).otherwise(away))).select("label", "dim", "cell", "node", "k", "v", "p", "home", "s", "to.*")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        alone = bool(pdf.x.iloc[0] == 0 and pdf.i.iloc[0] == pdf.j.iloc[0])
-        left = pdf if alone else pdf[~pdf.r]
-        right = pdf if alone else pdf[pdf.r]
+        away, i, j = bool(pdf.x.iloc[0]), pdf.i.iloc[0], pdf.j.iloc[0]
+        alone = not away and i == j
+        left, right = (pdf[pdf.home], pdf[~pdf.home]) if away else (pdf, pdf) if alone else (pdf[pdf.s == i], pdf[pdf.s == j])
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
         get = lambda d, c, t: np.frombuffer(b"".join(d[c]), t).reshape(len(d), -1)
         p, q, u, v = get(left, "p", "<f4"), get(right, "p", "<f4"), get(left, "v", "<f8"), get(right, "v", "<f8")
-        x, y = np.nonzero(collisions(p, q, WINDOW) >= least)
+        x, y = collisions(p, q, wide, WINDOW, least, MOST_AXES)
         if alone:
             x, y = x[x < y], y[x < y]
         ok = np.zeros(len(x), bool)
-        nu, nv = np.sqrt((u * u).sum(1)), np.sqrt((v * v).sum(1))
-        for s in range(0, len(x), 65_536):
-            i, j = x[s : s + 65_536], y[s : s + 65_536]
-            ok[s : s + 65_536] = (u[i] * v[j]).sum(1) / (nu[i] * nv[j]) >= cosine
+        for s in range(0, len(x), 16_384):
+            a, b = x[s : s + 16_384], y[s : s + 16_384]
+            ok[s : s + 16_384] = (u[a] * v[b]).sum(1) >= cosine
         x, y = x[ok], y[ok]
-        ka, kb, na, nb = left.key.to_numpy(), right.key.to_numpy(), left.k.to_numpy(), right.k.to_numpy()
+        ka, kb, na, nb = left.node.to_numpy(), right.node.to_numpy(), left.k.to_numpy(), right.k.to_numpy()
         la = np.bincount(x, nb[y], len(left)).astype(np.int64)
         lb = np.bincount(y, na[x], len(right)).astype(np.int64)
         forest = Forest(len(left) + len(right))
         shift = 0 if alone else len(left)
-        tree = [(int(ka[i]), int(kb[j]), 0) for i, j in zip(x.tolist(), y.tolist(), strict=True) if forest.join(i, j + shift)]
+        tree = [(int(ka[a]), int(kb[b]), 0) for a, b in zip(x.tolist(), y.tolist(), strict=True) if forest.join(a, b + shift)]
         links = [(int(k), 0, int(n)) for ks, ns in ((ka, la), (kb, lb)) for k, n in zip(ks, ns, strict=True) if n]
         return pd.DataFrame(tree + links, columns=["a", "b", "n"], dtype="int64")
 
-    tasks = dealt.select("label", "dim", "key", "k", "v", "p", "to.*").groupBy("label", "dim", "c", "x", "i", "j")
-    found = stash(tasks.applyInPandas(compare, "a long, b long, n long"), "found")
+    found = stash(tasks.groupBy("label", "dim", "cell", "x", "i", "j").applyInPandas(compare, "a long, b long, n long"), "found")
+    stash.drop(met)
     root = components(stash, found.where("n = 0").select("a", "b"))
-    links = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "key")
-    label = classes.select("key", "k", "vec_id").join(root, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    links = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
+    label = classes.select("k1", "k2", "node", "k", "vec_id").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = label.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    named = label.join(names, "root").join(links, "key", "left").select("key", "component_id", (F.col("k") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = rows.select("vec_id", "key").join(stash(named, "named"), "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    named = label.join(names, "root").join(links, "node", "left").select("k1", "k2", "component_id", (F.col("k") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    out = rows.join(stash(named, "named"), ["k1", "k2"], "left")
+    component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

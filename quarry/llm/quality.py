@@ -7,8 +7,10 @@ expression.
 
 The labelled sample has at most `sample` rows (default SAMPLE), chosen by a hash of doc_id; everything else covers all
 rows. Nulls: a null text counts as no words (base_failed); null labels are not used; a null doc_id is rated like any
-other. Repeated rows are rated each on their own. An empty table gives no rows; without labels no rule is learned.
-Columns of the input are passed through; one that has a name of a result column is replaced.
+other. Repeated rows are rated each on their own; of a labelled doc_id with several rows the one of the least statistics
+is learned from, and of several labels the worse. An empty table gives no rows; without labels no rule is learned. A
+text of any length is counted whole, on its own in memory. Columns of the input are passed through; one that has a name
+of a result column, in whatever case, is replaced.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import U64, WordHash, mix
+from quarry.llm.common import hash_words, joined_bytes, rolled, runs, slices, split_words
 
 SAMPLE = 20_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_bangs", "n_distinct"]
@@ -39,62 +42,71 @@ FEATURES = {
 Rule = list[tuple[str, str, float]]
 
 _WINDOW = 5
-_NOT_UPPER = bytes(set(range(256)) - set(range(65, 91)))
-_NOT_DIGIT = bytes(set(range(256)) - set(range(48, 58)))
 
 
 def repeated_words(h: np.ndarray, window: int = _WINDOW) -> int:
-    """Words that lie in a window of `window` words found twice or more."""
-    n = len(h) - window + 1
-    if n < 2:
+    """Words that lie in a window found twice or more, from the hashes of a text's windows in order."""
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    if not same.any():
         return 0
-    key = h[:n].copy()
-    for i in range(1, window):
-        key = mix(key) + h[i : n + i] * U64(0x9E3779B97F4A7C15)
-    _, where, times = np.unique(key, return_inverse=True, return_counts=True)
-    at = np.flatnonzero(times[where] > 1)
-    if not len(at):
-        return 0
-    edge = np.zeros(len(h) + 1, np.int32)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
-    return int((np.cumsum(edge) > 0).sum())
-
-
-def count(text: str | None, words: WordHash) -> tuple[int, ...]:
-    """COUNTS of one text."""
-    text = text or ""
-    data = text.encode()
-    split = data.split()
-    lines = [x for x in data.split(b"\n") if x.strip()]
-    return (
-        len(split),
-        len(text) - sum(map(text.count, " \t\n\v\f\r")),
-        sum(map(data.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))),
-        len(lines) - len(set(lines)),
-        repeated_words(words.all(split)),
-        len(lines),
-        len(data.translate(None, _NOT_UPPER)),
-        len(data.translate(None, _NOT_DIGIT)),
-        data.count(b"!"),
-        len(set(split)),
-    )
+    at = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
+    return int(np.minimum(np.diff(np.append(at, at[-1] + window)), window).sum())
+
+
+def counts(column: pa.Array) -> list[np.ndarray]:
+    """COUNTS of each text; a null counts as an empty one."""
+    index, words, n_words = split_words(column)
+    data, bounds = joined_bytes(column)
+    raw, n = data.tobytes(), len(column)
+    ends = np.cumsum(n_words)
+    begins, hashes = ends - n_words, hash_words(words)[index]
+    n_windows = np.maximum(n_words - _WINDOW + 1, 0)
+    windows, w_ends = rolled(hashes, runs(begins, n_windows), _WINDOW), np.cumsum(n_windows)
+    n_lines, n_dup, n_repeat, n_distinct = (np.zeros(n, np.int64) for _ in range(4))
+    newlines = np.diff(np.searchsorted(np.flatnonzero(data == 10), bounds))
+    for i in np.flatnonzero(n_words).tolist():
+        if newlines[i]:
+            lines = [x for x in raw[bounds[i] : bounds[i + 1]].split(b"\n") if x.strip()]
+            n_lines[i], n_dup[i] = len(lines), len(lines) - len(set(lines))
+        else:
+            n_lines[i] = 1
+        if n_windows[i] > 1:
+            n_repeat[i] = repeated_words(windows[w_ends[i] - n_windows[i] : w_ends[i]])
+        mine = index[begins[i] : ends[i]].copy()
+        mine.sort()
+        n_distinct[i] = 1 + np.count_nonzero(mine[1:] != mine[:-1])
+
+    def having(table: np.ndarray) -> np.ndarray:
+        return np.diff(np.searchsorted(np.flatnonzero(table[data]), bounds))
+
+    return [n_words, having(_INK), having(_SYMBOL), n_dup, n_repeat, n_lines, having(_UPPER), having(_DIGIT), having(_BANG), n_distinct]
+
+
+def _bytes(values) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+#: First bytes of code points that are not white space, and of the other classes that are counted.
+_INK = ~_bytes([9, 10, 11, 12, 13, 32, *range(128, 192)])
+_SYMBOL, _UPPER, _DIGIT, _BANG = _bytes(b"#*$%&|<>"), _bytes(range(65, 91)), _bytes(range(48, 58)), _bytes(b"!")
 
 
 def statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The input's columns (or those of `keep`) and COUNTS of `text`."""
-    keep = [c for c in keep or docs.columns if c not in COUNTS]
+    results = {c.lower() for c in COUNTS}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in results]
     sent = list(dict.fromkeys([*keep, "text"]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
-        for b in it:
-            made = [count(t, words) for t in b.column("text").to_pylist()]
-            cols = [pa.array(list(x), pa.int64()) for x in zip(*made, strict=True)] or [pa.array([], pa.int64())] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=[*keep, *COUNTS])
+        for batch in it:
+            for b in slices(batch):
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *map(pa.array, counts(b.column("text")))], names=[*keep, *COUNTS])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*sent).mapInArrow(run, kinds + "".join(f", {c} long" for c in COUNTS))
+    kinds = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, kinds)
 
 
 def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], least_precision: float = 0.95, most_rules: int = 24, most_tests: int = 4) -> list[Rule]:
@@ -160,16 +172,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     few = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `sample` rows of two numbers
-    rows = statistics(known, ["doc_id", "_quality"]).select("doc_id", "_quality", *[c.alias(f"f_{k}") for k, c in features().items()]).orderBy("doc_id").limit(sample).collect()
+    each = statistics(known, ["doc_id", "_quality"]).select("doc_id", F.struct(F.col("_quality").cast("double").alias("q"), *[c.alias(f"f_{k}") for k, c in features().items()]).alias("x"))
+    rows = [tuple(r.x) for r in each.groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()]  # repeated documents: the least row
     if not rows:
         return []
-    x = np.array([r[2:] for r in rows], float)
-    return learn_rules(x, np.array([r[1] == 0 for r in rows]), list(FEATURES))
+    x = np.array(rows, float)
+    return learn_rules(x[:, 1:], x[:, 0] == 0, list(FEATURES))
 
 
 def rate(docs: DataFrame, labels: DataFrame, rules: list[Rule] | None = None, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
     """The input's columns (or those of `keep`), COUNTS, base_failed, rule (number of the rule that rejects, 0: none) and kept."""
     rules = fit(docs, labels, sample) if rules is None else rules
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = statistics(docs.drop("base_failed", "rule", "kept"), keep).withColumn("base_failed", base).withColumn("rule", verdict(rules, features()))
+    made = {"base_failed", "rule", "kept"}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    out = statistics(docs, keep).withColumn("base_failed", base).withColumn("rule", verdict(rules, features()))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

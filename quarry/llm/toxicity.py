@@ -8,7 +8,8 @@ is fitted on at most `sample` labelled rows (default SAMPLE, those of lowest has
 a fixed size whatever the corpus. Texts are scored whole.
 
 Nulls: a null text is empty and scored by the bias; rows with a null label or doc_id are not learned from; a null doc_id
-has held_out null. Repeated rows are scored each on their own. An empty table gives no rows; without labels of both
+has held_out false. Repeated rows are scored each on their own; a repeated doc_id is learned from once, and of several
+labels the largest counts. A text of any length is scored whole. An empty table gives no rows; without labels of both
 classes every score is 0. Other columns are ignored; labels, lang, source and doc_id are never inputs of a score.
 """
 
@@ -21,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from quarry.llm.common import WordHash
+from quarry.llm.common import Stash, runs, slices, split_words
 
 SPACE = 1 << 20
 SAMPLE = 20_000
@@ -31,28 +33,30 @@ MOST_TERMS = 1 << 15
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
-class Terms(WordHash):
-    """word -> the buckets of its terms, held as bytes. Bounded as WordHash is."""
+def word_buckets(word: str) -> list[int]:
+    """Buckets of the terms of one lower-cased word."""
+    core = word.strip(_EDGE)
+    made = {f"w:{core}"} | {f"p:{core[:k]}" for k in (4, 5, 6) if len(core) > k} | {f"p:{core}"}
+    return [hash_term(x) for x in made] if core else []
 
-    def __missing__(self, word: str) -> bytes:  # type: ignore[override]
-        if len(self) >= self.limit:
-            self.clear()
-        core = word.strip(_EDGE)
-        made = {f"w:{core}"} | {f"p:{core[:k]}" for k in (4, 5, 6) if len(core) > k} | {f"p:{core}"}
-        value = np.array([hash_term(x) for x in made], "<u4").tobytes() if core else b""
-        if len(word) <= 64:
-            self[word] = value
-        return value
 
-    def of(self, text: str) -> np.ndarray:
-        """Sorted distinct buckets of a text."""
-        return np.unique(np.frombuffer(b"".join(map(self.__getitem__, set(text.lower().split()))), "<u4"))
+def term_sets(column: pa.Array, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct buckets of all texts on end, number of each text's); with `place`, only those with a place >= 0, as places."""
+    index, words, n_words = split_words(column)
+    each = [[b for w in x.decode().lower().split() for b in word_buckets(w)] for x in words.to_pylist()]
+    n, flat = np.array(list(map(len, each)), np.int64), np.array([b for x in each for b in x], np.int64)
+    if place is not None:
+        at = place[flat]
+        n, flat = np.bincount(np.repeat(np.arange(len(n)), n)[at >= 0], minlength=len(n)), at[at >= 0].astype(np.int64)
+    first = np.cumsum(n) - n
+    text, size = np.repeat(np.arange(len(n_words)), n_words), n[index]
+    some = size > 0
+    pairs = np.unique(np.repeat(text[some], size[some]) * SPACE + flat[runs(first[index[some]], size[some])])
+    return pairs % SPACE, np.diff(np.searchsorted(pairs, np.arange(len(n_words) + 1) * SPACE))
 
 
 def hash_term(term: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(term) % SPACE
+    return xxh64_intdigest(term) % SPACE
 
 
 @dataclass
@@ -64,38 +68,42 @@ class Machine:
     w: np.ndarray
     v: np.ndarray
 
-    def score(self, buckets: np.ndarray) -> float:
-        at = self.place[buckets]
-        at = at[at >= 0]
-        s = self.v[at].sum(0)
-        z = self.bias + self.w[at].sum() + 0.5 * float((s * s - (self.v[at] ** 2).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def scores(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Scores of texts whose terms have these places, `size` of each text."""
+        row = np.repeat(np.arange(len(size)), size)
+        s, q, lin = np.zeros((len(size), FACTORS)), np.zeros(len(size)), np.zeros(len(size))
+        v = self.v[at].astype(np.float64)
+        np.add.at(s, row, v)
+        np.add.at(q, row, (v * v).sum(1))
+        np.add.at(lin, row, self.w[at].astype(np.float64))
+        return 1 / (1 + np.exp(-np.clip(self.bias + lin + 0.5 * ((s * s).sum(1) - q), -30, 30)))
+
+
+def choose_terms(counts: DataFrame, n1: int, n0: int) -> list[int]:
+    """Buckets (bucket, c1, c0) that are frequent enough and lean to a class, the strongest first; at most MOST_TERMS."""
+    lean = F.log((F.col("c1") + 0.5) / (n1 + 1.0)) - F.log((F.col("c0") + 0.5) / (n0 + 1.0))
+    z = F.round(F.abs(lean) / F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5)), 9)
+    found = counts.where("c1 + c0 >= 3").withColumn("z", z).where("z > 2.5")
+    return [r.bucket for r in found.orderBy(F.desc("z"), "bucket").limit(MOST_TERMS).select("bucket").collect()]
 
 
-def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 40, seed: int = 1, penalty: float = 1e-4) -> Machine:
-    """Adam on the logistic loss, classes weighted alike, over the terms that lean to a class."""
+def fit_machine(idx: list[np.ndarray], toxic: np.ndarray, chosen: list[int], epochs: int = 40, seed: int = 1, penalty: float = 1e-4) -> Machine:
+    """Adam on the logistic loss, classes weighted alike. idx: the places of each row's terms among the chosen buckets."""
     place = np.full(SPACE, -1, np.int32)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return Machine(-30.0, place, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
-    c1, c0 = np.zeros(SPACE), np.zeros(SPACE)
-    for r, t in zip(rows, toxic, strict=True):
-        (c1 if t else c0)[r] += 1
-    lean = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
-    z = np.abs(lean) / np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
-    good = np.flatnonzero((c1 + c0 >= 3) & (z > 2.5))
-    good = good[np.lexsort((good, -z[good]))][:MOST_TERMS]
+    good = np.array(chosen, np.int64)
     place[good] = np.arange(len(good))
-    idx = [place[r][place[r] >= 0] for r in rows]
     size = np.array([len(i) for i in idx])
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(good)), rng.normal(0, 0.01, (len(good), FACTORS))
-    bias, weight = 0.0, np.where(toxic, 0.5 / n1, 0.5 / n0) * len(rows)
+    bias, weight = 0.0, np.where(toxic, 0.5 / n1, 0.5 / n0) * len(idx)
     moments = [[np.zeros_like(a), np.zeros_like(a)] for a in (w, v)] + [[0.0, 0.0]]
     step, batch = 0, 256
     for epoch in range(epochs):
         rate = 0.03 * (1 - epoch / epochs) + 0.001
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(idx))
         for k in range(0, len(order), batch):
             some = order[k : k + batch]
             at = np.concatenate([idx[i] for i in some])
@@ -121,20 +129,50 @@ def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 40, see
 
 
 def learned_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(toxic, text) of at most `sample` labelled documents that are not held out."""
+    """(doc_id, toxic, terms) of at most `sample` labelled documents that are not held out: a doc_id each, its least terms if it is repeated."""
+
+    def buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for b in slices(batch):
+                flat, size = term_sets(b.column("text"))
+                raw, ends = flat.astype("<u4").tobytes(), np.cumsum(size)
+                terms = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_toxic").cast(pa.int32()), pa.array(terms, pa.binary())], names=["doc_id", "toxic", "terms"])
+
     few = labels.where("doc_id is not null and toxic is not null and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1")
     few = few.groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy("doc_id", "text").limit(sample)  # at most `sample` rows of two numbers
+    known = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `sample` rows of two numbers
+    return known.mapInArrow(buckets, "doc_id long, toxic int, terms binary").groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    def buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
-        for b in it:
-            yield pa.RecordBatch.from_arrays([b.column("_toxic").cast(pa.int32()), pa.array([terms.of(t or "").tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["toxic", "terms"])
+    """Terms are hashed and counted in parallel; what reaches the driver is MOST_TERMS buckets and the places of the sample's terms among them."""
+    stash = Stash(docs.sparkSession)
+    rows = stash(learned_rows(docs, labels, sample), "learned")
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.zeros((2, SPACE), np.int64)
+        for batch in it:
+            for t, x in zip(batch.column("toxic").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                c[int(t == 1)][np.frombuffer(x, "<u4")] += 1
+        used = np.flatnonzero(c.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(c[1, used]), pa.array(c[0, used])], names=["bucket", "c1", "c0"])
+
+    n = {r.toxic == 1: r["count"] for r in rows.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
+    per = rows.mapInArrow(count, "bucket long, c1 long, c0 long").groupBy("bucket").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    chosen = choose_terms(per, n.get(True, 0), n.get(False, 0)) if len(n) == 2 else []
+    place = np.full(SPACE, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    held = docs.sparkSession.sparkContext.broadcast(place)
+
+    def placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            made = [held.value[np.frombuffer(x, "<u4")] for x in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([x[x >= 0].astype("<u2").tobytes() for x in made], pa.binary())], names=["doc_id", "toxic", "at"])
 
-    found = learned_rows(docs, labels, sample).select("_toxic", "text").mapInArrow(buckets, "toxic int, terms binary").collect()
-    return fit_machine([np.frombuffer(r.terms, "<u4") for r in found], np.array([r.toxic == 1 for r in found], bool))
+    found = sorted(map(tuple, rows.mapInArrow(placed, "doc_id long, toxic int, at binary").collect()))
+    stash.drop(rows)
+    return fit_machine([np.frombuffer(x, "<u2").astype(np.int64) for _, _, x in found], np.array([t == 1 for _, t, _ in found], bool), chosen)
 
 
 def score(docs: DataFrame, labels: DataFrame, machine: Machine | None = None, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
@@ -142,10 +180,11 @@ def score(docs: DataFrame, labels: DataFrame, machine: Machine | None = None, sa
     held = docs.sparkSession.sparkContext.broadcast(machine or fit(docs, labels, sample))  # of fixed size
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, m = Terms(), held.value
-        for b in it:
-            scores = [m.score(terms.of(t or "")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        m = held.value
+        for batch in it:
+            for b in slices(batch):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(m.scores(*term_sets(b.column("text"), m.place)))], names=["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    held_out = F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"), F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -2,10 +2,15 @@
 
 import collections
 import hashlib
+import re
+import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.llm import html_text, jaccard_join, mixing, near_vectors, packing, quality, suffix_dedup, token_files, toxicity, url_rules
@@ -115,6 +120,29 @@ def test_html():
     assert html_text.extract("<p>cut off <b") == "cut off"
 
 
+ARTICLE = "<article><h1>Title here</h1><p>" + "Long article text with words. " * 30 + "</p><p>" + "More of it. " * 20 + "</p></article>"
+READERS = "<div class='comments'><p>" + "A reader says so. " * 100 + "</p></div>"
+WRAPPERS = ["<div class='layout sidebar-right'>%s</div>", "<div class='page-nav-open'>%s</div>", "<div id='print-area'>%s</div>", "<div class='popular'>%s</div>", "<form id='aspnetForm'>%s</form>", "<fieldset>%s</fieldset>", "<form><fieldset class=popular>%s</fieldset></form>", "<div class='comments-open'>%s</div>", "<div role=search>%s</div>", "<header>%s</header>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_html_wrappers_with_noisy_names(wrapper):
+    want = html_text.extract(f"<body>{ARTICLE}</body>")
+    assert want.startswith("Title here\n\nLong article") and want.endswith("More of it.")
+    for page in (wrapper % ARTICLE + READERS, wrapper % (ARTICLE + READERS), "<nav><a href=/>x</a></nav>" + wrapper % ARTICLE + "<footer>f</footer>"):
+        assert html_text.extract(f"<html><body>{page}</body></html>") == want
+    plain = "<div class=content><h2>Head</h2><p>" + "Long text with words. " * 30 + "</p></div>"
+    got = html_text.extract("<body><div class=menu><a href=/>m</a></div>" + wrapper % plain + "<div class='related'><a href=/>" + "Other page. " * 9 + "</a></div></body>")
+    assert got == "Head\n\n" + ("Long text with words. " * 30).strip()
+
+
+def test_html_long_and_odd_pages():
+    assert len(html_text.extract("<p>" + "word " * 400_000 + "</p>")) == 5 * 400_000 - 1
+    assert html_text.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+    assert html_text.extract("<div class='ad'>buy</div>" + "<p>text</p>" * 3) == "text\n\ntext\n\ntext"
+    assert html_text.extract("<form><input value=x><button>go</button></form>") == ""
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None)]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -169,18 +197,38 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def counted(*texts):
+    return list(zip(*(x.tolist() for x in quality.counts(pa.array(texts, pa.string()))), strict=True))
+
+
 def test_quality_counts():
-    words = quality.WordHash()
-    assert quality.count("a b c d e a b c d e x", words)[:5] == (11, 11, 0, 0, 10)
-    assert quality.count("x #y\nx #y\n\n \nx #y", words)[:4] == (6, 9, 3, 2)
-    assert quality.count(None, words)[:5] == (0, 0, 0, 0, 0)
+    assert counted("a b c d e a b c d e x")[0][:5] == (11, 11, 0, 0, 10)
+    assert counted("x #y\nx #y\n\n \nx #y")[0][:4] == (6, 9, 3, 2)
+    assert counted(None)[0][:5] == (0, 0, 0, 0, 0)
     text = " ".join(np.random.default_rng(1).choice(list("abcd"), 200))
     w, hit = text.split(), set()
     times = collections.Counter(tuple(w[i : i + 5]) for i in range(196))
     for i in range(196):
         if times[tuple(w[i : i + 5])] > 1:
             hit |= set(range(i, i + 5))
-    assert quality.count(text, words)[4] == len(hit)
+    assert counted(text)[0][4] == len(hit)
+
+
+def count_by_hand(text):
+    text = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\r\v\f")]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    times = collections.Counter(windows)
+    hit = {j for i, x in enumerate(windows) if times[x] > 1 for j in range(i, i + 5)}
+    some = lambda kinds: sum(c in kinds for c in text)
+    return (len(words), sum(map(len, words)), some("#*$%&|<>"), len(lines) - len(set(lines)), len(hit), len(lines), some(string.ascii_uppercase), some(string.digits), some("!"), len(set(words)))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.sampled_from("ab A#!9\n\t\x0b\xa0é日 "), max_size=60)), max_size=6))
+def test_quality_counts_by_hand(texts):
+    assert counted(*texts) == [count_by_hand(t) for t in texts]
 
 
 def test_quality_rules(spark, docs):
@@ -192,10 +240,11 @@ def test_quality_rules(spark, docs):
     assert len(few) == len(DOCS) and all(r.kept == (not r.base_failed) for r in few)
 
 
-@pytest.mark.parametrize("slice_,most", [(1 << 18, 8192), (500, 3)])
-def test_suffix_dedup(spark, docs, monkeypatch, slice_, most):
+@pytest.mark.parametrize("slice_,shard,small", [(1 << 18, 1 << 20, 1 << 16), (500, 600, 100)])
+def test_suffix_dedup(spark, docs, monkeypatch, slice_, shard, small):
     monkeypatch.setattr(suffix_dedup, "SLICE", slice_)
-    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "SMALL", small)
     texts = [(t or "").encode() for _, t in DOCS]
     times = collections.Counter(b[i : i + 200] for b in texts for i in range(len(b) - 199))
     want = []
@@ -211,6 +260,49 @@ def test_suffix_dedup(spark, docs, monkeypatch, slice_, most):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def repeats_by_hand(texts, length):
+    times = collections.Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
+    out = []
+    for b in texts:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if times[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append(int(gone.sum()))
+    return out
+
+
+@pytest.mark.parametrize("shard,small", [(1 << 22, 1 << 17), (9000, 3000)])
+def test_suffix_arrays_of_near_copies(spark, monkeypatch, shard, small):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "SMALL", small)
+    rng = np.random.default_rng(8)
+    page, form = prose(200, 41).encode(), prose(60, 42).encode()
+    texts = []
+    for i in range(60):  # copies with bytes changed here and there, and a passage that unlike texts share, cut anywhere
+        x = bytearray(page)
+        for j in rng.integers(0, len(x), 4).tolist():
+            x[j] = 35 + i % 7
+        texts.append(bytes(x))
+        a, b = sorted(rng.integers(0, len(form), 2).tolist())
+        texts.append(prose(20, 300 + i).encode() + b" " + form[a:b] + b" " + prose(20, 400 + i).encode())
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df).collect()}
+    assert [got[i] for i in range(len(texts))] == repeats_by_hand(texts, 200)
+
+
+def test_suffix_array_and_prefixes():
+    rng = np.random.default_rng(4)
+    for k in (2, 3, 200):
+        data = rng.integers(0, k, 300).astype(np.uint8)
+        data = np.concatenate([data, data[50:180], data[:90]])
+        b = data.tobytes()
+        sa, rank = suffix_dedup.suffix_array(data)
+        assert sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:]) and (rank[sa] == np.arange(len(b))).all()
+        want = [0] + [next((d for d in range(60) if b[i + d : i + d + 1] != b[j + d : j + d + 1] or i + d >= len(b) or j + d >= len(b)), 60) for i, j in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True)]
+        assert suffix_dedup.common_prefixes(data, sa, rank, 60, lanes=7).tolist() == want
+
+
 def test_url_rules(spark, monkeypatch):
     rows = [(1, None), (2, "http://A.COM/en/x"), (3, "nohost"), (None, "https://x.casino.fun/a"), (5, "ftp://sub.example.com/en/77?x"), (6, "http://xexample.com/en/7#t"), (7, "http://example.net/de/81"), (7, "http://example.net/de/9")]
     df = spark.createDataFrame(rows, "page_id long, url string")
