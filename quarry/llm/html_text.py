@@ -103,7 +103,7 @@ def settle(root: Node) -> None:
         return
     signs = {id(x) for x, readers in order if x.tag in KEPT_INSIDE and not readers and x.kind == PLAIN} or {id(x) for x, readers in order if x.tag == "h1" and not readers}
     if not signs:
-        own = [(not readers, sum(0 if isinstance(p, Node) and (p.tag == "a" or p.noise) else text_size(p) for p in x.parts), id(x)) for x, readers in order]
+        own = [(not readers, sum(0 if isinstance(p, Node) and (p.tag == "a" or p.noise) else text_size(p) for p in x.parts), id(x)) for x, readers in order if x.tag != "a"]
         signs = {max((y for y in own if y[1]), default=(False, 0, 0), key=lambda y: y[:2])[2]}
     strong, net = set(signs), dict.fromkeys((id(x) for x, _ in order), 0)
     for x, _ in reversed(order):
