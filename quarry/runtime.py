@@ -9,11 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _DONE: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add a zip of the package to the session's context, once per application."""
+    """Add a zip of the package to the session's context, once per application, and bound the bytes of a batch that goes to
+    Python, unless the session names its own bound: rows may be long texts, and a batch is held on both sides."""
     sc = spark.sparkContext
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(4 << 20))
     if sc.applicationId not in _DONE:
         root = os.path.dirname(os.path.abspath(__file__))
         path = os.path.join(tempfile.mkdtemp(prefix="quarry-zip-"), "quarry.zip")
