@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.runtime import shared_folder
+from quarry.runtime import shared_folder, ship
 
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
@@ -24,14 +24,14 @@ _LOWER[65:91] += 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class Stash:
     """Tables written in the shared folder, so that later stages reread them instead of recomputing after a lost executor."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.n = spark, f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}", 0
+        self.spark, self.base, self.n = ship(spark), f"{shared_folder(spark)}/quarry-{uuid.uuid4().hex}", 0
 
     def path(self, tag: str) -> str:
         self.n += 1

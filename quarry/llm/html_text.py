@@ -47,6 +47,7 @@ KEPT_INSIDE = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")  # a slash that ends an unquoted value belongs to it
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -101,10 +102,13 @@ def settle(root: Node) -> None:
         todo += [(p, readers) for p in reversed(x.parts) if isinstance(p, Node)]
     if not any(x.kind for x, _ in order):
         return
-    signs = {id(x) for x, readers in order if x.tag in KEPT_INSIDE and not readers and x.kind == PLAIN} or {id(x) for x, readers in order if x.tag == "h1" and not readers}
-    if not signs:
-        own = [(not readers, sum(0 if isinstance(p, Node) and (p.tag == "a" or p.noise) else text_size(p) for p in x.parts), id(x)) for x, readers in order if x.tag != "a"]
-        signs = {max((y for y in own if y[1]), default=(False, 0, 0), key=lambda y: y[:2])[2]}
+    signs: set[int] = set()
+    for among in ([x for x, readers in order if not readers], [x for x, _ in order]):
+        own = [(sum(0 if isinstance(p, Node) and (p.tag == "a" or p.noise) else text_size(p) for p in x.parts), id(x)) for x in among if x.tag != "a"]
+        largest = max(own, key=lambda y: y[0], default=(0, 0))
+        signs = {id(x) for x in among if x.tag in KEPT_INSIDE and x.kind == PLAIN} or {id(x) for x in among if x.tag == "h1"} or {i for n, i in [largest] if n}
+        if signs:
+            break
     strong, net = set(signs), dict.fromkeys((id(x) for x, _ in order), 0)
     for x, _ in reversed(order):
         net[id(x)] += text_size(x)
@@ -182,7 +186,7 @@ def parse(html: str) -> Node:
         top = stack[-1]
         node = Node(tag, top, noise_kind(tag, attrs, inside > 0))
         top.parts.append(node)
-        if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or _CLOSED.search(attrs) and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}[\s/>][^>]*>?|</{tag}>|\Z", re.I).search(html, at)

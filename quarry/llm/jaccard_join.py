@@ -89,7 +89,7 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
             for b in slices(batch):
                 held.append(shingle_sets(b.column("text"), n)[0])
                 size += len(held[-1])
-                if size >= 4_000_000:
+                if size >= 2_000_000:
                     yield flush()
                     held, size = [], 0
         if held:

@@ -38,7 +38,7 @@ from xxhash import xxh3_128_intdigest
 from quarry.llm.common import U64, Bits, Stash, binary_rows, joined_values, mix, slices
 
 GRAM = 32
-SLICE = 1 << 18
+SLICE = 1 << 17
 SHARD_BYTES = 1 << 22
 SMALL = 1 << 17
 ANCHOR_BITS = 27
@@ -262,9 +262,16 @@ class Shard:
         self.single = ~many[self.run]
 
     def window_hashes(self) -> np.ndarray:
-        power, inverse, _, _ = _powers(len(self.data) + 1)
-        sums = np.concatenate([np.zeros(1, U64), np.cumsum((self.data.astype(U64) + U64(1)) * power[: len(self.data)])])
-        return (sums[self.at + self.length] - sums[self.at]) * inverse[self.at]
+        """64 bits of each window: hashes of 8, 16, 32, ... bytes, of which a window is put together."""
+        level, width = mix(big_endian(self.data, 0)), 8
+        out, at = np.zeros(len(self.at), U64), self.at.astype(np.int64)
+        for bit in range(3, self.length.bit_length()):
+            if self.length >> bit & 1:
+                out = mix(out) + level[at]
+                at = at + width
+            level = mix(level[: max(len(level) - width, 0)]) + level[width:]
+            width *= 2
+        return mix(out) + big_endian(self.data, 0)[self.at + self.length - 8]
 
     def merge(self, other: "Shard") -> None:
         """Bisect this shard's single windows in the suffix array of another shard; what is found repeats, unless it is the same place."""

@@ -240,7 +240,7 @@ def test_quality_rules(spark, docs):
     assert len(few) == len(DOCS) and all(r.kept == (not r.base_failed) for r in few)
 
 
-@pytest.mark.parametrize("slice_,shard,small", [(1 << 18, 1 << 20, 1 << 16), (500, 600, 100)])
+@pytest.mark.parametrize("slice_,shard,small", [(1 << 17, 1 << 22, 1 << 17), (500, 600, 100)])
 def test_suffix_dedup(spark, docs, monkeypatch, slice_, shard, small):
     monkeypatch.setattr(suffix_dedup, "SLICE", slice_)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
