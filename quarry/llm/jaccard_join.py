@@ -3,8 +3,9 @@
 A document's set holds its distinct shingles of `n` words as 64-bit hashes. Equal sets are collapsed first, by an
 aggregate over (size, 128-bit digest). All shingles have one global order: those that are not frequent by hash, then the
 frequent ones by count; a pair at the threshold must share one of the first shingles of both (prefix filter) and have
-like sizes. That order is cut into FRAGMENTS vertical fragments. The first fragment screens candidates: what two sets
-already differ by there may not exceed what the threshold lets them differ by in all. For those left, every fragment's
+like sizes. That order is cut into FRAGMENTS vertical fragments. Two sets differ in a fragment by what its sizes differ by
+at least, and the sum of that over the fragments may not exceed what the threshold lets them differ by in all: pairs that
+fail are not made. Then the first fragment's shingles screen candidates in the same way. For those left, every fragment's
 overlap is counted on its own and the partial counts are summed per pair.
 
 Components need a spanning forest of the links only, so candidates come in three steps, each of them exact. First, sets
@@ -39,6 +40,7 @@ FRAGMENTS = 8
 LOCAL = 4  # a shingle is looked at as frequent if some part of the input has it so often
 NARROW = 8
 WIDE = 128
+LISTED = 16  # tokens of a set that tell where a pair is made
 BLOCK = 384
 MARK_BITS = 26
 _SIEVE = 23  # bits of the table that tells most shingles that are not frequent
@@ -101,8 +103,8 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def describe(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, key (of the row), d1 and d2 (digests of the set), size, prefix (first shingles in the global order), first
-    (low bits of fragment 0), and the columns `keep` (64-bit integers)."""
+    """doc_id, key (of the row), d1 and d2 (digests of the set), size, shape (sizes of the fragments, a byte each, at most
+    255), prefix (first shingles in the global order), first (low bits of fragment 0), and the columns `keep` (64-bit integers)."""
     by_hash = np.argsort(often)
     held = docs.sparkSession.sparkContext.broadcast((often[by_hash], by_hash.astype(np.int32)))
 
@@ -132,11 +134,13 @@ def describe(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray, kee
                     prefix.append(light.astype("<u8").tobytes())
                     first.append(np.unique(flat[low[cut[i] : cut[i + 1]]].astype("<u2")).tobytes())
                 d1, d2 = digests(flat, size)
-                cols = [pa.array(d1), pa.array(d2), pa.array(size), pa.array(prefix, pa.binary()), pa.array(first, pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_key"), *cols, *[b.column(c) for c in keep]], names=["doc_id", "key", "d1", "d2", "size", "prefix", "first", *keep])
+                part = np.repeat(np.arange(len(size)), size) * FRAGMENTS + (flat >> U64(64 - (FRAGMENTS - 1).bit_length())).astype(np.int64)
+                shape = np.minimum(np.bincount(part, minlength=len(size) * FRAGMENTS), 255).astype(np.uint8).view("<i8")
+                cols = [pa.array(d1), pa.array(d2), pa.array(size), pa.array(shape), pa.array(prefix, pa.binary()), pa.array(first, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("_key"), *cols, *[b.column(c) for c in keep]], names=["doc_id", "key", "d1", "d2", "size", "shape", "prefix", "first", *keep])
 
     rows = docs.select("doc_id", row_key().alias("_key"), "text", *keep)
-    return rows.mapInArrow(run, ", ".join(["doc_id long, key long, d1 long, d2 long, size long, prefix binary, first binary", *[f"{c} long" for c in keep]]))
+    return rows.mapInArrow(run, ", ".join(["doc_id long, key long, d1 long, d2 long, size long, shape long, prefix binary, first binary", *[f"{c} long" for c in keep]]))
 
 
 def row_key() -> Column:
@@ -145,7 +149,7 @@ def row_key() -> Column:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, node, size, pos) of every prefix shingle."""
+    """(token, node, size, shape, pos) of every prefix shingle."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -154,16 +158,20 @@ def postings(classes: DataFrame) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 if n.sum():
                     at = np.repeat(np.arange(len(n)), n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), b.column("node").take(pa.array(at)), b.column("size").take(pa.array(at)), pa.array(runs(np.zeros(len(n), np.int64), n).astype(np.int32))], names=["token", "node", "size", "pos"])
+                    rows = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(b.column(c).take(rows) for c in ("node", "size", "shape")), pa.array(runs(np.zeros(len(n), np.int64), n).astype(np.int32))], names=["token", "node", "size", "shape", "pos"])
 
-    return classes.select("node", "size", "prefix").mapInArrow(run, "token long, node long, size long, pos int")
+    return classes.select("node", "size", "shape", "prefix").mapInArrow(run, "token long, node long, size long, shape long, pos int")
 
 
 def may_link(num: int, den: int) -> Column:
-    """Size and position filters on a pair (a, sa, pa), (b, sb, pb) that shares a prefix shingle."""
+    """Size, position and fragment size filters on a pair (a, sa, pa, fa), (b, sb, pb, fb) that shares a prefix shingle."""
     small, large = F.least("sa", "sb"), F.greatest("sa", "sb")
     best = F.least("pa", "pb") + 1 + F.least(F.col("sa") - F.col("pa") - 1, F.col("sb") - F.col("pb") - 1)
-    return (den * small >= num * large) & ((num + den) * best >= num * (F.col("sa") + F.col("sb")))
+    sizes = [[F.shiftright(c, 8 * i).bitwiseAND(F.lit(255)) for i in range(FRAGMENTS)] for c in ("fa", "fb")]
+    differ = sum((F.abs(x - y) for x, y in zip(*sizes, strict=True)), F.lit(0))
+    total = F.col("sa") + F.col("sb")
+    return (den * small >= num * large) & ((num + den) * best >= num * total) & ((num + den) * differ <= (den - num) * total)
 
 
 def screen(pairs: DataFrame, firsts: DataFrame, num: int, den: int) -> DataFrame:
@@ -300,20 +308,25 @@ def join_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, keep
     stash = Stash(docs.sparkSession)
     found = stash(describe(docs, n, num, den, frequent(docs, n), keep), "sets")
     # copies of one set have the same prefix and first fragment, whichever row of them is taken
-    classes = found.where("size > 0").groupBy("d1", "d2", "size").agg(F.first("prefix").alias("prefix"), F.first("first").alias("first"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
+    classes = found.where("size > 0").groupBy("d1", "d2", "size").agg(F.first("shape").alias("shape"), F.first("prefix").alias("prefix"), F.first("first").alias("first"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
     classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # ids are those that were written
     rows = stash(found.select("doc_id", "d1", "d2", "size", *keep), "rows")
     stash.drop(found)
     every = postings(classes)
-    often = stash(every.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("node", "size", "pos")).alias("pivot")).where("k > 1"), "tokens")
+    often = stash(every.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("node", "size", "shape", "pos")).alias("pivot")).where("k > 1"), "tokens")
     index = stash(every.join(often, "token"), "index")
     stash.drop(often)
 
     def side(df: DataFrame, s: str, *more: str) -> DataFrame:
-        return df.select("token", F.col("node").alias(s), F.col("size").alias(f"s{s}"), F.col("pos").alias(f"p{s}"), *[F.col(c).alias(f"{c}{s}") for c in more])
+        return df.select("token", F.col("node").alias(s), F.col("size").alias(f"s{s}"), F.col("pos").alias(f"p{s}"), F.col("shape").alias(f"f{s}"), *[F.col(c).alias(f"{c}{s}") for c in more])
 
     def met(df: DataFrame, *more: str) -> DataFrame:
-        return side(df, "a", *more).join(side(df, "b", *more), "token").where("a < b").where(may_link(num, den))
+        """Pairs of a token's rows, each at the least of the first LISTED tokens that both have here, or at those after them."""
+        listed = df.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LISTED).alias("l"))
+        rows = df.join(listed, "node")
+        least = F.coalesce(F.try_element_at(F.array_intersect("la", "lb"), F.lit(1)), F.col("token")) >= F.col("token")
+        both = side(rows, "a", "l", *more).join(side(rows, "b", "l", *more), "token")
+        return both.where("a < b").where(F.col("ca") != F.col("cb") if "c" in more else F.lit(True)).where(may_link(num, den)).where(least)
 
     def links(pairs: DataFrame, tag: str) -> DataFrame:
         near = stash(screen(pairs.select("a", "b").distinct(), classes.select("node", "size", "first"), num, den), f"near-{tag}")
@@ -323,16 +336,15 @@ def join_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, keep
         stash.drop(near, parts)
         return out
 
-    star = index.where(f"k > {NARROW} and node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("pivot.size").alias("sa"), F.col("pivot.pos").alias("pa"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"))
+    star = index.where(f"k > {NARROW} and node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("pivot.size").alias("sa"), F.col("pivot.pos").alias("pa"), F.col("pivot.shape").alias("fa"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("shape").alias("fb"))
     first = links(met(index.where(f"k <= {NARROW}")).select("a", "b").union(star.where(may_link(num, den)).select("a", "b")), "first")
     root = stash(components(stash, first), "linked")
-    large = index.where(f"k > {NARROW}").select("token", "node", "size", "pos", "k").join(root, "node", "left").withColumn("c", F.coalesce("root", "node"))
-    large = stash(large.select("token", "node", "size", "pos", "k", "c"), "large")
+    large = index.where(f"k > {NARROW}").select("token", "node", "size", "shape", "pos", "k").join(root, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    large = stash(large.select("token", "node", "size", "shape", "pos", "k", "c"), "large")
     split = large.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
     open_ = stash(large.join(split, "token"), "open")
     stash.drop(index, large)
-    pairs = met(open_.where(f"k <= {WIDE}"), "c").where("ca <> cb")
-    second = links(pairs, "second")
+    second = links(met(open_.where(f"k <= {WIDE}"), "c"), "second")
     third = stash(across_blocks(open_.where(f"k > {WIDE}").select("token", "node", "c"), docs, classes, n, num, den, stash), "links-wide")
     stash.drop(open_)
     spanning = root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
