@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.text import normalize_name
+
 
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -16,23 +18,28 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.BooleanType())
-def multiset_compatible(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Greedy order-free matching of two lists of "x or y" options: equal length, each takes the first that shares an option."""
+def options_fit(x: Column, y: Column) -> Column:
+    """Whether two readings of "a or b" options share one; an Unknown fits all."""
+    parts = lambda c: F.transform(F.split(c, " or "), F.trim)
+    return (x == "Unknown") | (y == "Unknown") | F.arrays_overlap(parts(x), parts(y))
+
+
+def multiset_compatible(a: Column | str, b: Column | str) -> Column:
+    """Greedy order-free matching of two lists of options: equal length, and each of the first takes the first of the second
+    that is left and fits. Null if either list is."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+
+    def take(rest: Column, x: Column) -> Column:
+        at = F.array_position(F.transform(rest, lambda y: options_fit(x, y)), True).cast("int")
+        return F.when(at > 0, F.concat(F.slice(rest, 1, at - 1), F.slice(rest, at + 1, F.size(rest)))).otherwise(rest)
+
+    return F.when(a.isNotNull() & b.isNotNull(), (F.size(a) == F.size(b)) & (F.size(F.aggregate(a, b, take)) == 0))
 
-    def fits(x: list[str], y: list[str]) -> bool:
-        left = [set(v.split(" or ")) for v in y]
-        if len(x) != len(left):
-            return False
-        for v in x:
-            mine = set(v.split(" or "))
-            at = next((i for i, o in enumerate(left) if mine & o), None)
-            if at is None:
-                return False
-            left.pop(at)
-        return True
 
-    return pd.Series([None if x is None or y is None else fits(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="object")
+def name_similarity(a: Column, b: Column) -> Column:
+    """Ratio of two names by their letters and digits, 0 if one has none."""
+    x, y = normalize_name(a), normalize_name(b)
+    return F.when((x == "") | (y == ""), 0.0).otherwise(ratio(x, y))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -68,6 +68,26 @@ def first_int(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(\d+)", 1), F.lit("")).cast("int")
 
 
+def is_placeholder(c: Column) -> Column:
+    """Entries of a pool that stand for nothing."""
+    return (c == "Do Nothing") | c.rlike(r"^\[DNT\]")
+
+
+def bare_name(c: Column) -> Column:
+    """Without a leading Lesser or Greater and a trailing I, II or III."""
+    return F.regexp_replace(F.regexp_replace(c, r"^(Lesser|Greater) ", ""), r" (I|II|III)$", "")
+
+
+def stem(c: Column) -> Column:
+    """The last part of a path without its extension, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_extract(c, r"([^/\\]*)$", 1), r"\.[^.]*$", ""))
+
+
+def stray_letter(c: Column, word: str) -> Column:
+    """Without one letter read before the word."""
+    return F.regexp_replace(c, rf"^[A-Za-z]\s+(?={word}\b)", "")
+
+
 def strip_tier(c: Column) -> Column:
     """Without a trailing I, II or III."""
     return F.regexp_replace(c, r" (I|II|III)$", "")

@@ -23,26 +23,39 @@ def with_fallback_key(df: DataFrame, dim: DataFrame, exact: Column, base: Column
 
 
 def lookup(queries: DataFrame, pool: DataFrame, cutoff: float = 0.6, margin: float = 0.05) -> DataFrame:
-    """queries(query) in pool(item): exact, unique prefix (either way), fuzzy with a margin, longer form of a near tie.
+    """queries(query) in pool(item), whatever the case: exact, the only item that the query begins, the closest by ratio.
 
-    Only queries that the first two tiers leave reach the ratio; score ties go to the larger string.
+    The two closest items (ties to the larger string) are ranked by the ratio of item to query and told apart by that of
+    query to item, which is another number. If they are closer than the margin, and one is the other with words before it,
+    the longer one is taken if the query has those words and the shorter if not; else the answer is refused. A query is
+    compared only with items of a length that can reach the cutoff, by an equi-join on the length.
     """
-    q, p = queries.select("query").where("query is not null").distinct(), pool.select("item").where("item is not null").distinct()
-    exact = q.join(p, F.lower("query") == F.lower("item")).groupBy("query").agg(F.max("item").alias("value"))
-    exact = exact.select("query", "value", F.lit("exact").alias("status"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("runner_up"))
+    q = queries.where("query is not null").select("query", F.lower("query").alias("q")).distinct()
+    p = pool.where("item is not null").groupBy(F.lower("item").alias("i")).agg(F.max("item").alias("item"))
+    exact = q.join(p, F.col("q") == F.col("i")).select("query", F.col("item").alias("value"), F.lit("exact").alias("status"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("runner_up"))
     rest = q.join(exact.select("query"), "query", "left_anti")
-    shortest = p.agg(F.min(F.length("item")).alias("_least"))
-    starts = rest.crossJoin(F.broadcast(shortest)).where(F.length("query") >= F.col("_least"))  # one row
-    starts = starts.join(p, F.startswith(F.lower("item"), F.lower("query"))).groupBy("query").agg(F.count("*").alias("n"), F.max("item").alias("value"))
-    prefix = starts.where("n = 1").select("query", "value", F.lit("prefix").alias("status"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("runner_up"))
-    rest = rest.join(prefix.select("query"), "query", "left_anti")
-    scored = rest.join(p).withColumn("score", ratio("item", "query")).where(F.col("score") >= cutoff)  # closed pool against what is left
-    w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("item"))
-    top = scored.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy("query").agg(F.max_by("item", -F.col("rn")).alias("value"), F.max("score").alias("score"), F.max(F.when(F.col("rn") == 2, F.struct("item", "score"))).alias("second"))
-    clear = F.col("second").isNull() | (F.col("score") - F.col("second.score") >= margin)
-    longer = F.endswith(F.col("value"), F.concat(F.lit(" "), F.col("second.item")))
-    fuzzy = top.select("query", F.when(clear | longer, F.col("value")).alias("value"), F.when(clear, "fuzzy").when(longer, "longer").otherwise("ambiguous").alias("status"), "score", F.col("second.item").alias("runner_up"))
-    found = exact.union(prefix).union(fuzzy)
+    least = F.broadcast(p.agg(F.min(F.length("i")).alias("least")))  # one row
+    begins = p.join(least).select("item", F.explode(F.when(F.length("i") >= F.col("least"), F.transform(F.sequence("least", F.length("i")), lambda n: F.substr("i", F.lit(1), n)))).alias("begin"))
+    only = rest.join(begins, F.col("q") == F.col("begin")).groupBy("query").agg(F.count("*").alias("n"), F.max("item").alias("value")).where("n = 1")
+    prefix = only.select("query", "value", F.lit("prefix").alias("status"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("runner_up"))
+    found = exact.union(prefix)
+    if cutoff <= 1:
+        rest = rest.join(prefix.select("query"), "query", "left_anti").where("q <> ''")
+        reach = (2 - cutoff) / cutoff  # a ratio is at most twice the shorter length over the sum
+        lengths = F.sequence(F.floor(F.length("q") / reach).cast("int"), F.ceil(F.length("q") * reach).cast("int"))
+        near = rest.withColumn("n", F.explode(lengths)).join(p.withColumn("n", F.length("i")), "n")
+        scored = near.withColumn("score", ratio("i", "q")).where(F.col("score") >= cutoff)
+        w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("i"))
+        two = scored.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy("query", "q").agg(F.min(F.struct("rn", "i", "item", "score")).alias("a"), F.max(F.struct("rn", "i", "item", "score")).alias("b"))
+        two = two.withColumn("sa", ratio("q", "a.i")).withColumn("sb", ratio("q", "b.i"))
+        clear = (F.col("b.rn") == 1) | (F.col("sa") - F.col("sb") >= margin)
+        longer, shorter = (F.when(F.length("a.i") >= F.length("b.i"), F.col(f"{x}.i")).otherwise(F.col(f"{y}.i")) for x, y in (("a", "b"), ("b", "a")))
+        item = lambda chosen: F.when(chosen == F.col("a.i"), F.col("a.item")).otherwise(F.col("b.item"))
+        tie = F.endswith(longer, F.concat(F.lit(" "), shorter))
+        extra = F.substr(longer, F.lit(1), F.length(longer) - F.length(shorter) - 1)
+        value = F.when(clear, F.col("a.item")).when(tie, F.when(F.contains(F.col("q"), extra), item(longer)).otherwise(item(shorter)))
+        status = F.when(clear, "fuzzy").when(tie, "leading words").otherwise("ambiguous")
+        found = found.union(two.select("query", value.alias("value"), status.alias("status"), F.col("a.score").alias("score"), F.when(F.col("b.rn") == 2, F.col("b.item")).alias("runner_up")))
     return q.join(found, "query", "left").select("query", "value", F.coalesce("status", F.lit("none")).alias("status"), "score", "runner_up")
 
 

@@ -42,13 +42,34 @@ def fallback_key_lookup(spark, sf_dir):
     return with_fallback_key(part.select("p_partkey", "p_brand", "p_type"), dim, full, F.col("p_type"), "k", "n").select(F.col("p_partkey").alias("id"), "n")
 
 
-@query("""
-SELECT p_brand AS brand, list_sort(list(DISTINCT p_name)) AS pool, count(DISTINCT p_name) AS quota
-FROM part WHERE p_name <> (SELECT min(p_name) FROM part) GROUP BY p_brand""")
+_HOLES = "p_name = 'Do Nothing' OR starts_with(p_name, '[DNT]')"
+
+
+@query(f"""
+WITH part2 AS (SELECT p_brand, p_type, CASE WHEN p_size = 50 THEN 'Do Nothing' WHEN p_size = 49 THEN '[DNT] ' || p_name ELSE p_name END AS p_name, p_size, p_partkey FROM part),
+per AS (SELECT p_brand AS brand, CASE p_size % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'third' END AS bucket, p_name, p_partkey FROM part2 WHERE NOT ({_HOLES})),
+quota AS (SELECT brand, coalesce(max(n) FILTER (WHERE bucket = 'first'), 0) + coalesce(max(n) FILTER (WHERE bucket = 'second'), 0) + coalesce(max(n) FILTER (WHERE bucket = 'third'), 0) AS quota
+  FROM (SELECT brand, bucket, count(DISTINCT p_name) AS n FROM per GROUP BY 1, 2) GROUP BY 1)
+SELECT brand, list(p_name ORDER BY bucket, p_partkey) AS pool, any_value(quota) AS quota FROM per JOIN quota USING (brand) GROUP BY brand""")
 def pool_union(spark, sf_dir):
+    """The three lists of a category as one, in order and without placeholders; its quota is the sum of theirs."""
     part = read(spark, sf_dir, "part")
-    hole = part.agg(F.min("p_name").alias("hole"))  # one row
-    return part.join(F.broadcast(hole)).where("p_name <> hole").groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_set("p_name")).alias("pool"), F.countDistinct("p_name").alias("quota"))
+    name = F.when(F.col("p_size") == 50, "Do Nothing").when(F.col("p_size") == 49, F.concat(F.lit("[DNT] "), "p_name")).otherwise(F.col("p_name"))
+    bucket = F.element_at(F.array(F.lit("first"), F.lit("second"), F.lit("third")), F.col("p_size") % 3 + 1)
+    rows = part.select(F.col("p_brand").alias("brand"), bucket.alias("bucket"), name.alias("name"), "p_partkey").where(~T.is_placeholder(F.col("name")))
+    lists = rows.groupBy("brand").pivot("bucket", ["first", "second", "third"]).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "name"))).alias("l"), F.countDistinct("name").alias("n"))
+    none = F.array().cast("array<struct<p_partkey:bigint,name:string>>")
+    pool = F.transform(F.concat(*[F.coalesce(f"{k}_l", none) for k in ("first", "second", "third")]), lambda x: x["name"])
+    return lists.select("brand", pool.alias("pool"), sum((F.coalesce(f"{k}_n", F.lit(0)) for k in ("first", "second", "third")), F.lit(0)).cast("long").alias("quota"))
+
+
+def pool_sql() -> str:
+    return "pools AS (SELECT p_brand AS category, list_sort(list(DISTINCT p_name)) AS pool FROM part WHERE p_size <= 25 GROUP BY 1)"
+
+
+def pool_of(spark, sf_dir):
+    """(category, pool): the items that each category is known to have."""
+    return read(spark, sf_dir, "part").where("p_size <= 25").groupBy(F.col("p_brand").alias("category")).agg(F.array_sort(F.collect_set("p_name")).alias("pool"))
 
 
 @query("""
@@ -76,19 +97,19 @@ def observed_key_groups(spark, sf_dir):
 
 
 @query(f"""
-WITH {_GROUPS}, held AS (SELECT DISTINCT l_orderkey AS id, p_brand || '_' || p_size AS k, p_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R')
+WITH {_GROUPS}, held AS (SELECT DISTINCT l_orderkey AS id, p_brand || '_' || p_size AS k, p_name FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT id, k, count(*) AS n, list_sort(list(p_name))[1:3] AS shown FROM held GROUP BY id, k HAVING count(*) > 1""")
 def same_container_collisions(spark, sf_dir):
     key = T.observed_key(F.col("p_brand"), F.col("p_size").cast("string")).alias("k")
-    held = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    held = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     held = held.select(F.col("l_orderkey").alias("id"), key, "p_name").distinct()
     return held.groupBy("id", "k").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("p_name")), 1, 3).alias("shown")).where("n > 1")
 
 
 @query("""
-SELECT p_brand AS icon, count(DISTINCT p_type) AS identities, min(p_name) AS shown FROM part WHERE p_size <= 3 GROUP BY 1 HAVING count(DISTINCT p_type) > 1""")
+SELECT p_brand AS icon, count(DISTINCT p_type) AS identities, min(p_name) AS shown FROM part GROUP BY 1 HAVING count(DISTINCT p_type) > 1""")
 def multi_identity_keys(spark, sf_dir):
-    return read(spark, sf_dir, "part").where("p_size <= 3").groupBy(F.col("p_brand").alias("icon")).agg(F.countDistinct("p_type").alias("identities"), F.min("p_name").alias("shown")).where("identities > 1")
+    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("icon")).agg(F.countDistinct("p_type").alias("identities"), F.min("p_name").alias("shown")).where("identities > 1")
 
 
 _ALLOWED = "allowed AS (SELECT p_type AS item, list(DISTINCT p_name) AS names FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'A' AND p_size % 3 = 0 GROUP BY 1)"
@@ -113,9 +134,9 @@ def cull_with_fallback(spark, sf_dir):
 @query(f"""
 WITH {_ALLOWED}
 SELECT l_orderkey AS id, l_linenumber AS pos, p_type AS item, p_name AS text
-FROM lineitem JOIN part ON p_partkey = l_partkey JOIN allowed ON item = p_type WHERE NOT list_contains(names, p_name) AND l_quantity > 45""")
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN allowed ON item = p_type WHERE NOT list_contains(names, p_name)""")
 def disallowed_pairs(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_quantity > 45").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("opts", T.options(F.col("p_name")))
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("opts", T.options(F.col("p_name")))
     bad = rows.join(allowed_sets(spark, sf_dir), F.col("item") == F.col("p_type")).where(~F.arrays_overlap("opts", "names"))
     return bad.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), "item", F.col("p_name").alias("text"))
 
@@ -151,15 +172,22 @@ def positional_pairing(spark, sf_dir):
 
 
 @query("""
-WITH pool AS (SELECT p_brand AS b, min(length(p_name)) AS least FROM part GROUP BY 1), ranked AS (
-  SELECT p_partkey AS id, p_brand AS b, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part)
-SELECT id, (length(p_name) > least AND regexp_full_match(p_name, '[A-Za-z'' :]+')) AS plausible FROM ranked JOIN pool USING (b) WHERE rn <= 20""")
+WITH pool AS (SELECT p_brand AS b, p_type AS t, min(length(p_name)) AS least, count(*) FILTER (WHERE p_size <= 10) AS matched, any_value(length(p_type)) % 3 + 2 AS quota,
+  list(DISTINCT lower(p_name)) FILTER (WHERE p_size <= 10) AS kept FROM part GROUP BY 1, 2),
+judged AS (SELECT p_partkey AS id, p_size <= 10 AS recognised, length(p_name) >= least AND regexp_full_match(p_name, '[A-Za-z'' :]+') AS plausible, matched >= quota AS quota_full,
+  p_size > 10 AND len(list_filter(coalesce(kept, []), lambda x: contains(x, lower(p_name)))) = 0 AS dropped FROM part JOIN pool ON b = p_brand AND t = p_type)
+SELECT id, recognised, plausible, quota_full, dropped, recognised OR (plausible AND NOT quota_full) AS kept FROM judged""")
 def quota_and_shape_filter(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    least = part.groupBy("p_brand").agg(F.min(F.length("p_name")).alias("least"))
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    kept = part.withColumn("rn", F.row_number().over(w)).where("rn <= 20").join(least, "p_brand")
-    return kept.select(F.col("p_partkey").alias("id"), ((F.length("p_name") > F.col("least")) & F.col("p_name").rlike("^[A-Za-z' :]+$")).alias("plausible"))
+    """Every reading of a container: leftovers stay only if their shape allows a name and the container's quota is not
+    full; what is not recognised, nor part of a name that is, is told as dropped."""
+    part = read(spark, sf_dir, "part").withColumn("recognised", F.col("p_size") <= 10)
+    names = F.coalesce(F.collect_set(F.when(F.col("recognised"), F.lower("p_name"))), F.array().cast("array<string>"))
+    pool = part.groupBy("p_brand", "p_type").agg(F.min(F.length("p_name")).alias("least"), F.count_if("recognised").alias("matched"), names.alias("kept_names"))
+    out = part.join(pool, ["p_brand", "p_type"])
+    plausible = (F.length("p_name") >= F.col("least")) & F.col("p_name").rlike("^[A-Za-z' :]+$")
+    full = F.col("matched") >= F.length("p_type") % 3 + 2
+    dropped = ~F.col("recognised") & ~F.exists("kept_names", lambda x: F.contains(x, F.lower("p_name")))
+    return out.select(F.col("p_partkey").alias("id"), "recognised", plausible.alias("plausible"), full.alias("quota_full"), dropped.alias("dropped"), (F.col("recognised") | (plausible & ~full)).alias("kept"))
 
 
 @query("""

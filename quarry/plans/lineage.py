@@ -64,29 +64,36 @@ def candidate_intersection(spark, sf_dir):
 
 
 @query(f"""
-WITH {_CLUSTERS}, arg AS (SELECT 'unlabeled_' || hash[1:(4 + first_id % 7)::INTEGER] || '.png' AS raw FROM clu WHERE first_id % 3 = 0),
+WITH {_CLUSTERS}, arg AS (SELECT 'unlabeled_' || hash[1:(4 + first_id % 7)::INTEGER] || '.png' AS raw FROM clu),
 norm AS (SELECT DISTINCT raw, regexp_replace(regexp_replace(trim(raw), '^unlabeled_', ''), '\\.png$', '') AS prefix FROM arg)
 SELECT raw, count(hash) AS hits, CASE WHEN count(hash) = 1 THEN min(hash) END AS hash FROM norm LEFT JOIN clu ON starts_with(hash, prefix) GROUP BY raw""")
 def prefix_overrides(spark, sf_dir):
     """Prefixes of hashes: an equi-join on the first characters for each length in use; two or more hits are refused."""
     clu = clusters(spark, sf_dir).select("hash", "first_id")
     cut = (F.col("first_id") % 7 + 4).cast("int")
-    raw = clu.where("first_id % 3 = 0").select(F.concat(F.lit("unlabeled_"), F.substr("hash", F.lit(1), cut), F.lit(".png")).alias("raw")).distinct()
+    raw = clu.select(F.concat(F.lit("unlabeled_"), F.substr("hash", F.lit(1), cut), F.lit(".png")).alias("raw")).distinct()
     norm = raw.withColumn("prefix", T.override_key(F.col("raw")))
     by_length = clu.select("hash", F.explode(F.sequence(F.lit(4), F.lit(10))).alias("k")).select("hash", F.substr("hash", F.lit(1), F.col("k")).alias("prefix"))
     hit = norm.join(by_length, "prefix", "left").groupBy("raw").agg(F.count("hash").alias("hits"), F.min("hash").alias("h"))
     return hit.select("raw", "hits", F.when(F.col("hits") == 1, F.col("h")).alias("hash"))
 
 
-@query(f"""
-WITH {_CLUSTERS}, {_LABELLED}, ans AS (SELECT md5(text) AS hash, lang || '/' || (doc_id % 2) AS name, doc_id FROM documents WHERE doc_id % 5 = 0)
-SELECT doc_id, CASE WHEN lab.hash IS NULL THEN 'unknown hash' WHEN len(names) > 1 THEN 'conflicting' WHEN name NOT LIKE 'e%' THEN 'unknown name' ELSE 'merged' END AS outcome
-FROM ans LEFT JOIN lab USING (hash)""")
+@query("""
+WITH lab AS (SELECT md5(text) AS hash, md5(text)[1:10] AS prefix, min(doc_id) AS first_id, list_sort(list(DISTINCT lang || '/' || (doc_id % 2))) AS forms FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2),
+one AS (SELECT prefix, min(hash) AS hash, arg_min(first_id, hash) AS first_id, arg_min(forms, hash) AS forms FROM lab GROUP BY 1),
+ans AS (SELECT doc_id, md5(text)[1:10] AS prefix, lang || '/' || (doc_id % 2) AS name FROM documents)
+SELECT doc_id, CASE WHEN one.hash IS NULL THEN 'unknown hash' WHEN first_id % 4 = 0 THEN 'already promoted' WHEN name NOT LIKE 'e%' THEN 'unknown name' WHEN NOT list_contains(forms, name) THEN 'not allowed'
+  WHEN first_id % 3 = 0 AND forms[1] <> name THEN 'conflicting' WHEN first_id % 3 = 0 THEN 'unchanged' ELSE 'merged' END AS outcome
+FROM ans LEFT JOIN one USING (prefix)""")
 def answer_merge(spark, sf_dir):
-    ans = read(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.md5("text").alias("hash"), F.concat_ws("/", "lang", F.col("doc_id") % 2).alias("name"), "doc_id")
-    out = ans.join(labelled(spark, sf_dir), "hash", "left")
-    why = F.when(F.col("names").isNull(), "unknown hash").when(F.size("names") > 1, "conflicting").when(~F.startswith("name", F.lit("e")), "unknown name").otherwise("merged")
-    return out.select("doc_id", why.alias("outcome"))
+    """What becomes of each answer, given by a prefix of its hash (the first hash that has it): merged, unchanged, or ignored for a reason."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("hash"), F.concat_ws("/", "lang", F.col("doc_id") % 2).alias("name"))
+    lab = docs.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id").groupBy("hash").agg(F.min("doc_id").alias("first_id"), F.array_sort(F.collect_set("name")).alias("forms"))
+    one = lab.groupBy(F.substring("hash", 1, 10).alias("prefix")).agg(F.min(F.struct("hash", "first_id", "forms")).alias("x")).select("prefix", "x.*")
+    out = docs.select("doc_id", F.substring("hash", 1, 10).alias("prefix"), "name").join(one, "prefix", "left")
+    known, settled = F.startswith("name", F.lit("e")), F.col("first_id") % 3 == 0
+    why = F.when(F.col("hash").isNull(), "unknown hash").when(F.col("first_id") % 4 == 0, "already promoted").when(~known, "unknown name").when(~F.array_contains("forms", F.col("name")), "not allowed")
+    return out.select("doc_id", why.when(settled & (F.get("forms", F.lit(0)) != F.col("name")), "conflicting").when(settled, "unchanged").otherwise("merged").alias("outcome"))
 
 
 @query("""
@@ -110,29 +117,35 @@ def audit_status(spark, sf_dir):
 
 
 @query("""
-WITH need AS (SELECT DISTINCT p_brand || '_' || p_size AS k FROM part), have AS (SELECT p_brand || '_' || p_size AS k, l_returnflag AS s FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49 GROUP BY 1, 2),
+WITH need AS (SELECT DISTINCT p_brand || '_' || p_size AS k FROM part), have AS (SELECT p_brand || '_' || p_size AS k, l_returnflag AS s FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
 by_key AS (SELECT need.k, list(s) AS ss FROM need LEFT JOIN have USING (k) GROUP BY 1)
 SELECT CASE WHEN list_contains(ss, 'A') THEN 'confirmed' WHEN list_contains(ss, 'R') THEN 'manual' WHEN list_contains(ss, 'N') THEN 'inferred' ELSE 'missing' END AS category, count(*) AS n FROM by_key GROUP BY 1""")
 def coverage_report(spark, sf_dir):
     part = read(spark, sf_dir, "part").withColumn("k", T.observed_key(F.col("p_brand"), F.col("p_size").cast("string")))
-    have = read(spark, sf_dir, "lineitem").where("l_quantity > 49").join(part, F.col("p_partkey") == F.col("l_partkey")).select("k", F.col("l_returnflag").alias("s")).distinct()
+    have = read(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).select("k", F.col("l_returnflag").alias("s")).distinct()
     by_key = part.select("k").distinct().join(have, "k", "left").groupBy("k").agg(F.collect_list("s").alias("ss"))
     has = lambda x: F.array_contains("ss", x)
     return by_key.groupBy(F.when(has("A"), "confirmed").when(has("R"), "manual").when(has("N"), "inferred").otherwise("missing").alias("category")).agg(F.count("*").alias("n"))
 
 
 @query("""
-SELECT p_name AS name, count(DISTINCT p_brand) AS breadth, arg_min(p_type, (p_brand, p_partkey)) AS example FROM part WHERE p_size > 40 GROUP BY 1 HAVING count(DISTINCT p_brand) BETWEEN 1 AND 8""")
+SELECT p_name AS name, count(DISTINCT p_brand) FILTER (WHERE p_size > 5) AS breadth, arg_min(p_type, (p_brand, p_partkey)) FILTER (WHERE p_size > 5) AS example,
+  count(DISTINCT p_brand) FILTER (WHERE p_size > 5) BETWEEN 1 AND 2 AS narrow FROM part WHERE p_name NOT IN (SELECT max(p_name) FROM part) GROUP BY 1""")
 def breadth_and_example(spark, sf_dir):
-    g = read(spark, sf_dir, "part").where("p_size > 40").groupBy(F.col("p_name").alias("name")).agg(F.countDistinct("p_brand").alias("breadth"), F.min_by("p_type", F.struct("p_brand", "p_partkey")).alias("example"))
-    return g.where("breadth between 1 and 8")
+    """For each name that is not flagged: how many containers allow it, the first example, and whether they are one or two."""
+    part = read(spark, sf_dir, "part")
+    flagged = part.agg(F.max("p_name").alias("p_name"))
+    allows = F.col("p_size") > 5
+    g = part.join(F.broadcast(flagged), "p_name", "left_anti").groupBy(F.col("p_name").alias("name"))  # one row
+    g = g.agg(F.countDistinct(F.when(allows, F.col("p_brand"))).alias("breadth"), F.min_by(F.when(allows, F.col("p_type")), F.when(allows, F.struct("p_brand", "p_partkey"))).alias("example"))
+    return g.withColumn("narrow", F.col("breadth").between(1, 2))
 
 
 @query("""
-WITH miss AS (SELECT DISTINCT p_name AS key, p_brand AS item FROM part WHERE p_size > 45)
+WITH miss AS (SELECT DISTINCT p_name AS key, p_brand AS item FROM part)
 SELECT item, count(*) AS n FROM (SELECT item, row_number() OVER (PARTITION BY key ORDER BY item) AS rn FROM miss) WHERE rn = 1 GROUP BY 1""")
 def coverage_first_container(spark, sf_dir):
-    miss = read(spark, sf_dir, "part").where("p_size > 45").select(F.col("p_name").alias("key"), F.col("p_brand").alias("item")).distinct()
+    miss = read(spark, sf_dir, "part").select(F.col("p_name").alias("key"), F.col("p_brand").alias("item")).distinct()
     return miss.groupBy("key").agg(F.min("item").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
 
 

@@ -71,10 +71,10 @@ def tier_override(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT embedding[1:32]::DOUBLE[] AS x FROM embeddings ORDER BY vec_id LIMIT 1), m AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS y, x FROM embeddings, t)
-SELECT vec_id, round(list_dot_product(list_transform(x, lambda v: CASE WHEN v > 0 THEN v ELSE 0 END), y) / sqrt(list_dot_product(list_transform(x, lambda v: CASE WHEN v > 0 THEN v ELSE 0 END), x) * list_sum(list_transform(range(1, 33), lambda i: CASE WHEN x[i] > 0 THEN y[i] * y[i] ELSE 0 END))), 6) AS ncc FROM m""")
+WITH t AS (SELECT embedding::DOUBLE[] AS x FROM embeddings ORDER BY vec_id LIMIT 1), m AS (SELECT vec_id, embedding::DOUBLE[] AS y, x FROM embeddings, t)
+SELECT vec_id, round(list_dot_product(list_transform(x, lambda v: CASE WHEN v > 0 THEN v ELSE 0 END), y) / sqrt(list_dot_product(list_transform(x, lambda v: CASE WHEN v > 0 THEN v ELSE 0 END), x) * list_sum(list_transform(range(1, len(x) + 1), lambda i: CASE WHEN x[i] > 0 THEN y[i] * y[i] ELSE 0 END))), 6) AS ncc FROM m""")
 def masked_correlation(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("y"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("y"))
     one = e.orderBy("vec_id").limit(1).select(F.col("y").alias("x"))
     mask = F.transform("x", lambda v: v > 0)
     return e.join(F.broadcast(one)).select("vec_id", F.round(masked_ncc(F.col("x"), F.col("y"), mask), 6).alias("ncc"))

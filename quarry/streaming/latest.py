@@ -12,11 +12,14 @@ def latest_qualifying(events: DataFrame, key: str = "user_id", excluded: str = "
 
 
 def merge_answers(batch: DataFrame, path: str) -> None:
-    """For foreachBatch: keep the first answer of each hash; running a batch again changes nothing."""
+    """For foreachBatch: keep the first answer of each hash, by the batch's `ord` where it has one and then by name; running
+    a batch again changes nothing, and nothing is written if nothing is new."""
     from quarry.sources.tables import exists
 
     spark = batch.sparkSession
-    new = batch.groupBy("hash").agg(F.min("name").alias("name"))
+    order = F.struct(*[c for c in ("ord", "name") if c in batch.columns])
+    new = batch.groupBy("hash").agg(F.min_by("name", order).alias("name"))
     if exists(spark, path):
         new = new.join(spark.read.parquet(path).select("hash"), "hash", "left_anti")
-    new.write.mode("append").parquet(path)
+    if not new.isEmpty():
+        new.orderBy("hash").write.mode("append").parquet(path)
