@@ -1,6 +1,8 @@
 """A corpus pipeline of five stages: quality rules, n-gram join, suffix-array dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that `run` writes as Parquet and rereads for the next one.
+All take nulls in any column, texts of any length, repeated rows and empty tables (which give no rows); columns that are
+not those of documents do not go on.
 """
 
 from __future__ import annotations
@@ -15,12 +17,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned rules keep."""
+    """Documents that the base rules and the learned rules keep. A null or empty text has no words and goes; a null doc_id is
+    rated like any other; repeated rows are rated each on their own."""
     return quality.rate(docs, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: the least by (doc_id, node, hash of the row), null ids last. A row without words is its own."""
+    """One row of each component: the least by (doc_id, node, hash of the row), null ids last. A row without words is its own
+    component, by its doc_id and contents; rows equal in all columns are one."""
     marked = docs.select(*COLUMNS).withColumn("_row", F.xxhash64(*COLUMNS))
     rows = jaccard_join.join_groups(marked, n=5, num=80, den=100, keep=("_row",))
     alone = F.col("root").isNull()
@@ -31,7 +35,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_arrays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 200 bytes that start elsewhere too; a text of which nothing is left goes."""
+    """Texts without strings of 200 bytes that start elsewhere too; a text of which nothing is left goes. A null or empty text
+    stays, as an empty one; repeated rows of a long text are copies of each other and go; n_chars is counted anew."""
     cut = suffix_dedup.remove_repeats(docs, length=200)
     text = F.when(F.col("n_removed") == 0, F.col("kept_bytes").cast("string")).otherwise(F.expr("make_valid_utf8(cast(kept_bytes as string))"))
     left = cut.where("n_removed = 0 or n_bytes > n_removed").withColumn("text", text)
@@ -39,12 +44,15 @@ def suffix_arrays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate, rounded by a hash, says."""
+    """Each document as often as its rate, rounded by a hash of its id and text, says. A null or empty text has no tokens and
+    the rate of its posterior; repeated rows are copied alike."""
     mixed = mixing.mix(docs, table(spark, sf_dir, "labels"))
     return mixed.where("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens: a null or empty text is its end id alone, a null doc_id is kept,
+    repeated rows are packed each on their own."""
     return packing.pack(docs, capacity=4096, end_id=2)
 
 
