@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from itertools import count
@@ -16,7 +17,7 @@ from quarry.runtime import shared_folder, ship
 
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -69,6 +70,14 @@ def text_key(*cols: Column | str) -> Column:
     return F.unhex(F.md5(made.cast("binary")))
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers live on between tasks, and by default keep what they freed.
+    Where the C library cannot do so only Arrow's pool is returned."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in turns of at most `most` bytes of a column, or one row where that alone has more."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -77,6 +86,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+    give_back()
 
 
 def joined_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_intdigest
 
-from quarry.llm.common import U64, Bits, Stash, binary_rows, joined_values, mix, slices
+from quarry.llm.common import U64, Bits, Stash, binary_rows, give_back, joined_values, mix, slices
 
 GRAM = 32
 SLICE = 1 << 17
@@ -431,15 +431,20 @@ def find_spans(docs: DataFrame, text: str, length: int, stash: Stash) -> DataFra
     shards = max(1, -(-4 * total // SHARD_BYTES))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return Shard(pdf, length).spans()
+        out = Shard(pdf, length).spans()
+        give_back()
+        return out
 
     def two(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf.i.iloc[0], pdf.j.iloc[0]
         if i == j:
-            return Shard(pdf, length).spans()
+            return one(pdf)
         left, right = Shard(pdf[pdf.salt == i], length), Shard(pdf[pdf.salt == j], length)
         left.merge(right), right.merge(left)
-        return pd.concat([left.spans(), right.spans()])
+        out = pd.concat([left.spans(), right.spans()])
+        del left, right
+        give_back()
+        return out
 
     spans = "t long, u long, lo long, hi long"
     loaded = ctx.join(load, "a", "left")
