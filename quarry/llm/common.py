@@ -38,9 +38,9 @@ class Stash:
         self.n += 1
         return f"{self.base}/{self.n:03d}-{tag}"
 
-    def __call__(self, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+    def __call__(self, df: DataFrame, tag: str, codec: str = "zstd", **options: object) -> DataFrame:
         path = self.path(tag)
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stash_path = path
         return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import html_text, jaccard_join, mixing, near_vectors, packing, quality, suffix_dedup, token_files, toxicity, url_rules
+from quarry.llm import html_text, jaccard_join, mixing, near_vectors, packing, prefix_trie, quality, secret_ledger, suffix_dedup, token_files, toxicity, url_rules, vector_codes
 from quarry.llm.common import table
 
 
@@ -54,6 +54,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "tokens", *[f"p_{d}" for d in mixing.DOMAINS], "rate", "copies")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.Ledger(spark).scan(table(spark, sf_dir, "documents"), keys=["doc_id"])
+    return secret_ledger.digests(found)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))[0].select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))[0]
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_jaccard": op9_jaccard,
     "op10_mixing": op10_mixing,
+    "op11_secrets": op11_secrets,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 
