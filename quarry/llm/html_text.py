@@ -44,9 +44,11 @@ NOISE_ARTICLES = frozenset("ad advert comment reply promo sponsored teaser relat
 #: Names of a page's layout, not of what an element holds.
 LAYOUT = ("has-", "with-", "no-", "without-")
 KEPT_INSIDE = frozenset(("article", "main"))
+HEADS = ("h1", "h2", "h3", "h4", "h5", "h6")
+ATTRS = frozenset("class id role hidden aria-hidden style".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTR = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")  # one after another, names whole, values never searched
 _CLOSED = re.compile(r"(?:^|[\s\"'])/$")  # a slash that ends an unquoted value belongs to it
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -69,9 +71,12 @@ def noise_kind(tag: str, attrs: str, inside: bool) -> int:
     """By tag, visibility, role or name. inside: of an article or main element, whose header is its own."""
     if tag in NOISE_TAGS:
         return NOISE
-    kind = HINT if tag in HINT_TAGS or (tag == "header" and not inside) else PLAIN
+    kind, seen = HINT if tag in HINT_TAGS or (tag == "header" and not inside) else PLAIN, set()
     for m in _ATTR.finditer(attrs) if attrs else ():
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key not in ATTRS or key in seen:  # of a repeated attribute the first counts
+            continue
+        seen.add(key)
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return NOISE
         if key == "role" and value in NOISE_ROLES:
@@ -246,12 +251,30 @@ def core(body: Node) -> list[Node]:
     for x in reversed(path):
         if x.tag in KEPT_INSIDE:
             return [x]
-    least = min(x.density for x in path)
     if best is body or best.parent is None:
         return [best]
-    same = [p for p in best.parent.parts if isinstance(p, Node) and not p.noise and p.chars]
-    heads = ("h1", "h2", "h3", "h4", "h5", "h6")
-    return [p for p in same if p is best or p.link_chars * 2 < p.chars and (p.density >= least or p.tag in heads)]
+    least = min(x.density for x in path)
+    chosen: list[Node] = []
+    for i in range(len(path) - 1, 0, -1):  # from the body down: what stands beside the path and is as dense as the path's least
+        beside = [p for p in path[i].parts if isinstance(p, Node) and not p.noise and p.chars]
+        at = beside.index(path[i - 1]) if path[i - 1] in beside else 0
+        dense = [p for p in beside if p is not path[i - 1] and p.link_chars * 2 < p.chars and (p.density >= least or i == 1 and p.tag in HEADS)]
+        before = [largest(p) if i > 1 else p for p in dense if beside.index(p) < at]
+        after = [largest(p) if i > 1 else p for p in dense if beside.index(p) > at]
+        chosen = [*before, None, *after] if not chosen else [*chosen[: chosen.index(None)], *before, None, *after, *chosen[chosen.index(None) + 1 :]]
+    chosen[chosen.index(None)] = best
+    return chosen
+
+
+def largest(x: Node) -> Node:
+    """The element of the largest sum in a subtree, itself if none has one."""
+    best, todo = x, [x]
+    while todo:
+        y = todo.pop()
+        if y.total > best.total:
+            best = y
+        todo += [p for p in reversed(y.parts) if isinstance(p, Node) and not p.noise and p.chars]
+    return best
 
 
 def blocks(nodes: list[Node]) -> Iterator[str]:
