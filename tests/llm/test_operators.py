@@ -351,13 +351,16 @@ def test_mixing(spark, docs):
     assert abs(low / sum(r.tokens * r.p_clean for r in got) - 0.15 / 0.8) < 0.01  # targets are relative to the largest domain's tokens
     assert all(r.copies == 1 for r in got if r.doc_id % 3 == 0) and all(0 <= r.rate <= 1 for r in got)
     soft = spark.createDataFrame([(1, 10, 0.9, 0.1, 0.0), (2, 20, 0.2, 0.7, 0.1), (3, 5, 0.0, 0.1, 0.9)], "id int, tokens long, p0 double, p1 double, p2 double")
-    rate, history = mixing.fit_rates(soft, mixing.TARGETS, 1.0, steps=12)
-    r, t, p = np.ones(3), np.array([10, 20, 5.0]), np.array([[0.9, 0.1, 0], [0.2, 0.7, 0.1], [0, 0.1, 0.9]])
-    mass = (r * t) @ p
-    goal = np.minimum(mass, np.array([0.96, 0.03, 0.01]) / 0.96 * mass[0])
-    for _ in history:
-        r = np.clip(r - p @ (((r * t) @ p - goal) / mass), 0, 1)
-    assert np.allclose([x[0] for x in soft.orderBy("id").select(rate).collect()], r)
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet((0.3, 0.2, 0.1), 400)
+    t = rng.integers(1, 500, 400)
+    soft = spark.createDataFrame([(i, int(n), *map(float, x)) for i, (n, x) in enumerate(zip(t, p, strict=True))], "id int, tokens long, p0 double, p1 double, p2 double")
+    for targets, top in (({"clean": 0.7, "low": 0.2, "toxic": 0.1}, 1.0), ({"clean": 0.3, "low": 0.4, "toxic": 0.3}, 100.0), ({"clean": 0.95, "toxic": 0.05}, 1.0)):
+        rate, history, left = mixing.fit(soft, targets)
+        r = np.array([x[0] for x in soft.orderBy("id").select(rate).collect()])
+        kept = {d: (r * t * p[:, k]).sum() for k, d in enumerate(mixing.DOMAINS) if d in targets}
+        assert r.min() >= 0 and r.max() <= top and len(history) <= 20 and max(map(abs, left.values())) < 1e-5
+        assert all(abs(x / sum(kept.values()) - targets[d]) < 1e-5 for d, x in kept.items())
     assert mixing.mix(docs, df.select("doc_id", "quality", "toxic").limit(0)).where(F.col("rate") == 1).count() == len(DOCS)
 
 
@@ -439,3 +442,38 @@ def test_components_settle(spark):
     assert {r.root for r in connected_components(nodes, edges).collect()} == {0}
     with pytest.raises(RuntimeError):
         connected_components(nodes, edges, rounds=1)
+
+
+LONG = "the article goes on with a sentence that is long enough to weigh " * 6
+
+
+@pytest.mark.parametrize(
+    "fragment",
+    [
+        '<a href="/hidden-valley/">Hidden Valley</a>',
+        '<span title="a hidden gem">gem</span>',
+        '<span data-id="comments">marked</span>',
+        '<span data-style="display:none">styled</span>',
+        "<a href=/hidden/>unquoted</a>",
+        '<span data-hidden="false">not so</span>',
+        "<span class=plain id=nothing-hid>named</span>",
+        '<span title=\'class="comments"\'>inside a value</span>',
+    ],
+)
+def test_html_attributes_are_whole_names(fragment):
+    got = html_text.extract(f"<html><body><div><p>{LONG}{fragment}</p><p>{LONG}</p></div></body></html>")
+    assert re.sub("<.*?>", "", fragment) in got
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "HIDDEN=''", "aria-hidden = true", 'style="color:red; display : none"', "class='x comments'", "id=sidebar", "role=banner", 'title="a" hidden data-x=1'])
+def test_html_attributes_that_hide(attrs):
+    got = html_text.extract(f"<html><body><div><p>{LONG}</p><p>{LONG}</p></div><div {attrs}><p>away with it</p></div></body></html>")
+    assert LONG.strip() in got and "away" not in got
+
+
+def test_html_threshold_beyond_the_parent():
+    """Without article or main: what stands beside the body path is taken if it is as dense as the path's least element."""
+    core = "".join(f"<p>{LONG}</p>" for _ in range(4))
+    page = f"<html><body><div><p>{'opening words ' * 60}</p></div><div><div>{core}</div></div><div><a href=x>one</a> <a href=y>two</a> end</div></body></html>"
+    got = html_text.extract(page)
+    assert got.startswith("opening words") and got.count("long enough") == 24 and "one" not in got
