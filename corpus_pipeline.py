@@ -14,6 +14,8 @@ from quarry.llm import jaccard_join, mixing, packing, quality, suffix_dedup
 from quarry.llm.common import Stash, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The first stage has removed low quality: what it let through is neither cut nor repeated.
+MIX = {"clean": 0.99, "toxic": 0.01}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def suffix_arrays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate, rounded by a hash of its id and text, says. A null or empty text has no tokens and
     the rate of its posterior; repeated rows are copied alike."""
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), targets=MIX)
     return mixed.where("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
