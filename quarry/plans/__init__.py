@@ -1,4 +1,4 @@
 """All registered plans."""
 
-from quarry.plans import dimensions, identities, lineage, measures, readings, resolution  # noqa: F401
+from quarry.plans import archive, dimensions, identities, lineage, measures, readings, resolution  # noqa: F401
 from quarry.plans.catalog import QUERIES, SQL  # noqa: F401
