@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.runtime import shared_folder
 
 
-def dense_ids(df: DataFrame, order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
+def dense_ids(df: DataFrame, order: list[Column | str], name: str = "rank", parts: int | None = None) -> DataFrame:
     """1-based numbers in the given order: range partitions, counted, with the counts before each as its offset."""
     shared_folder(df.sparkSession)
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

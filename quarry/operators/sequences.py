@@ -39,3 +39,13 @@ def sections(df: DataFrame, key: str, lines: str, mark: str = "--------") -> Dat
     flat = df.select(key, F.posexplode(lines).alias("pos", "line"))
     w = Window.partitionBy(key).orderBy("pos")
     return flat.withColumn("section", F.sum((F.col("line") == mark).cast("int")).over(w)).where(F.col("line") != mark).select(key, "section", "pos", "line")
+
+
+def aligned(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """(key, pos, left, right, verdict): two arrays paired by position, null where one has ended. `missing`: the right one has
+    fewer, `surplus`: more, `nothing`: both are empty or null (one row). Positional nulls within an array are kept."""
+    a, b = (F.coalesce(F.col(c), F.array().cast("array<string>")) for c in (left, right))
+    n, m = F.size(a), F.size(b)
+    verdict = F.when((n == 0) & (m == 0), "nothing").when(n == m, "aligned").when(n > m, "missing").otherwise("surplus")
+    pairs = df.select(key, verdict.alias("verdict"), F.posexplode_outer(F.arrays_zip(a.alias("left"), b.alias("right"))).alias("pos", "_x"))
+    return pairs.select(key, F.col("pos").cast("long").alias("pos"), "_x.left", "_x.right", "verdict")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.lookup import cull, lookup, names_from_ids, with_fallback_key
+from quarry.operators.sequences import aligned
 from quarry.plans.catalog import query
 from quarry.sources.tables import read
 
@@ -163,26 +164,48 @@ def family_budget_violations(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT l_orderkey AS id, list(l_linenumber ORDER BY l_linenumber) AS pos, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
+WITH a AS (SELECT l_orderkey AS id, coalesce(list(l_linenumber ORDER BY l_linenumber) FILTER (WHERE l_quantity > 10), []) AS pos, count(*) FILTER (WHERE l_quantity > 10) AS n FROM lineitem GROUP BY 1)
 SELECT id, n, pos = range(1, n::BIGINT + 1) AS aligned FROM (SELECT id, n, list_transform(pos, lambda x: x::BIGINT) AS pos FROM a)""")
 def positional_pairing(spark, sf_dir):
-    a = read(spark, sf_dir, "lineitem").where("l_quantity > 10").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list("l_linenumber")).alias("pos"), F.count("*").alias("n"))
-    want = F.when(F.col("n") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.col("n").cast("int")))
+    """Whether the occupied columns of a record are the first ones; a record without any is aligned."""
+    used = F.when(F.col("l_quantity") > 10, F.col("l_linenumber"))
+    a = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(used)).alias("pos"), F.count(used).alias("n"))
+    want = F.when(F.col("n") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)).cast("int")))
     return a.select("id", "n", (F.col("pos") == want).alias("aligned"))
 
 
 @query("""
-WITH pool AS (SELECT p_brand AS b, p_type AS t, min(length(p_name)) AS least, count(*) FILTER (WHERE p_size <= 10) AS matched, any_value(length(p_type)) % 3 + 2 AS quota,
+WITH a AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, p_type) - 1 AS pos, p_type AS item FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 15),
+b AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag || l_linestatus) - 1 AS pos, l_returnflag || l_linestatus AS att FROM lineitem WHERE l_discount > 0.02),
+both_ AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.pos, b.pos) AS pos, item, att FROM a FULL JOIN b ON a.id = b.id AND a.pos = b.pos),
+per AS (SELECT id, count(item) AS items, count(att) AS atts FROM both_ GROUP BY 1)
+SELECT o_orderkey AS id, pos, item, att, CASE WHEN coalesce(items, 0) = 0 AND coalesce(atts, 0) = 0 THEN 'nothing' WHEN items = atts THEN 'aligned' WHEN items > atts THEN 'missing' ELSE 'surplus' END AS verdict
+FROM orders LEFT JOIN per ON per.id = o_orderkey LEFT JOIN both_ ON both_.id = o_orderkey""")
+def aligned_columns(spark, sf_dir):
+    """Two row-aligned arrays of every record paired by position: what one has beyond the other stays, with a null beside it, and
+    the record is told to have missing or surplus columns; records with nothing have one row."""
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    order = lambda x: F.struct("l_linenumber", "l_partkey", x.alias("v"))
+    items, atts = F.when(F.col("l_quantity") > 15, order(F.col("p_type"))), F.when(F.col("l_discount") > 0.02, order(F.concat("l_returnflag", "l_linestatus")))
+    plain = lambda x: F.transform(F.array_sort(F.collect_list(x)), lambda r: r["v"])
+    per = lines.groupBy(F.col("l_orderkey").alias("id")).agg(plain(items).alias("items"), plain(atts).alias("atts"))
+    every = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(per, "id", "left")
+    return aligned(every, "id", "items", "atts").select("id", "pos", F.col("left").alias("item"), F.col("right").alias("att"), "verdict")
+
+
+@query("""
+WITH pool AS (SELECT p_brand AS b, p_type AS t, min(length(p_name)) FILTER (WHERE p_size <= 10) AS least, count(*) FILTER (WHERE p_size <= 10) AS matched, any_value(length(p_type)) % 3 + 2 AS quota,
   list(DISTINCT lower(p_name)) FILTER (WHERE p_size <= 10) AS kept FROM part GROUP BY 1, 2),
-judged AS (SELECT p_partkey AS id, p_size <= 10 AS recognised, length(p_name) >= least AND regexp_full_match(p_name, '[A-Za-z'' :]+') AS plausible, matched >= quota AS quota_full,
+judged AS (SELECT p_partkey AS id, p_size <= 10 AS recognised, length(p_name) >= coalesce(least, 0) AND regexp_full_match(p_name, '[A-Za-z'' :]+') AS plausible, matched >= quota AS quota_full,
   p_size > 10 AND len(list_filter(coalesce(kept, []), lambda x: contains(x, lower(p_name)))) = 0 AS dropped FROM part JOIN pool ON b = p_brand AND t = p_type)
 SELECT id, recognised, plausible, quota_full, dropped, recognised OR (plausible AND NOT quota_full) AS kept FROM judged""")
 def quota_and_shape_filter(spark, sf_dir):
     """Every reading of a container: leftovers stay only if their shape allows a name and the container's quota is not
-    full; what is not recognised, nor part of a name that is, is told as dropped."""
+    full; what is not recognised, nor part of a name that is, is told as dropped. A leftover shorter than the shortest name
+    that the container's pool has cannot be one."""
     part = read(spark, sf_dir, "part").withColumn("recognised", F.col("p_size") <= 10)
     names = F.coalesce(F.collect_set(F.when(F.col("recognised"), F.lower("p_name"))), F.array().cast("array<string>"))
-    pool = part.groupBy("p_brand", "p_type").agg(F.min(F.length("p_name")).alias("least"), F.count_if("recognised").alias("matched"), names.alias("kept_names"))
+    pool = part.groupBy("p_brand", "p_type").agg(F.coalesce(F.min(F.when(F.col("recognised"), F.length("p_name"))), F.lit(0)).alias("least"), F.count_if("recognised").alias("matched"), names.alias("kept_names"))
     out = part.join(pool, ["p_brand", "p_type"])
     plausible = (F.length("p_name") >= F.col("least")) & F.col("p_name").rlike("^[A-Za-z' :]+$")
     full = F.col("matched") >= F.length("p_type") % 3 + 2

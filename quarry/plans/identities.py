@@ -132,15 +132,16 @@ def promotion_eligibility(spark, sf_dir):
 
 
 @query(f"""
-WITH {_CLU}, mine AS (SELECT hash, icons[1] AS name FROM clu WHERE id % 2 = 0), theirs AS (SELECT hash, icons[1] AS name FROM clu WHERE id % 3 = 0)
+WITH {_CLU}, mine AS (SELECT hash, icons[1] || '/' || id % 9 AS name FROM clu), theirs AS (SELECT hash, icons[1] || '/' || id % 9 AS name FROM clu WHERE id % 18 < 6)
 SELECT mine.hash, CASE WHEN theirs.hash IS NOT NULL THEN 'exact' WHEN EXISTS (SELECT 1 FROM theirs t WHERE t.name = mine.name) THEN 'same name' ELSE 'none' END AS strength FROM mine LEFT JOIN theirs USING (hash)""")
 def audit_strength(spark, sf_dir):
     """How strongly another source backs a label: by the same content, by the same name on other content, or not."""
-    clu = clusters(spark, sf_dir).select("hash", F.col("first_id").alias("id"), F.get("sources", F.lit(0)).alias("name"))
-    theirs = clu.where("id % 3 = 0")
+    name = F.concat_ws("/", F.get("sources", F.lit(0)), (F.col("first_id") % 9).cast("string"))
+    clu = clusters(spark, sf_dir).select("hash", F.col("first_id").alias("id"), name.alias("name"))
+    theirs = clu.where("id % 18 < 6")
     exact = theirs.select("hash", F.lit(True).alias("same"))
     named = theirs.select("name").distinct().withColumn("backed", F.lit(True))
-    out = clu.where("id % 2 = 0").join(exact, "hash", "left").join(named, "name", "left")
+    out = clu.join(exact, "hash", "left").join(named, "name", "left")
     return out.select("hash", F.when(F.col("same"), "exact").when(F.col("backed"), "same name").otherwise("none").alias("strength"))
 
 
@@ -177,12 +178,12 @@ def attachment_budget(spark, sf_dir):
 
 
 @query("""
-WITH miss AS (SELECT p_brand || '_' || p_size AS k FROM part GROUP BY 1), seen AS (SELECT DISTINCT p_brand || '_' || p_size AS k FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'N')
+WITH miss AS (SELECT p_brand || '_' || p_size AS k FROM part GROUP BY 1), seen AS (SELECT DISTINCT p_brand || '_' || p_size AS k FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_linenumber = 7)
 SELECT k FROM miss WHERE k NOT IN (SELECT k FROM seen)""")
 def unreached_keys(spark, sf_dir):
     """Keys of the dimension that no record of one kind reaches."""
     part = read(spark, sf_dir, "part").withColumn("k", T.observed_key(F.col("p_brand"), F.col("p_size").cast("string")))
-    seen = read(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").join(part, F.col("p_partkey") == F.col("l_partkey")).select("k")
+    seen = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_linenumber = 7").join(part, F.col("p_partkey") == F.col("l_partkey")).select("k")
     return part.select("k").distinct().join(seen, "k", "left_anti")
 
 

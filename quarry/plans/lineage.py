@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.ranking import dense_ids
 from quarry.plans.catalog import query
 from quarry.sources.tables import read
 
@@ -22,13 +23,24 @@ def labelled(spark, sf_dir):
     return both.groupBy(F.md5("text").alias("hash")).agg(F.array_sort(F.collect_set(F.concat_ws("/", "quality", "toxic"))).alias("names"))
 
 
+def merged(truth: DataFrame, promotions: DataFrame) -> DataFrame:
+    """(hash, truth_wins, promotion_wins, told_by) of two label tables (hash, name), either of which may lack a hash."""
+    both = truth.select("hash", F.col("name").alias("_t")).join(promotions.select("hash", F.col("name").alias("_p")), "hash", "full")
+    told = F.when(F.col("_p").isNull(), "truth").when(F.col("_t").isNull(), "promotion").when(F.col("_t") == F.col("_p"), "both").otherwise("conflict")
+    return both.select("hash", F.coalesce("_t", "_p").alias("truth_wins"), F.coalesce("_p", "_t").alias("promotion_wins"), told.alias("told_by"))
+
+
 _LABELLED = "lab AS (SELECT md5(text) AS hash, list_sort(list(DISTINCT quality || '/' || toxic)) AS names FROM documents JOIN labels USING (doc_id) GROUP BY 1)"
 
 
 @query(f"WITH {_CLUSTERS} SELECT hash, n, first_id, sources, row_number() OVER (PARTITION BY sources[1] ORDER BY n DESC, hash) AS place FROM clu")
 def hash_clusters(spark, sf_dir):
-    w = Window.partitionBy(F.get("sources", F.lit(0))).orderBy(F.desc("n"), "hash")
-    return clusters(spark, sf_dir).withColumn("place", F.row_number().over(w).cast("long"))
+    """Clusters with their place among those of their first source: ranked over range partitions, less what comes before the source."""
+    own = clusters(spark, sf_dir).withColumn("first", F.get("sources", F.lit(0)))
+    ranked = dense_ids(own, ["first", F.desc("n"), "hash"], "rank")
+    begins = ranked.groupBy("first").agg(F.min("rank").alias("begin"))
+    out = ranked.join(begins, "first")
+    return out.select("hash", "n", "first_id", "sources", (F.col("rank") - F.col("begin") + 1).cast("long").alias("place"))
 
 
 @query(f"WITH {_LABELLED} SELECT hash, names, CASE WHEN len(names) = 1 THEN names[1] END AS label, CASE WHEN len(names) > 1 THEN 'ambiguous' ELSE 'ground_truth' END AS source FROM lab")
@@ -51,6 +63,17 @@ def label_cascade(spark, sf_dir):
     return all_.select("hash", source.alias("source"), F.when(k == 1, F.get("names", F.lit(0))).when(k == 0, F.col("manual")).alias("label"))
 
 
+@query(f"""
+WITH {_CLUSTERS}, truth AS (SELECT hash, sources[1] || '/' || first_id % 4 AS name FROM clu WHERE first_id % 2 = 0), promo AS (SELECT hash, sources[1] || '/' || first_id % 3 AS name FROM clu WHERE first_id % 3 < 2)
+SELECT coalesce(truth.hash, promo.hash) AS hash, coalesce(truth.name, promo.name) AS truth_wins, coalesce(promo.name, truth.name) AS promotion_wins,
+  CASE WHEN promo.hash IS NULL THEN 'truth' WHEN truth.hash IS NULL THEN 'promotion' WHEN truth.name = promo.name THEN 'both' ELSE 'conflict' END AS told_by FROM truth FULL JOIN promo ON truth.hash = promo.hash""")
+def label_precedence(spark, sf_dir):
+    """Two maps of labels as one, by either precedence, and who told."""
+    clu = clusters(spark, sf_dir)
+    name = lambda k: F.concat_ws("/", F.get("sources", F.lit(0)), (F.col("first_id") % k).cast("string")).alias("name")
+    return merged(clu.where("first_id % 2 = 0").select("hash", name(4)), clu.where("first_id % 3 < 2").select("hash", name(3)))
+
+
 @query("""
 WITH per AS (SELECT l_orderkey AS id, p_brand AS icon, count(DISTINCT l_linenumber) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
 tot AS (SELECT l_orderkey AS id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1)

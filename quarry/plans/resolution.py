@@ -19,7 +19,7 @@ _RECORDS = """slot AS (
     row_number() OVER (PARTITION BY l_orderkey, p_type ORDER BY l_linenumber DESC, l_partkey DESC, l_returnflag DESC, l_linestatus DESC, l_discount DESC, l_tax DESC) AS rn
   FROM lineitem JOIN part ON p_partkey = l_partkey
 ), rec AS (
-  SELECT o_orderkey AS id, o_custkey AS c, o_orderpriority AS p, o_orderkey % 17 <> 0 AS named, nullif(o_orderstatus, 'P') AS level, list_sort(list(item) FILTER (WHERE rn = 1)) AS items,
+  SELECT o_orderkey AS id, o_custkey AS c, o_orderpriority AS p, o_orderkey % 17 <> 0 AS named, o_orderkey % 5 = 3 AS other, nullif(o_orderstatus, 'P') AS level, list_sort(list(item) FILTER (WHERE rn = 1)) AS items,
     list(struct_pack(i := item, a := att) ORDER BY item) FILTER (WHERE rn = 1) AS blocks, bool_or(att IS NOT NULL) AS has
   FROM orders JOIN slot ON slot.id = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderpriority, o_orderstatus
 )"""
@@ -27,7 +27,7 @@ _PAIRS = """pair AS (
   SELECT a.id AS a, b.id AS b, len(list_filter(a.items, lambda v: NOT list_contains(b.items, v))) AS x, len(list_filter(b.items, lambda v: NOT list_contains(a.items, v))) AS y,
     a.level IS NULL OR b.level IS NULL OR a.level = b.level AS level_fits, a.has AND b.has AS have_both,
     len(list_filter(a.blocks, lambda u: len(list_filter(b.blocks, lambda v: v.i = u.i AND CASE WHEN (u.a IS NULL) <> (v.a IS NULL) THEN true WHEN u.a IS NULL THEN false ELSE u.a <> 'Unknown' AND v.a <> 'Unknown' AND u.a <> v.a END)) > 0)) = 0 AS fits
-  FROM rec a JOIN rec b ON a.c = b.c AND a.p = b.p AND a.id < b.id WHERE a.named AND b.named
+  FROM rec a JOIN rec b ON a.c = b.c AND a.p = b.p AND a.id < b.id WHERE a.named AND b.named AND a.other = b.other
 )"""
 _EDGES = """edge AS (
   SELECT a, b, x + y > 0 OR NOT have_both AS low FROM pair WHERE level_fits AND ((x = 0 AND y <= 1) OR (y = 0 AND x <= 1)) AND (fits OR NOT have_both)
@@ -43,8 +43,11 @@ def records(spark, sf_dir: str) -> DataFrame:
     slot = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("id"), F.col("p_type").alias("i"))
     slot = slot.agg(F.max_by(att, last).alias("a"), F.bool_or(F.size(att) > 0).alias("has"))
     per = slot.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("blocks"), F.bool_or("has").alias("has"))
-    # names as they are read: of one customer alike up to case and marks, or not read at all
-    name = F.when(F.col("o_orderkey") % 17 == 0, "").when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("CUSTOMER, "), "o_custkey")).otherwise(F.concat(F.lit("customer "), "o_custkey", F.lit("!")))
+    # names as they are read of one customer: not at all, in other cases and marks, without a letter (a ratio of 0.95), or as
+    # another name altogether (a ratio of 0.5 at most)
+    said = F.concat(F.lit("customer "), "o_custkey")
+    k = F.col("o_orderkey") % 5
+    name = F.when(F.col("o_orderkey") % 17 == 0, "").when(k == 3, F.concat(F.lit("Qwxz Vwj "), "o_custkey")).when(k == 2, F.concat(F.lit("custmer "), "o_custkey")).when(k == 1, F.concat(F.upper(said), F.lit("!"))).otherwise(said)
     out = orders.join(per, F.col("o_orderkey") == F.col("id"))
     return out.select("id", F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"), name.alias("name"), F.nullif("o_orderstatus", F.lit("P")).alias("level"), F.transform("blocks", lambda x: x["i"]).alias("items"), "blocks", "has")
 
@@ -69,9 +72,10 @@ def judged_pairs(rec: DataFrame) -> DataFrame:
     both = F.col("has_a") & F.col("has_b")
     pairs = candidate_pairs(rec).withColumn("same", near & level & (~both | ~clash)).withColumn("low", (F.col("x") + F.col("y") > 0) | ~both)
     alike = (normalize_name(F.col("name_a")) == normalize_name(F.col("name_b"))) & (normalize_name(F.col("name_a")) != "")
-    named = pairs.withColumn("alike", alike)
-    rest = named.where("not alike").where(name_similarity(F.col("name_a"), F.col("name_b")) >= NAME_FLOOR)  # only these reach Python
-    return named.where("alike").union(rest).select("a", "b", "x", "y", "same", "low")
+    # one pass over the pairs: names that are alike go to Python as nulls
+    rest = [F.when(~alike, F.col(c)) for c in ("name_a", "name_b")]
+    ratio = F.when(alike, 1.0).otherwise(name_similarity(*rest))
+    return pairs.where(ratio >= NAME_FLOOR).select("a", "b", "x", "y", "same", "low")
 
 
 def duplicate_edges(rec: DataFrame) -> DataFrame:
