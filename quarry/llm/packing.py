@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,9 +60,10 @@ def crc_of_suffix(crc_prefix: int, crc_whole: int, n_bytes: int) -> int:
 
 
 def measure_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n tokens, crcs: CRC-32 of the ids before every STEP-th token and of all of them."""
+    """doc_id, n tokens, crcs: CRC-32 of the ids before every STEP-th token and of all of them; no: a number of the row, so that
+    equal rows can be dealt apart."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, step = piece_ids(tokenizer), 4 * STEP
+        held, step, first = piece_ids(tokenizer), 4 * STEP, TaskContext.get().partitionId() << 40
         for batch in it:
             for b in slices(batch):
                 ids, n = held.encode_ended(b.column("text"), end_id)
@@ -73,9 +75,11 @@ def measure_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame
                         crc = zlib.crc32(raw[i : min(i + step, end)], crc)
                         marks.append(crc)
                     crcs.append(np.array(marks, "<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(crcs, pa.binary())], names=["doc_id", "n", "crcs"])
+                no = np.arange(first, first + len(crcs))
+                first += len(crcs)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(crcs, pa.binary()), pa.array(no)], names=["doc_id", "n", "crcs", "no"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, crcs binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, crcs binary, no long")
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -137,7 +141,7 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, en
             rows.append((ids[d], start, n, crc_of_suffix(before, upto, 4 * n), int(lengths[d]), base + seq, offset, linear * n + quadratic * n * n))
         return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in PIECES.split(", ")])
 
-    shard = F.pmod(F.xxhash64("doc_id", "n", "crcs"), F.lit(shards)).alias("shard")
+    shard = F.pmod(F.xxhash64("doc_id", "n", "crcs", "no"), F.lit(shards)).alias("shard")
     dealt = sized.select(F.col("doc_id").cast("string").alias("id"), "n", "crcs", shard)  # pandas has no integer column with nulls
     pieces = dealt.groupBy("shard").applyInPandas(place, PIECES)
     return pieces.select(F.col("id").cast("long").alias("doc_id"), *pieces.columns[1:])

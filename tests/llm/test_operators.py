@@ -477,3 +477,37 @@ def test_html_threshold_beyond_the_parent():
     page = f"<html><body><div><p>{'opening words ' * 60}</p></div><div><div>{core}</div></div><div><a href=x>one</a> <a href=y>two</a> end</div></body></html>"
     got = html_text.extract(page)
     assert got.startswith("opening words") and got.count("long enough") == 24 and "one" not in got
+
+
+def test_packing_deals_equal_rows(spark):
+    """Equal rows without an id are no hot group: the shards' bound holds for them too."""
+    from quarry.llm.common import Stash
+
+    n = 3 * packing.SHARD
+    same = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a few words").alias("text"))
+    sized = Stash(spark)(packing.measure_documents(same, default_tokenizer(), 2), "sizes")
+    per = sized.groupBy(F.pmod(F.xxhash64("doc_id", "n", "crcs", "no"), F.lit(3)).alias("s")).count().collect()
+    assert len(per) == 3 and max(r["count"] for r in per) < 1.2 * packing.SHARD
+    out = packing.pack(same)
+    assert out.count() == n and out.select("sequence_id", "offset").distinct().count() == n
+
+
+def test_mixing_calibration():
+    """Odds that are too sure, and shifted, are set right on rows that they were not learned from."""
+    rng = np.random.default_rng(4)
+    d = rng.normal(0, 2, (3000, 2))
+    p = np.exp(np.column_stack([np.zeros(3000), d]))
+    p /= p.sum(1)[:, None]
+    y = (p.cumsum(1) < rng.random(3000)[:, None]).sum(1)
+    a, b1, b2 = mixing.calibration([(int(k), float(3 * u + 1), float(3 * v - 2)) for k, (u, v) in zip(y, d, strict=True)])
+    assert abs(a - 1 / 3) < 0.03 and abs(b1 + 1 / 3) < 0.15 and abs(b2 - 2 / 3) < 0.15
+    assert mixing.calibration([(0, 1.0, 1.0)] * 5) == (1.0, 0.0, 0.0)
+
+
+def test_mixing_targets_out_of_reach(spark):
+    """Where cutting cannot reach the shares, the totals come as near as they can and nothing collapses."""
+    rows = [(i, 10, 0.9, 0.05, 0.05) for i in range(50)] + [(i, 10, 0.5, 0.0, 0.5) for i in range(50, 60)]
+    soft = spark.createDataFrame(rows, "id int, tokens long, p0 double, p1 double, p2 double")
+    rate, _, left = mixing.fit(soft, {"clean": 0.98, "low": 0.01, "toxic": 0.01})
+    kept = soft.select(F.sum(rate * F.col("tokens"))).first()[0]
+    assert left["toxic"] > 0.03 and kept > 300
