@@ -15,7 +15,7 @@ from quarry.llm.common import Stash, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: The first stage has removed low quality: what it let through is neither cut nor repeated.
-MIX = {"clean": 0.99, "toxic": 0.01}
+MIX = {"clean": 0.95, "toxic": 0.05}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
