@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.runtime import shared_folder
+
 NONE = "array<string>"
 
 
@@ -86,7 +88,9 @@ def label(clusters: DataFrame, offers: DataFrame, dimension: DataFrame, promoted
     tier = F.when(F.col("tier_narrowed"), F.col("tier")).when(F.size("members") == 1, F.get("parts", F.lit(0))["tier"])
     out = out.withColumn("_tier", tier)
     out = out.withColumn("at", F.filter("parts", lambda p: (p["tier"] == F.col("_tier")) & F.array_contains("icons", p["icon"])))
-    out = out.withColumn("branch", F.coalesce("branch", F.when(F.size("at") == 1, "single"), F.lit("open")))
+    # read several times below: one written table, which also cuts the lineage
+    shared_folder(clusters.sparkSession)
+    out = out.withColumn("branch", F.coalesce("branch", F.when(F.size("at") == 1, "single"), F.lit("open"))).checkpoint()
     given = F.when(F.col("branch") == "promoted", F.col("promoted")).when(F.col("branch") == "truth", F.get("truth", F.lit(0))).when(F.col("branch") == "manual", F.col("manual")).when(F.col("branch") == "classifier", F.get("matches", F.lit(0)))
     out = out.withColumn("given_name", given).join(dimension.select(F.col("name").alias("given_name"), F.col("identity").alias("_identity"), F.col("key").alias("_key")), "given_name", "left")
     # a key of conflicting labels stands if all of them have it

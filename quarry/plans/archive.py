@@ -1,4 +1,4 @@
-"""An archive of record folders, made by Spark from the customers, and what discovery finds in it."""
+"""An archive of record folders, made by Spark from the suppliers, and what discovery finds in it."""
 
 from __future__ import annotations
 
@@ -17,25 +17,25 @@ ROOTS = ("endgame", "campaign", "legacy", "elsewhere")
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
-    """(root, record, file, text): the real document of two customers in three, without its title for one in seven, and the
+    """(root, record, file, text): the real document of two suppliers in three, without its title for one in seven, and the
     generated one of every second; the last root is none that discovery looks into."""
-    c = read(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    c = read(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey")).withColumn("kind", F.concat(F.lit("Kind "), (F.col("s_nationkey") % 5).cast("string")))
     att = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit("Part "), i.cast("string"), F.lit(" (Tier: 2)")))
     rows = lambda name, title: F.concat(
-        F.array(F.lit("Item Class: Sample"), F.lit("Rarity: Normal"), title, F.lit("--------"), name, F.lit("--------"), F.concat(F.lit("Build: "), "c_mktsegment")),
-        F.when(F.col("k") % 5 > 0, F.array(F.concat(F.lit("Mercenary Level: "), F.col("c_nationkey").cast("string")))).otherwise(F.array().cast("array<string>")),
-        F.array(F.lit("--------"), F.lit("First Item")), F.slice(att, F.lit(1), (F.col("k") % 4).cast("int")), F.array(F.lit("--------"), F.concat(F.lit("Item "), F.col("c_nationkey").cast("string")), F.lit("--------"), F.lit("Right click this item"))
+        F.array(F.lit("Item Class: Sample"), F.lit("Rarity: Normal"), title, F.lit("--------"), name, F.lit("--------"), F.concat(F.lit("Build: "), "kind")),
+        F.when(F.col("k") % 5 > 0, F.array(F.concat(F.lit("Mercenary Level: "), F.col("s_nationkey").cast("string")))).otherwise(F.array().cast("array<string>")),
+        F.array(F.lit("--------"), F.lit("First Item")), F.slice(att, F.lit(1), (F.col("k") % 4).cast("int")), F.array(F.lit("--------"), F.concat(F.lit("Item "), F.col("s_nationkey").cast("string")), F.lit("--------"), F.lit("Right click this item"))
     )
-    real = c.where("k % 3 <> 0").select("k", F.lit("record.txt").alias("file"), F.array_join(rows(F.col("c_name"), F.when(F.col("k") % 7 > 0, TITLE).otherwise("No Title")), "\n").alias("text"))
-    made = c.where("k % 2 = 0").select("k", F.lit("record_generated.txt").alias("file"), F.array_join(rows(F.upper("c_name"), F.lit(TITLE)), "\r\n").alias("text"))
+    real = c.where("k % 3 <> 0").select("k", F.lit("record.txt").alias("file"), F.array_join(rows(F.col("s_name"), F.when(F.col("k") % 7 > 0, TITLE).otherwise("No Title")), "\n").alias("text"))
+    made = c.where("k % 2 = 0").select("k", F.lit("record_generated.txt").alias("file"), F.array_join(rows(F.upper("s_name"), F.lit(TITLE)), "\r\n").alias("text"))
     root = F.element_at(F.array(*[F.lit(r) for r in ROOTS]), (F.col("k") % 4 + 1).cast("int"))
     return real.union(made).select(root.alias("root"), F.format_string("r%09d", "k").alias("record"), "file", "text")
 
 
 @query("""
-WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment, c_nationkey, c_custkey % 3 <> 0 AND c_custkey % 7 > 0 AS real_ok, c_custkey % 2 = 0 AS made FROM customer)
+WITH c AS (SELECT s_suppkey AS k, s_name, 'Kind ' || s_nationkey % 5 AS kind, s_nationkey, s_suppkey % 3 <> 0 AND s_suppkey % 7 > 0 AS real_ok, s_suppkey % 2 = 0 AS made FROM supplier)
 SELECT 'root=' || CASE k % 4 WHEN 0 THEN 'endgame' WHEN 1 THEN 'campaign' ELSE 'legacy' END || '/record=r' || lpad(k::VARCHAR, 9, '0') AS dir, CASE WHEN real_ok THEN 'real' ELSE 'generated' END AS source,
-  CASE WHEN real_ok THEN c_name ELSE upper(c_name) END AS name, c_mktsegment AS build, CASE WHEN k % 5 > 0 THEN c_nationkey::VARCHAR ELSE '' END AS level, 'First Item,Item ' || c_nationkey AS items, k % 4 AS n_attachments
+  CASE WHEN real_ok THEN s_name ELSE upper(s_name) END AS name, kind AS build, CASE WHEN k % 5 > 0 THEN s_nationkey::VARCHAR ELSE '' END AS level, 'First Item,Item ' || s_nationkey AS items, k % 4 AS n_attachments
 FROM c WHERE (real_ok OR made) AND k % 4 < 3""")
 def record_discovery(spark, sf_dir):
     """Records found in three roots of an archive that Spark has written: of each folder the document of the best source that parses."""

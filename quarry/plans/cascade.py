@@ -9,6 +9,7 @@ from quarry.functions import text as T
 from quarry.operators import cascade
 from quarry.plans.catalog import query
 from quarry.plans.identities import _DIM, _NAME, dimension, shown_name, with_identity
+from quarry.runtime import shared_folder
 from quarry.sources.tables import read
 
 _ROMAN = "CASE {} WHEN 1 THEN 'I' WHEN 2 THEN 'II' WHEN 3 THEN 'III' END"
@@ -35,22 +36,24 @@ def offers(spark, sf_dir: str) -> DataFrame:
 
 def witnesses(spark, sf_dir: str) -> dict[str, DataFrame]:
     """The tables of `cascade.label`, by its arguments."""
-    docs, dim = read(spark, sf_dir, "documents"), full_dimension(spark, sf_dir)
+    shared_folder(spark)
+    # closed lists that nearly every join below reads
+    docs, dim, off = read(spark, sf_dir, "documents"), full_dimension(spark, sf_dir).checkpoint(), offers(spark, sf_dir).checkpoint()
     names = dim.select("name", F.col("idx").alias("i"))
     total = F.broadcast(dim.select("total").limit(1))  # one row
     occ = docs.select(F.md5("text").alias("hash"), "doc_id", F.explode(F.array(F.col("doc_id") % 10 + 1, F.col("doc_id") % 7 + 1)).alias("item"))
-    clu = occ.groupBy("hash").agg(F.min("doc_id").alias("id"), F.array_sort(F.collect_set("item")).alias("items"))
+    clu = occ.groupBy("hash").agg(F.min("doc_id").alias("id"), F.array_sort(F.collect_set("item")).alias("items")).checkpoint()
     lab = docs.where("doc_id % 2 = 0").join(read(spark, sf_dir, "labels"), "doc_id").join(total).select(F.md5("text").alias("hash"), ((F.col("doc_id") % 3 + F.col("quality") * 5 + F.col("toxic") * 11) % F.col("total")).alias("i"))
     truth = lab.join(names, "i").groupBy("hash").agg(F.array_sort(F.collect_set("name")).alias("truth"))
     clusters = clu.join(truth, "hash", "left").withColumn("truth", F.coalesce("truth", F.array().cast("array<string>")))
     any_ = clu.join(total).withColumn("i", F.col("id") % F.col("total")).join(names, "i")
-    offered = offers(spark, sf_dir).join(dim.select("name", "key"), "name")
+    offered = off.join(dim.select("name", "key"), "name")
     first = clu.withColumn("item", F.get("items", F.lit(0))).join(offered.groupBy("item").agg(F.min("name").alias("low"), F.max_by("key", "name").alias("high")), "item")
     roman = lambda c: T.tier_roman(c)
     noted = clu.where("id % 4 = 1").select("hash", roman(F.col("id") % 3 + 1).alias("tier")).union(clu.where("id % 8 = 1").select("hash", roman(F.col("id") % 5 % 3 + 1)))
     return {
         "clusters": clusters.select("hash", "items", "truth"),
-        "offers": offers(spark, sf_dir),
+        "offers": off,
         "dimension": dim.drop("idx", "total"),
         "promoted": any_.where("id % 13 = 5").select("hash", F.col("name").alias("promoted")),
         "notes": cascade.agreed(noted, "tier"),

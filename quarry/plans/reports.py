@@ -84,7 +84,7 @@ def collision_prevalence(spark, sf_dir):
 
 @query("""
 WITH known AS (SELECT DISTINCT p_name AS name FROM part), notes AS (SELECT p_brand || '/' || p_size % 4 AS reason, CASE WHEN p_partkey % 3 = 0 OR p_size % 4 = 3 THEN p_name || '?' ELSE p_name END AS name FROM part WHERE p_size < 9)
-SELECT reason, list_sort(list(DISTINCT known.name)) AS names, coalesce(list_sort(list(DISTINCT notes.name) FILTER (WHERE known.name IS NULL)), []) AS dropped FROM notes LEFT JOIN known USING (name) GROUP BY 1 HAVING count(known.name) > 0""")
+SELECT reason, list_sort(list(DISTINCT known.name) FILTER (WHERE known.name IS NOT NULL)) AS names, coalesce(list_sort(list(DISTINCT notes.name) FILTER (WHERE known.name IS NULL)), []) AS dropped FROM notes LEFT JOIN known USING (name) GROUP BY 1 HAVING count(known.name) > 0""")
 def flag_notes(spark, sf_dir):
     """Hand-kept groups of names under a reason: names that the dimension lacks are told and dropped, groups without any left too."""
     part = read(spark, sf_dir, "part")
