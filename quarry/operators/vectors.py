@@ -1,21 +1,24 @@
-"""Nearest references with floors and margins. The reference side is small by contract and its size is checked."""
+"""Nearest references with floors and margins. References are compared in blocks of bounded size."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.similarity import cosine
 
-MOST_REFERENCES = 10_000
+BLOCK = 10_000
 
 
 def scores(vectors: DataFrame, refs: DataFrame) -> DataFrame:
-    """(vec_id, key, score): every vector against every reference; refs has key, ref."""
-    n = refs.limit(MOST_REFERENCES + 1).count()
-    if n > MOST_REFERENCES:
-        raise ValueError(f"more than {MOST_REFERENCES} references; use a near-neighbour index")
-    return vectors.join(F.broadcast(refs)).select("vec_id", "key", cosine("embedding", "ref").alias("score"))
+    """(vec_id, key, score): every vector against every reference; refs has key, ref. References go to the tasks in blocks of
+    about BLOCK, so what is held at once is bounded however many they are; the vectors are read once for each block."""
+    blocks = max(1, -(-refs.count() // BLOCK))
+    made = [refs] if blocks == 1 else [refs.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b) for b in range(blocks)]
+    parts = [vectors.join(F.broadcast(r)).select("vec_id", "key", cosine("embedding", "ref").alias("score")) for r in made]
+    return reduce(DataFrame.union, parts)
 
 
 def top_two(scored: DataFrame) -> DataFrame:

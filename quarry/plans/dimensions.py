@@ -262,10 +262,42 @@ def plausible_value(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.coalesce(F.when(v <= 100, v), w).alias("level"))
 
 
-@query("""SELECT x.region, x.x0 + 2 AS x0, x.y0 + 2 AS y0, x.x1 - 2 AS x1, x.y1 - 2 AS y1 FROM (VALUES ('name', 0, 0, 10, 20), ('level', 5, 5, 30, 40), ('quadrant.ne', 50, 0, 60, 10), ('quadrant.sw', 0, 50, 10, 60)) AS x(region, x0, y0, x1, y1)""")
+@query("""
+WITH b AS (SELECT p_partkey AS id, p_size AS s, p_partkey % 50 AS t FROM part), leaf AS (
+  SELECT id, 'name' AS region, s AS x0, t AS y0, s + 60 AS x1, t + 20 AS y1 FROM b UNION ALL SELECT id, 'level', s + 5, 5, s + 35, 25 FROM b UNION ALL
+  SELECT id, 'quadrant.ne', s + 50, 0, s + 60, 10 FROM b UNION ALL SELECT id, 'quadrant.sw', 0, s + 50, 10, s + 60 FROM b),
+cell AS (SELECT id, 'cell.' || r || '.' || c AS region, 14 * c AS x0, 10 * r AS y0, 14 * c + 12 AS x1, 10 * r + 8 AS y1 FROM b, range(3) AS rr(r), range(2) AS cc(c))
+SELECT id, region, (x0 + 2)::INTEGER AS x0, (y0 + 2)::INTEGER AS y0, (x1 - 2)::INTEGER AS x1, (y1 - 2)::INTEGER AS y1 FROM leaf UNION ALL SELECT id, region, x0::INTEGER, y0::INTEGER, x1::INTEGER, y1::INTEGER FROM cell""")
 def region_geometry(spark, sf_dir):
-    box = "struct<x0:int,y0:int,x1:int,y1:int>"
-    text = '{"plain": {"name": {"x0": 0, "y0": 0, "x1": 10, "y1": 20}, "level": {"x0": 5, "y0": 5, "x1": 30, "y1": 40}}, "quadrant": {"ne": {"x0": 50, "y0": 0, "x1": 60, "y1": 10}, "sw": {"x0": 0, "y0": 50, "x1": 10, "y1": 60}}}'
-    top = spark.range(1).select(F.from_json(F.lit(text), f"struct<plain:map<string,{box}>,quadrant:map<string,{box}>>").alias("r"))
-    leaf = top.select(F.explode("r.plain").alias("region", "b")).unionByName(top.select(F.explode("r.quadrant").alias("k", "b")).select(F.concat(F.lit("quadrant."), "k").alias("region"), "b"))
-    return leaf.select("region", *[(F.col(f"b.{c}") + d).alias(c) for c, d in (("x0", 2), ("y0", 2), ("x1", -2), ("y1", -2))])
+    """The crop plan of every configuration: named boxes and quadrants, inset, and the grid's cells from the grid's own corner."""
+    return crop_plan(region_configs(spark, sf_dir), "id", "config")
+
+
+_BOX = "struct<x0:int,y0:int,x1:int,y1:int>"
+_CONFIG = f"struct<regions:map<string,struct<absolute:{_BOX},note:string>>,quadrants:map<string,struct<absolute:{_BOX}>>,grid:struct<columns:array<struct<x0:int,x1:int>>,rows:array<struct<y0:int,y1:int>>>>"
+
+
+def region_configs(spark, sf_dir):
+    """(id, config): a JSON document of regions for each part."""
+    s, t = F.col("p_size"), (F.col("p_partkey") % 50).cast("int")
+    box = lambda *v: F.struct(*[(x if isinstance(x, type(s)) else F.lit(x)).alias(c) for x, c in zip(v, ("x0", "y0", "x1", "y1"), strict=True)])
+    named = lambda b: F.struct(b.alias("absolute"), F.lit("by hand").alias("note"))
+    regions = F.create_map(F.lit("name"), named(box(s, t, s + 60, t + 20)), F.lit("level"), named(box(s + 5, 5, s + 35, 25)))
+    quadrants = F.create_map(F.lit("ne"), F.struct(box(s + 50, 0, s + 60, 10).alias("absolute")), F.lit("sw"), F.struct(box(0, s + 50, 10, s + 60).alias("absolute")))
+    columns = F.array(*[F.struct((s + 14 * c).alias("x0"), (s + 14 * c + 12).alias("x1")) for c in range(2)])
+    rows = F.array(*[F.struct((t + 10 * r).alias("y0"), (t + 10 * r + 8).alias("y1")) for r in range(3)])
+    config = F.struct(regions.alias("regions"), quadrants.alias("quadrants"), F.struct(columns.alias("columns"), rows.alias("rows")).alias("grid"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.to_json(config).alias("config"))
+
+
+def crop_plan(configs, key: str, config: str, inset: int = 2):
+    """(key, region, x0, y0, x1, y1): the leaves of nested regions less an inset; grid cells, `cell.row.column`, by the offsets
+    from the grid's first column and row. A document that does not parse has no leaves."""
+    parsed = configs.select(key, F.from_json(config, _CONFIG).alias("c"))
+    leaves = lambda field, name: parsed.select(key, F.explode(field).alias("k", "v")).select(key, name.alias("region"), "v.absolute.*")
+    boxes = leaves("c.regions", F.col("k")).union(leaves("c.quadrants", F.concat(F.lit("quadrant."), "k")))
+    boxes = boxes.select(key, "region", *[(F.col(v) + d).alias(v) for v, d in (("x0", inset), ("y0", inset), ("x1", -inset), ("y1", -inset))])
+    rows = parsed.select(key, F.col("c.grid").alias("g"), F.posexplode("c.grid.rows").alias("r", "row"))
+    cells = rows.select(key, "r", "row", F.col("g.columns")[0]["x0"].alias("ox"), F.col("g.rows")[0]["y0"].alias("oy"), F.posexplode("g.columns").alias("c", "col"))
+    region = F.concat(F.lit("cell."), F.col("r").cast("string"), F.lit("."), F.col("c").cast("string"))
+    return boxes.union(cells.select(key, region.alias("region"), F.col("col.x0") - F.col("ox"), F.col("row.y0") - F.col("oy"), F.col("col.x1") - F.col("ox"), F.col("row.y1") - F.col("oy")))

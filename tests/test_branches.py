@@ -51,3 +51,13 @@ def test_name_ratio_decides(spark):
     assert edges and all(ratio[e] >= NAME_FLOOR for e in edges) and any(ratio[e] < 1 for e in edges)
     same = candidate_pairs(rec.withColumn("name", F.lit("one"))).count()
     assert same == len(pairs)
+
+
+def test_references_in_blocks(spark, monkeypatch):
+    from quarry.operators import vectors
+    from quarry.plans.measures import references
+
+    e, refs = spark.read.parquet(f"{DATA}/embeddings.parquet").limit(50), references(spark, DATA)
+    whole = sorted(map(tuple, vectors.scores(e, refs).collect()))
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    assert sorted(map(tuple, vectors.scores(e, refs).collect())) == whole and len(whole) == 50 * refs.count()
