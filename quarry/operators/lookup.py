@@ -59,6 +59,19 @@ def lookup(queries: DataFrame, pool: DataFrame, cutoff: float = 0.6, margin: flo
     return q.join(found, "query", "left").select("query", "value", F.coalesce("status", F.lit("none")).alias("status"), "score", "runner_up")
 
 
+def best_reading(rows: DataFrame, key: str, lines: str, pool: DataFrame) -> DataFrame:
+    """(key, value, score): the item of the pool that a row's lines spell.
+
+    Each line is looked up, and all of them joined where there are several; of the readings that name an item the one that
+    spells it best wins (the ratio of reading to item), the joined one of equals and then the first line. Null if none does."""
+    joined = F.when(F.size(lines) > 1, F.array(F.array_join(lines, " "))).otherwise(F.array().cast("array<string>"))
+    each = rows.select(key, F.posexplode(F.concat(joined, F.col(lines))).alias("_ord", "query"))
+    named = each.join(lookup(each.select("query"), pool).select("query", "value"), "query").where("value is not null")
+    scored = named.withColumn("score", ratio(F.lower("query"), F.lower("value")))
+    best = scored.groupBy(key).agg(F.max_by(F.struct("value", "score"), F.struct("score", -F.col("_ord"))).alias("x"))
+    return rows.select(key).join(best, key, "left").select(key, "x.value", "x.score")
+
+
 def cull(members: Column, allowed: Column) -> Column:
     """Members that are allowed, or all of them if that leaves none or nothing was ambiguous."""
     left = F.array_intersect(members, allowed)

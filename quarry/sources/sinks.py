@@ -103,3 +103,12 @@ def write_json_map(df: DataFrame, path: str, key: str, order: str, note: str | N
 def write_documents(df: DataFrame, path: str, key: str, lines: str) -> None:
     """A folder for each key, with its lines ended by CRLF."""
     df.select(key, F.array_join(lines, "\r\n").alias("value")).repartition(key).write.partitionBy(key).option("lineSep", "\r\n").text(path)
+
+
+def export_vectors(df: DataFrame, path: str, key: str, vector: str) -> None:
+    """(key, vector of length 1 in doubles) of every named reference, in order of the key; those nobody has named are left out,
+    and so are vectors without a length."""
+    x = F.transform(vector, lambda v: v.cast("double"))
+    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    named = df.where(~F.startswith(F.col(key).cast("string"), F.lit("unlabeled_"))).select(key, x.alias(vector), length.alias("_n")).where("_n > 0")
+    named.select(key, F.transform(vector, lambda v: v / F.col("_n")).alias(vector)).orderBy(key).write.mode("overwrite").parquet(path)

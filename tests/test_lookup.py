@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.similarity import multiset_compatible
 from quarry.functions.text import bare_name, is_placeholder, stem, stray_letter
-from quarry.operators.lookup import lookup
+from quarry.operators.lookup import best_reading, lookup
 
 POOL = ["Ember", "Ember Wave of Dusk", "Bolt", "Grand Bolt", "Fox", "Burning Arrow", "Vast Burning Arrow", "Tide", "Diet", "Storm Call", "Storm Calm", "xab", "aby", "abx", "Long Form Name", "A Long Form Name"]
 ASKED = ["ember", "EMBRE", "Ember W", "Gran", "Embr", "Fo", "zzz", "Grnd Bolt", "Burnin Arow", "vast Burnin Arow", "Vas Burnig Arrow", "tied", "Storm Cal", "storm ca", "ab", "abz", "", "Burning Arrow", "Bol", "x Long Form Nme", "a Lng Form Nme"]
@@ -41,6 +41,23 @@ def test_lookup_against_difflib(spark):
     assert [r.status for r in lookup(spark.createDataFrame([("a",)], "query string"), none).collect()] == ["none"]
 
 
+def test_best_reading_against_difflib(spark):
+    rows = [["Vast Burning", "Arrow"], ["a2 er", "Storm Call"], ["zzz"], [], ["Ember", "Wave of Dusk"], ["Embr Wave", "of Dsk", "Fox"], ["Bolt", "Bolt"], ["Grand", "Bolt x"], None, ["Tied", "Dite"]]
+
+    def spelled(lines):
+        best = (None, None)
+        for text in ([" ".join(lines)] if len(lines) > 1 else []) + lines:
+            name = plain(text, POOL)[0]
+            score = name and difflib.SequenceMatcher(None, text.lower(), name.lower()).ratio()
+            if name and (best[1] is None or score > best[1]):
+                best = (name, score)
+        return best
+
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, lines array<string>")
+    got = {r.id: (r.value, r.score) for r in best_reading(df, "id", "lines", spark.createDataFrame([(x,) for x in POOL], "item string")).collect()}
+    assert got == {i: spelled(x or []) for i, x in enumerate(rows)} and got[0][0] == "Vast Burning Arrow" and got[1][0] == "Storm Call"
+
+
 def test_unknown_options_fit_all(spark):
     rows = [(["Unknown", "b"], ["a", "b"], True), (["a or b", "a"], ["a", "b"], False), ([], [], True), (["a"], [], False), (None, ["a"], None), (["b", "b"], ["b", "a"], False), (["a", "b"], ["b or c", "a"], True)]
     df = spark.createDataFrame(rows, "x array<string>, y array<string>, want boolean").select("want", multiset_compatible("x", "y").alias("got"))

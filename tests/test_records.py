@@ -171,3 +171,9 @@ def test_json_map_and_documents(spark, tmp_path):
     docs = spark.createDataFrame([("r1", ["a", "b"]), ("r2", [])], "id string, lines array<string>")
     sinks.write_documents(docs, f"file://{tmp_path}/docs", "id", "lines")
     assert open(glob.glob(f"{tmp_path}/docs/id=r1/part-*")[0], "rb").read() == b"a\r\nb\r\n"
+
+
+def test_export_vectors(spark, tmp_path):
+    df = spark.createDataFrame([("b", [3.0, 4.0]), ("a", [0.0, 2.0]), ("unlabeled_x", [1.0, 1.0]), ("zero", [0.0, 0.0])], "key string, vec array<float>")
+    sinks.export_vectors(df, f"file://{tmp_path}/vec", "key", "vec")
+    assert [(r.key, r.vec) for r in spark.read.parquet(f"file://{tmp_path}/vec").orderBy("key").collect()] == [("a", [0.0, 1.0]), ("b", [0.6, 0.8])]
