@@ -103,3 +103,45 @@ def test_stages(spark, tmp_path):
         assert stage(spark, docs.limit(0), f"file://{tmp_path}").count() == 0, name
         assert out.count() > 0, name
         assert name == "pack_sequences" or out.columns == corpus_pipeline.COLUMNS, name
+
+
+def test_near_vector_recall_over_cells(spark):
+    """One label with enough vectors that cells are in use: 3,000 planted pairs at cosines of 0.98 to 0.985 among 8,000 vectors."""
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((8000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    a, other = v[:3000], rng.standard_normal((3000, 64))
+    other -= (other * a).sum(1)[:, None] * a
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    cos = rng.uniform(0.9801, 0.985, 3000)[:, None]
+    v[3000:6000] = cos * a + np.sqrt(1 - cos * cos) * other
+    assert len(v) > 4 * near_vectors.BLOCK  # so that at least two axes make cells
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    want = sum(int((v[i : i + 1000] @ v.T >= 0.98).sum()) for i in range(0, 8000, 1000)) - 8000
+    got = near_vectors.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    assert want >= 6000 and 0.99 * want <= got <= want
+
+
+def test_url_rules_on_odd_tables(spark):
+    from quarry.llm import url_rules
+
+    rows = [(1, "http://Example.com/en/" + "x" * 300_000, "r"), (1, "http://Example.com/en/", "r"), (None, "http://a.org/es/", "r"), (2, None, "r"), (3, "", "r"), (4, "no scheme", "r"), (5, "://HOST?q", "r")]
+    df = spark.createDataFrame(rows, "page_id long, url string, rule string").select("*", *[F.lit(i).alias(c) for i, c in enumerate(("host", "path", "verdict", "token", "_url", "tokens"))])
+    got = sorted(((r.page_id is None, r.page_id or 0, len(r.path)), r.host, r.rule, r.verdict) for r in url_rules.judge(df).collect())
+    assert [x[1:] for x in got] == [("example.com", "com/en/", "block"), ("example.com", "com/en/", "block"), ("", None, got[2][3]), ("", None, got[3][3]), ("", None, got[4][3]), ("host", None, got[5][3]), ("a.org", "org/es/", "block")]
+    assert url_rules.judge(df.limit(0)).count() == 0
+
+
+def test_labels_and_stages_with_clashing_columns(spark, labels, odd, tmp_path):
+    more = labels.select("*", *[F.lit(9).alias(c) for c in ("text", "_y", "n", "kept", "score", "p_clean", "tokens")])
+    for run in (quality.rate, toxicity.score, mixing.mix):
+        plain = sorted(map(str, run(odd.select("doc_id", "text"), labels).collect()))
+        assert sorted(map(str, run(odd.select("doc_id", "text"), more).collect())) == plain
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    wide = docs.select("*", *[F.lit(0).alias(c) for c in ("_row", "_id", "_own", "root", "x", "node", "copies", "rate", "kept", "kept_bytes", "n_bytes", "no", "shard")])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, wide, f"file://{tmp_path}")
+        assert out.columns == corpus_pipeline.COLUMNS, name
+        assert sorted(map(str, out.collect())) == sorted(map(str, stage(spark, docs, f"file://{tmp_path}").collect())), name
