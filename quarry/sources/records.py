@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from quarry.sources.tables import exists
 
 BLOCK = "struct<item:string,attachments:array<string>>"
+# The marks of a sectioned document.
 SEPARATOR = "--------"
+BUILD = "Build:"
+LEVEL = "Mercenary Level"
 #: Endings of image files.
 IMAGES = ("png", "jpg", "jpeg")
 
@@ -44,7 +47,7 @@ def files(spark: SparkSession, root: str, globs: Sequence[str], names: Sequence[
     return raw.where(path.rlike(form)).select(F.regexp_extract(path, form, 1).alias("dir"), F.regexp_extract(path, form, 2).alias("file"), F.make_valid_utf8("value").alias("text"))
 
 
-def parse_document(text: Column, title: str, build: str = "Build:", level: str = "Mercenary Level") -> Column:
+def parse_document(text: Column, title: str, build: str = BUILD, level: str = LEVEL) -> Column:
     """struct(name, build, level, blocks) of a sectioned document; null unless it has nine lines and the title's line.
 
     The name is two lines below the title. Blocks are the sections between the third separator and the last one: an item and
