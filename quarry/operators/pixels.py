@@ -19,6 +19,18 @@ INK = 0.45
 LEAST_HEIGHT = 4
 WIDEST = 1.3
 PAD = 3
+# Fixed values of a badge: its corner of an image, the least height of a bar by that of the corner, the rows trimmed from
+# each end of a bar, the greatest spread of what is left, summed over colours, and the tier that so many bars say.
+BADGE_ROWS = (0.55, 1.0)
+BADGE_COLUMNS = (0.35, 1.0)
+BAR_HEIGHT = 0.35
+TRIM = 2
+SPREAD = 20.0
+TIERS = {1: "i", 2: "ii", 3: "iii"}
+# The side of a model's input, and mean and deviation of its colours.
+SIDE = 224
+MEAN = np.array([0.485, 0.456, 0.406], np.float32)
+DEVIATION = np.array([0.229, 0.224, 0.225], np.float32)
 
 
 def row_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,6 +120,71 @@ def text_bands(images: DataFrame, ink: float = INK) -> DataFrame:
     return out.select("id", F.coalesce("parts", zero).alias("parts"), F.coalesce("letters", zero).alias("letters"), F.greatest(F.col("t") - PAD, F.when(F.col("t").isNotNull(), 0)).alias("top"), F.when(F.col("b").isNotNull(), F.least(F.col("b") + PAD, F.col("height"))).alias("bottom"))
 
 
+def bars(x: np.ndarray) -> int:
+    """Bars of a badge in the corner of a colour image (height, width, 3): groups of adjacent columns whose longest run of gold
+    (the earliest of equals) is high enough and, but for its trimmed ends, of about one colour."""
+    (top, bottom), (left, right) = ([int(n * f) for f in part] for n, part in zip(x.shape, (BADGE_ROWS, BADGE_COLUMNS), strict=False))
+    part = x[top:bottom, left:right].astype(np.int64)
+    if not part.size:
+        return 0
+    r, g, b = np.moveaxis(part, 2, 0)
+    gold = (r > 170) & (r > b + 40) & (g > b + 15)
+    run = np.cumsum(gold, 0)
+    run = run - np.maximum.accumulate(np.where(gold, 0, run), 0)  # gold pixels up to here without a gap
+    n, end = run.max(0), run.argmax(0) + 1
+    # sums of what lies between the trimmed ends, from sums of all rows above
+    above = lambda v: np.concatenate([np.zeros((1, *v.shape[1:]), np.int64), np.cumsum(v, 0)])
+    column, core = np.arange(len(n)), np.maximum(n - 2 * TRIM, 0)
+    low, high = end - n + TRIM, end - TRIM
+    low, high = np.where(core > 0, low, 0), np.where(core > 0, high, 0)
+    total, square = (t[high, column] - t[low, column] for t in (above(part), above(part * part)))
+    spread = (np.sqrt(core[:, None] * square - total * total) / np.maximum(core, 1)[:, None]).sum(1)
+    good = (n >= (bottom - top) * BAR_HEIGHT) & (n > 0) & ((core == 0) | (spread <= SPREAD))
+    return int((good & ~np.concatenate([[False], good[:-1]])).sum())
+
+
+def badge_tiers(images: DataFrame) -> DataFrame:
+    """(id, bars, tier) of colour images (three bytes a pixel); no tier unless there are one, two or three bars, nulls for a row
+    that is no image."""
+    schema = pa.schema([("id", pa.int64()), ("bars", pa.int64()), ("tier", pa.string())])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            read = (image(d, h, w, 3) for d, h, w in zip(*(b.column(c).to_pylist() for c in ("pixels", "height", "width")), strict=True))
+            n = [None if x is None else bars(x) for x in read]
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array([TIERS.get(k) for k in n], pa.string())], schema=schema)
+
+    return images.select("id", "height", "width", "pixels").mapInArrow(run, "id long, bars long, tier string")
+
+
+def weights(n: int, size: int) -> np.ndarray:
+    """(size, n): how much of each of n pixels goes into each of `size`; a triangle as wide as a pixel of the coarser grid."""
+    scale = n / size
+    at = (np.arange(size)[:, None] + 0.5) * scale - (np.arange(n)[None, :] + 0.5)
+    w = np.maximum(0.0, 1.0 - np.abs(at) / max(scale, 1.0))
+    return w / w.sum(1, keepdims=True)
+
+
+def prepared(x: np.ndarray) -> np.ndarray:
+    """A colour image as a model takes it: (3, SIDE, SIDE), whole levels after each pass of the resize, then by mean and deviation."""
+    level = lambda v: np.clip(np.floor(v + 0.5 + 1e-9), 0, 255)  # noqa: E731; halves go up, whatever the order of the sum
+    wide = level(weights(x.shape[1], SIDE) @ x.astype(np.float64))
+    full = level(np.tensordot(weights(x.shape[0], SIDE), wide, 1)).astype(np.float32)
+    return np.ascontiguousarray(((full / np.float32(255)) - MEAN).transpose(2, 0, 1) / DEVIATION[:, None, None], np.float32)
+
+
+def prepared_means(images: DataFrame) -> DataFrame:
+    """(id, means): each colour's mean over an image as a model takes it; null for a row that is no image."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            read = (image(d, h, w, 3) for d, h, w in zip(*(b.column(c).to_pylist() for c in ("pixels", "height", "width")), strict=True))
+            means = [None if x is None else prepared(x).mean((1, 2), dtype=np.float64).tolist() for x in read]
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.int64()), pa.array(means, pa.list_(pa.float64()))], names=["id", "means"])
+
+    return images.select("id", "height", "width", "pixels").mapInArrow(run, "id long, means array<double>")
+
+
 def resampled(x: np.ndarray, size: int) -> np.ndarray:
     """A square of this side, bilinear between pixel centres; (height, width, depth) in, floats out."""
     out = x.astype(np.float64)

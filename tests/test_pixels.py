@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import pixels
 
@@ -103,3 +104,121 @@ def test_all_images(spark):
     for r in plan.grey(spark, DATA, 3).collect():
         want = loops(np.frombuffer(r.pixels, np.uint8).reshape(8, 8, 3), ref, (0.75, 1.0, 1.25), 4, 3)
         assert abs(found[r.id][0] - want[0]) < 2e-6 and found[r.id][1:] == want[1:]
+
+
+def bars_by_loops(x):
+    h, w = x.shape[:2]
+    part = x[int(h * 0.55) : h, int(w * 0.35) : w].astype(int)
+    good = []
+    for column in part.transpose(1, 0, 2):
+        best, at, run = 0, 0, 0
+        for i, (r, g, b) in enumerate(column.tolist()):
+            run = run + 1 if r > 170 and r > b + 40 and g > b + 15 else 0
+            if run > best:
+                best, at = run, i + 1 - run
+        core = column[at + 2 : at + best - 2]
+        good.append(best > 0 and best >= len(column) * 0.35 and (best <= 4 or core.std(0).sum() <= 20 + 1e-9))
+    return sum(a and not b for a, b in zip(good, [False] + good, strict=False))
+
+
+def test_bars_equal_loops():
+    rng = np.random.default_rng(5)
+    seen = set()
+    for h, w in ((48, 48), (10, 7), (1, 1), (30, 4)):
+        for _ in range(60):
+            x = rng.integers(0, 256, (h, w, 3)).astype(np.uint8)
+            for _ in range(rng.integers(0, 5)):
+                left, top = rng.integers(0, w), rng.integers(0, h)
+                shade = rng.integers(0, 25, (h - top, 1, 3)) if rng.random() < 0.5 else 0
+                x[top:, left : left + rng.integers(1, 4)] = np.array([200, 160, 60]) + shade
+            assert pixels.bars(x) == bars_by_loops(x)
+            seen.add(pixels.bars(x))
+    assert {0, 1, 2, 3} <= seen
+    assert pixels.bars(np.zeros((0, 0, 3), np.uint8)) == 0
+
+
+def resized(line, size):
+    """One row or column of levels by a triangle as wide as the coarser grid's pixel."""
+    n, out = len(line), []
+    wide = max(n / size, 1.0)
+    for i in range(size):
+        w = [max(0.0, 1 - abs((j + 0.5) - (i + 0.5) * n / size) / wide) for j in range(n)]
+        out.append(min(255, max(0, int(np.floor(sum(a * float(b) for a, b in zip(w, line, strict=True)) / sum(w) + 0.5 + 1e-9)))))
+    return out
+
+
+@pytest.mark.parametrize("shape", [(6, 9), (300, 5), (224, 224)])
+def test_prepared_equals_plain_resize(shape):
+    x = np.random.default_rng(7).integers(0, 256, (*shape, 3)).astype(np.uint8)
+    got = pixels.prepared(x)
+    assert got.shape == (3, 224, 224) and got.dtype == np.float32
+    mean, deviation = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+    columns = (0, 1, 100, 223)
+    for c in range(3):
+        lines = [resized(row, 224) for row in x[:, :, c].tolist()] if x.shape[1] != 224 else x[:, :, c].tolist()
+        for at in columns:
+            want = (np.array(resized([row[at] for row in lines], 224)) / 255 - mean[c]) / deviation[c]
+            assert np.abs(got[c, :, at] - want).max() < 1e-5
+
+
+def varint(n):
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+
+def part(no, value):
+    """A field of a protocol buffer: a number, or bytes with their length."""
+    return varint(no << 3) + varint(value) if isinstance(value, int) else varint(no << 3 | 2) + varint(len(value)) + value
+
+
+def pooling_model():
+    """A model file: means over quarters of the image, 12 numbers."""
+    ints = lambda name: part(5, part(1, name) + part(8, 112) + part(8, 112) + part(20, 7))
+    pool = part(1, b"input") + part(2, b"p") + part(4, b"AveragePool") + ints(b"kernel_shape") + ints(b"strides")
+    flat = part(1, b"p") + part(2, b"embedding") + part(4, b"Flatten")
+    shape = lambda *dims: part(2, b"".join(part(1, part(2, d) if isinstance(d, bytes) else part(1, d)) for d in dims))
+    value = lambda name, *dims: part(1, name) + part(2, part(1, part(1, 1) + shape(*dims)))
+    graph = part(1, pool) + part(1, flat) + part(2, b"g") + part(11, value(b"input", b"n", 3, 224, 224)) + part(12, value(b"embedding", b"n", 12))
+    return part(1, 7) + part(7, graph) + part(8, part(2, 13))
+
+
+def test_vectors_by_a_model(spark, tmp_path):
+    from quarry.operators.image_vectors import embed
+
+    path = tmp_path / "model.onnx"
+    path.write_bytes(pooling_model())
+    rng = np.random.default_rng(9)
+    made = {i: rng.integers(0, 256, (8 + i, 11, 3)).astype(np.uint8) for i in range(40)}
+    rows = [(i, *x.shape[:2], x.tobytes()) for i, x in made.items()] + [(90, 2, 2, None), (91, 3, 3, b"x")]
+    df = spark.createDataFrame(rows, "id long, height int, width int, pixels binary").withColumn("extra", F.lit(1))
+    got = {r.id: r.vector for r in embed(df, str(path)).collect()}
+    assert got.pop(90) is None and got.pop(91) is None and got.keys() == made.keys()
+    for i, x in made.items():
+        quarters = pixels.prepared(x).reshape(3, 2, 112, 2, 112).mean((2, 4)).ravel()
+        assert np.allclose(got[i], quarters / np.linalg.norm(quarters), atol=1e-4)
+    assert embed(df.limit(0), str(path)).count() == 0
+    none = embed(df, str(tmp_path / "absent.onnx")).collect()
+    assert len(none) == 42 and all(r.vector is None for r in none)
+
+
+def test_badges_that_are_none(spark):
+    rows = [(1, 2, 2, None), (2, 2, 2, bytes(11)), (3, 2, 2, bytes(12)), (4, 20, 1, bytes([200, 160, 60] * 20))]
+    df = spark.createDataFrame(rows, "id long, height int, width int, pixels binary")
+    assert {r.id: (r.bars, r.tier) for r in pixels.badge_tiers(df).collect()} == {1: (None, None), 2: (None, None), 3: (0, None), 4: (1, "i")}
+    assert {r.id for r in pixels.prepared_means(df).where("means is null").collect()} == {1, 2}
+
+
+@HAVE
+def test_all_prepared(spark):
+    from quarry.plans import QUERIES
+    from quarry.plans import pixels as plan
+
+    got = {r.vec_id: (r.red, r.green, r.blue) for r in QUERIES["prepared_images"](spark, DATA).collect()}
+    rows = plan.gold(spark, DATA).collect()
+    assert len(got) == len(rows) > 0
+    mean, deviation = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+    for r in rows[::200]:
+        x = np.frombuffer(r.pixels, np.uint8).reshape(32, 8, 3)
+        for c in range(3):
+            wide = [resized(row, 224) for row in x[:, :, c].tolist()]
+            full = np.array([resized(list(column), 224) for column in zip(*wide, strict=True)])
+            assert abs(got[r.id][c] - (full.mean() / 255 - mean[c]) / deviation[c]) < 2e-4
