@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quarry.functions.similarity import ratio
 
 
+#: Parts of the queries of one length.
+SALTS = 16
+
+
 def names_from_ids(df: DataFrame, key: str, ids: str, dim: DataFrame, dim_id: str, name: str) -> DataFrame:
     """(key, names): array foreign keys to names in their order; misses are dropped."""
     flat = df.select(key, F.posexplode(ids).alias("pos", "_id")).join(dim.select(F.col(dim_id).alias("_id"), F.col(name).alias("_name")), "_id")
@@ -22,13 +26,22 @@ def with_fallback_key(df: DataFrame, dim: DataFrame, exact: Column, base: Column
     return out.withColumn(value, F.coalesce("_v1", "_v2")).drop("_k1", "_k2", "_v1", "_v2")
 
 
+def letters(text: Column | str) -> Column:
+    """The letters of a text, each with its number among its equals, so that two texts share as many entries as a matching of
+    their letters can have."""
+    each = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    at = F.transform(each, lambda c, i: F.concat(c, (i - F.array_position(each, c).cast("int")).cast("string")))
+    return at
+
+
 def lookup(queries: DataFrame, pool: DataFrame, cutoff: float = 0.6, margin: float = 0.05) -> DataFrame:
     """queries(query) in pool(item), whatever the case: exact, the only item that the query begins, the closest by ratio.
 
     The two closest items (ties to the larger string) are ranked by the ratio of item to query and told apart by that of
     query to item, which is another number. If they are closer than the margin, and one is the other with words before it,
     the longer one is taken if the query has those words and the shorter if not; else the answer is refused. A query is
-    compared only with items of a length that can reach the cutoff, by an equi-join on the length.
+    compared only with items of a length that can reach the cutoff, by an equi-join on the length (of SALTS parts each, since
+    lengths are few: the pool, which is a list of names, is written to all of them), and which share letters enough for it.
     """
     q = queries.where("query is not null").select("query", F.lower("query").alias("q")).distinct()
     p = pool.where("item is not null").groupBy(F.lower("item").alias("i")).agg(F.max("item").alias("item"))
@@ -43,7 +56,11 @@ def lookup(queries: DataFrame, pool: DataFrame, cutoff: float = 0.6, margin: flo
         rest = rest.join(prefix.select("query"), "query", "left_anti").where("q <> ''")
         reach = (2 - cutoff) / cutoff  # a ratio is at most twice the shorter length over the sum
         lengths = F.sequence(F.floor(F.length("q") / reach).cast("int"), F.ceil(F.length("q") * reach).cast("int"))
-        near = rest.withColumn("n", F.explode(lengths)).join(p.withColumn("n", F.length("i")), "n")
+        asked = rest.withColumn("has", letters("q")).withColumn("salt", F.pmod(F.xxhash64("q"), F.lit(SALTS)).cast("int")).withColumn("n", F.explode(lengths))
+        listed = p.withColumn("n", F.length("i")).withColumn("letters", letters("i")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # matching blocks are made of letters that both have
+        shared = 2 * F.size(F.array_intersect("has", "letters")) / (F.length("q") + F.length("i"))
+        near = asked.join(listed, ["n", "salt"]).where(shared >= cutoff).drop("has", "letters")
         scored = near.withColumn("score", ratio("i", "q")).where(F.col("score") >= cutoff)
         w = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("i"))
         two = scored.withColumn("rn", F.row_number().over(w)).where("rn <= 2").groupBy("query", "q").agg(F.min(F.struct("rn", "i", "item", "score")).alias("a"), F.max(F.struct("rn", "i", "item", "score")).alias("b"))
