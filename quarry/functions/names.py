@@ -6,6 +6,8 @@ begins one at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from quarry.functions import text as T
 CONNECTORS = ("the", "of")
 LEAST_TITLE_WORD = 3
 
-_STATE = "struct<i:int,before:string,last:string,last_ok:boolean,open:int,title:string,n:int,at:int,out:array<struct<at:int,span:string>>>"
+_STATE = "struct<i:int,after:boolean,last:struct<w:string,comma:boolean,core:string,ok:boolean,joins:boolean>,open:int,title:string,n:int,at:int,out:array<struct<at:int,span:string>>>"
 _NO_SPANS = "array<struct<at:int,span:string>>"
 
 
@@ -24,36 +26,45 @@ def clean_reading(raw: Column) -> Column:
     return F.regexp_replace(T.straight_quotes(raw), r"(?iU)([A-Za-z])[.,]\s*(the|of)\b", "$1, $2")
 
 
-def _read_word(s: Column, w: Column) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _facts(run: Column) -> Column:
+    """The words of a run with all that is asked of one: a comma at its end, what is before it, a name's look, a connector."""
+    words = F.concat(F.filter(F.split(run, " +"), lambda w: w != ""), F.array(F.lit(",")))
+    cut = F.transform(words, lambda w: F.struct(w.alias("w"), F.endswith(w, F.lit(",")).alias("comma"), F.regexp_replace(w, ",$", "").alias("core")))
+    return F.transform(cut, lambda x: F.struct(x["w"].alias("w"), x["comma"].alias("comma"), x["core"].alias("core"), T.looks_like_name(x["core"]).alias("ok"), F.lower(x["w"]).isin(*CONNECTORS).alias("joins")))
+
+
+def _read_word(s: Column, x: Column) -> Column:
     """The state after a word: a title may be open (1: its first word was read, 2: its connector too), and one span may end."""
-    comma = F.endswith(w, F.lit(","))
-    core = F.when(comma, F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w)
-    ok = T.looks_like_name(core)
-    grows = (s["open"] == 2) & ok & ~comma & (F.length(w) >= LEAST_TITLE_WORD)
+    w, plain = x["w"], x["ok"] & ~x["comma"]
+    grows = (s["open"] == 2) & plain & (F.length(w) >= LEAST_TITLE_WORD)
     ends = (s["open"] == 2) & ~grows & (s["n"] > 0)
-    begins = comma & ok
-    joins = (s["open"] == 1) & F.lower(w).isin(*CONNECTORS)
-    pair = s["last_ok"] & ok & ~comma & ~F.lower(s["before"]).isin(*CONNECTORS)
+    begins = x["comma"] & x["ok"]
+    joins = (s["open"] == 1) & x["joins"]
+    pair = s["last"]["ok"] & ~s["last"]["comma"] & plain & ~s["after"]
     none = F.array().cast(_NO_SPANS)
     one = lambda at, span: F.array(F.struct(at.alias("at"), span.alias("span")))
     return F.struct(
         (s["i"] + 1).alias("i"),
-        s["last"].alias("before"),
-        w.alias("last"),
-        (ok & ~comma).alias("last_ok"),
+        s["last"]["joins"].alias("after"),
+        x.alias("last"),
         F.when(grows | joins, 2).when(begins, 1).otherwise(0).alias("open"),
-        F.when(grows, F.concat(s["title"], F.lit(" "), w)).when(joins, F.concat(s["title"], F.lit(", "), w)).when(begins, core).otherwise("").alias("title"),
+        F.when(grows, F.concat(s["title"], F.lit(" "), w)).when(joins, F.concat(s["title"], F.lit(", "), w)).when(begins, x["core"]).otherwise("").alias("title"),
         F.when(grows, s["n"] + 1).otherwise(0).alias("n"),
         F.when(begins, s["i"]).otherwise(s["at"]).alias("at"),
-        F.concat(s["out"], F.when(ends, one(s["at"], s["title"])).otherwise(none), F.when(pair, one(s["i"] - 1, F.concat(s["last"], F.lit(" "), w))).otherwise(none)).alias("out"),
+        F.when(ends | pair, F.concat(s["out"], F.when(ends, one(s["at"], s["title"])).otherwise(none), F.when(pair, one(s["i"] - 1, F.concat(s["last"]["w"], F.lit(" "), w))).otherwise(none))).otherwise(s["out"]).alias("out"),
     ).cast(_STATE)
 
 
 def _run_spans(run: Column) -> Column:
-    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("before"), F.lit("").alias("last"), F.lit(False).alias("last_ok"), F.lit(0).alias("open"), F.lit("").alias("title"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.array().cast(_NO_SPANS).alias("out")).cast(_STATE)
+    nothing = F.struct(F.lit("").alias("w"), F.lit(False).alias("comma"), F.lit("").alias("core"), F.lit(False).alias("ok"), F.lit(False).alias("joins"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(False).alias("after"), nothing.alias("last"), F.lit(0).alias("open"), F.lit("").alias("title"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.array().cast(_NO_SPANS).alias("out")).cast(_STATE)
     # a comma at the end closes what is open: no title word ends with one
-    words = F.concat(F.filter(F.split(run, " +"), lambda w: w != ""), F.array(F.lit(",")))
-    return F.aggregate(words, start, _read_word, lambda s: s["out"])
+    return F.aggregate(_facts(run), start, _read_word, lambda s: s["out"])
 
 
 def by_length(spans: Column) -> Column:
@@ -89,9 +100,8 @@ def words(c: Column) -> Column:
 
 def repair_split_words(raw: Column, other: Column) -> Column:
     """Words that this reading has split and the other has whole, joined line by line."""
-    known = words(other)
-    lines = F.split(raw, "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")
-    return F.array_join(F.transform(lines, lambda x: rejoin(x, known)), "\n")
+    lines = F.split(raw, "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]")
+    return let(F.array_distinct(words(other)), lambda known: F.array_join(F.transform(lines, lambda x: rejoin(x, known)), "\n"))
 
 
 def with_name_answer(df: DataFrame, first: str, second: str, stray: str) -> DataFrame:
