@@ -177,7 +177,7 @@ def fit(soft: DataFrame, targets: dict[str, float], most: float | None = None, s
     spare = most is None and all(mass[k] >= whole[k] for k in steered)
     found = descend(bins, steered, lead, mass, whole, 1.0 if spare else MOST if most is None else most, spare, steps, close)
     kept = sum(found[3])
-    if spare and (kept < 1e-3 * sum(mass.values()) or max(abs(x / kept - w[k] / sum(w.values())) for k, x in zip(steered, found[3], strict=True)) > MISSED) and kept < sum(mass.values()):
+    if spare and kept < sum(mass.values()) and (kept < 1e-3 * sum(mass.values()) or max(abs(x / kept - w[k] / sum(w.values())) for k, x in zip(steered, found[3], strict=True)) > MISSED):
         # cutting alone cannot reach the shares, or only by keeping nothing: come as near as totals allow
         found = descend(bins, steered, lead, mass, whole, 1.0, False, steps, close)
     rates, y, history, now = found
