@@ -18,6 +18,7 @@ from quarry.runtime import shared_folder, ship
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 2 << 20
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,7 +41,12 @@ class Stash:
 
     def __call__(self, df: DataFrame, tag: str, codec: str = "zstd", **options: object) -> DataFrame:
         path = self.path(tag)
-        df.write.option("compression", codec).options(**options).parquet(path)
+        was = self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")  # what was shuffled for a table that is written is not read again
+        try:
+            df.write.option("compression", codec).options(**options).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, was) if was is not None else self.spark.conf.unset(_CLEAN)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stash_path = path
         return out

@@ -2,7 +2,7 @@
 
 A document's set holds its distinct shingles of `n` words as 64-bit hashes. Equal sets are collapsed first, by an
 aggregate over (size, 128-bit digest). All shingles have one global order: those that are not frequent by hash, then the
-frequent ones by count; a pair at the threshold must share one of the first shingles of both (prefix filter) and have
+frequent ones by count, which is exact for the low hashes that prefixes come from; a pair at the threshold must share one of the first shingles of both (prefix filter) and have
 like sizes. That order is cut into FRAGMENTS vertical fragments. Two sets differ in a fragment by what its sizes differ by
 at least, and the sum of that over the fragments may not exceed what the threshold lets them differ by in all: pairs that
 fail are not made. Then the first fragment's shingles screen candidates in the same way. For those left, every fragment's
@@ -37,7 +37,9 @@ from quarry.llm.common import GOLD, U64, Bits, Forest, Stash, components, hash_w
 
 FREQUENT = 400_000
 FRAGMENTS = 8
-LOCAL = 4  # a shingle is looked at as frequent if some part of the input has it so often
+ROUND = 2  # fragments that are compared at a time
+LOCAL = 4  # a shingle is looked at as frequent if some part of the input has it so often,
+REACH = 1.5  # or if its hash is below so many times the share of a set that is its prefix
 NARROW = 8
 WIDE = 128
 LISTED = 16  # tokens of a set that tell where a pair is made
@@ -76,15 +78,17 @@ def digests(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-def frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Hashes of frequent shingles, ascending by count."""
+def frequent(docs: DataFrame, n: int, num: int, den: int, stash: Stash) -> np.ndarray:
+    """Hashes of frequent shingles, ascending by count. The range of low hashes that most prefixes come from is counted in full,
+    so that what is frequent there is known however thinly it is spread; the rest where a part of the input has it LOCAL times."""
+    low = U64(min(int(REACH * (den - num) / den * 2**64), 2**64 - 1))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             u, c = np.unique(np.concatenate(held), return_counts=True)
-            some = c >= LOCAL
+            some = (c >= LOCAL) | (u < low)
             return pa.RecordBatch.from_arrays([pa.array(u[some].view(np.int64)), pa.array(c[some].astype(np.int64))], names=["h", "n"])
 
         for batch in it:
@@ -98,8 +102,9 @@ def frequent(docs: DataFrame, n: int) -> np.ndarray:
             yield flush()
 
     rows = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16")
-    top = rows.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    return top.column("h").to_numpy().view(U64)[::-1].copy()
+    top = stash(rows.orderBy(F.desc("n"), "h").limit(FREQUENT), "frequent").toArrow()
+    h = top.column("h").to_numpy().view(U64)
+    return h[np.lexsort((h, top.column("n").to_numpy()))]
 
 
 def describe(docs: DataFrame, n: int, num: int, den: int, often: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -148,8 +153,8 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.lit("|"), "text")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(token, node, size, shape, pos) of every prefix shingle."""
+def postings(classes: DataFrame, wanted: Bits | None = None) -> DataFrame:
+    """(token, node, size, shape, pos) of every prefix shingle, or of those that may be wanted."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -157,9 +162,11 @@ def postings(classes: DataFrame) -> DataFrame:
                 sets = [np.frombuffer(x, "<i8") for x in b.column("prefix").to_pylist()]
                 n = np.array([len(s) for s in sets], np.int64)
                 if n.sum():
-                    at = np.repeat(np.arange(len(n)), n)
-                    rows = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(b.column(c).take(rows) for c in ("node", "size", "shape")), pa.array(runs(np.zeros(len(n), np.int64), n).astype(np.int32))], names=["token", "node", "size", "shape", "pos"])
+                    token = np.concatenate(sets)
+                    some = np.flatnonzero(wanted.has(token)) if wanted else np.arange(len(token))
+                    rows = pa.array(np.repeat(np.arange(len(n)), n)[some])
+                    pos = runs(np.zeros(len(n), np.int64), n)[some].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(token[some]), *(b.column(c).take(rows) for c in ("node", "size", "shape")), pa.array(pos)], names=["token", "node", "size", "shape", "pos"])
 
     return classes.select("node", "size", "shape", "prefix").mapInArrow(run, "token long, node long, size long, shape long, pos int")
 
@@ -219,8 +226,9 @@ def fragments(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return found.join(nodes.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "size", "part", "segment").dropDuplicates(["node", "part"])
 
 
-def verify(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b): partial overlaps per fragment, summed per pair."""
+def verify(pairs: DataFrame, parts: DataFrame, num: int, den: int, stash: Stash) -> DataFrame:
+    """Links (a, b): what the fragments differ by, summed per pair, ROUND fragments at a time. Only pairs that still may differ
+    by so much go on to the next ones, and the segments of one round are all that is on its way at once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -229,14 +237,20 @@ def verify(pairs: DataFrame, parts: DataFrame, num: int, den: int) -> DataFrame:
                 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                     w = np.frombuffer(x + y, "<u8").copy()
                     w.sort()
-                    n.append(np.count_nonzero(w[1:] == w[:-1]))
-                yield pa.RecordBatch.from_arrays([*batch.select(["a", "b", "s"]).columns, pa.array(n, pa.int64())], names=["a", "b", "s", "n"])
-
-    left = parts.select(F.col("node").alias("a"), "part", F.col("segment").alias("x"), F.col("size").alias("sa"))
-    right = parts.select(F.col("node").alias("b"), "part", F.col("segment").alias("y"), F.col("size").alias("sb"))
-    both = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", (F.col("sa") + F.col("sb")).alias("s"), "x", "y")
-    counted = both.mapInArrow(run, "a long, b long, s long, n long").groupBy("a", "b", "s").agg(F.sum("n").alias("n"))
-    return counted.where(den * F.col("n") >= num * (F.col("s") - F.col("n"))).select("a", "b")
+                    n.append(len(w) - 2 * np.count_nonzero(w[1:] == w[:-1]))
+                yield pa.RecordBatch.from_arrays([*batch.select(["a", "b", "s", "d"]).columns, pa.array(n, pa.int64())], names=["a", "b", "s", "d", "n"])
+
+    pairs = pairs.select("a", "b", F.lit(0).cast("long").alias("d"))
+    for i in range(0, FRAGMENTS, ROUND):
+        some = parts.where(F.col("part").between(i, i + ROUND - 1))
+        left = some.select(F.col("node").alias("a"), "part", F.col("segment").alias("x"), F.col("size").alias("sa"))
+        right = some.select(F.col("node").alias("b"), "part", F.col("segment").alias("y"), F.col("size").alias("sb"))
+        both = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", (F.col("sa") + F.col("sb")).alias("s"), "d", "x", "y")
+        counted = both.mapInArrow(run, "a long, b long, s long, d long, n long").groupBy("a", "b", "s", "d").agg(F.sum("n").alias("n"))
+        counted = counted.select("a", "b", "s", (F.col("d") + F.col("n")).alias("d"))
+        before, pairs = pairs, stash(counted.where((num + den) * F.col("d") <= (den - num) * F.col("s")).select("a", "b", "d"), f"round{i}")
+        stash.drop(before)
+    return pairs.select("a", "b")
 
 
 def block_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int, columns: int = 4096) -> Iterator[tuple[int, int]]:
@@ -306,16 +320,16 @@ def join_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100)
 def join_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
     """As join_components, with root (the component's least node, null without shingles) and the columns `keep` of every row."""
     stash = Stash(docs.sparkSession)
-    found = stash(describe(docs, n, num, den, frequent(docs, n), keep), "sets")
+    found = stash(describe(docs, n, num, den, frequent(docs, n, num, den, stash), keep), "sets")
     # copies of one set have the same prefix and first fragment, whichever row of them is taken
     classes = found.where("size > 0").groupBy("d1", "d2", "size").agg(F.first("shape").alias("shape"), F.first("prefix").alias("prefix"), F.first("first").alias("first"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
     classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # ids are those that were written
     rows = stash(found.select("doc_id", "d1", "d2", "size", *keep), "rows")
     stash.drop(found)
-    every = postings(classes)
-    often = stash(every.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("node", "size", "shape", "pos")).alias("pivot")).where("k > 1"), "tokens")
-    index = stash(every.join(often, "token"), "index")
-    stash.drop(often)
+    often = stash(postings(classes).groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "tokens")
+    index = stash(postings(classes, Bits(often, "token", MARK_BITS)).join(often, "token"), "index")
+    whole, classes = classes, stash(classes.drop("prefix"), "classes")
+    stash.drop(often, whole)
 
     def side(df: DataFrame, s: str, *more: str) -> DataFrame:
         return df.select("token", F.col("node").alias(s), F.col("size").alias(f"s{s}"), F.col("pos").alias(f"p{s}"), F.col("shape").alias(f"f{s}"), *[F.col(c).alias(f"{c}{s}") for c in more])
@@ -332,11 +346,12 @@ def join_groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, keep
         near = stash(screen(pairs.select("a", "b").distinct(), classes.select("node", "size", "first"), num, den), f"near-{tag}")
         nodes = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
         parts = stash(fragments(docs, classes.join(nodes, "node", "left_semi"), n), f"parts-{tag}")
-        out = stash(verify(near, parts, num, den), f"links-{tag}")
+        out = verify(near, parts, num, den, stash)
         stash.drop(near, parts)
         return out
 
-    star = index.where(f"k > {NARROW} and node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("pivot.size").alias("sa"), F.col("pivot.pos").alias("pa"), F.col("pivot.shape").alias("fa"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("shape").alias("fb"))
+    pivots = index.where(f"k > {NARROW}").groupBy("token").agg(F.min(F.struct("node", "size", "shape", "pos")).alias("pivot"))
+    star = index.where(f"k > {NARROW}").join(pivots, "token").where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("pivot.size").alias("sa"), F.col("pivot.pos").alias("pa"), F.col("pivot.shape").alias("fa"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"), F.col("shape").alias("fb"))
     first = links(met(index.where(f"k <= {NARROW}")).select("a", "b").union(star.where(may_link(num, den)).select("a", "b")), "first")
     root = stash(components(stash, first), "linked")
     large = index.where(f"k > {NARROW}").select("token", "node", "size", "shape", "pos", "k").join(root, "node", "left").withColumn("c", F.coalesce("root", "node"))
