@@ -147,11 +147,14 @@ WITH {_GROUPS}, slot AS (SELECT l_orderkey AS id, l_linenumber AS pos, l_partkey
   FROM lineitem JOIN part ON p_partkey = l_partkey JOIN grp ON k = p_brand || '_' || p_size)
 SELECT id, pos, part, CASE WHEN len(names) > 1 AND n = len(names) THEN names[rn] ELSE array_to_string(names, ' or ') END AS name FROM slot""")
 def same_item_collision_assign(spark, sf_dir):
-    part = read(spark, sf_dir, "part").withColumn("k", T.observed_key(F.col("p_brand"), F.col("p_size").cast("string")))
-    slot = read(spark, sf_dir, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey")).join(groups(spark, sf_dir), "k")
-    w = Window.partitionBy("l_orderkey", "k")
-    slot = slot.withColumn("n", F.count("*").over(w)).withColumn("rn", F.row_number().over(w.orderBy("l_linenumber", "l_partkey")))
-    name = F.when((F.size("names") > 1) & (F.col("n") == F.size("names")), F.try_element_at("names", F.col("rn"))).otherwise(F.array_join("names", " or "))
+    part = read(spark, sf_dir, "part").select("p_partkey", T.observed_key(F.col("p_brand"), F.col("p_size").cast("string")).alias("k"))
+    slot = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(part, F.col("p_partkey") == F.col("l_partkey")).where("k is not null")
+    w = Window.partitionBy("l_orderkey", "k").orderBy("l_linenumber", "l_partkey")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    slot = slot.withColumn("n", F.count("*").over(every)).withColumn("rn", F.row_number().over(w))
+    # names come after the window, so that no sort has to hold them
+    slot = slot.join(groups(spark, sf_dir).withColumn("all", F.array_join("names", " or ")), "k")
+    name = F.when((F.size("names") > 1) & (F.col("n") == F.size("names")), F.try_element_at("names", F.col("rn"))).otherwise(F.col("all"))
     return slot.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), name.alias("name"))
 
 
