@@ -47,6 +47,12 @@ def files(spark: SparkSession, root: str, globs: Sequence[str], names: Sequence[
     return raw.where(path.rlike(form)).select(F.regexp_extract(path, form, 1).alias("dir"), F.regexp_extract(path, form, 2).alias("file"), F.make_valid_utf8("value").alias("text"))
 
 
+def packed(archive: DataFrame, globs: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """The same of an archive that is kept as a table (path, text), many records to a file."""
+    form = rf"^({'|'.join(map(pattern, globs))})/({'|'.join(map(re.escape, names))})$"
+    return archive.where(F.col("path").rlike(form)).select(F.regexp_extract("path", form, 1).alias("dir"), F.regexp_extract("path", form, 2).alias("file"), F.make_valid_utf8("text").alias("text"))
+
+
 def parse_document(text: Column, title: str, build: str = BUILD, level: str = LEVEL) -> Column:
     """struct(name, build, level, blocks) of a sectioned document; null unless it has nine lines and the title's line.
 
@@ -68,9 +74,14 @@ def parse_document(text: Column, title: str, build: str = BUILD, level: str = LE
 def records(spark: SparkSession, root: str, globs: Sequence[str], sources: dict[str, str], title: str) -> DataFrame:
     """(dir, source, name, build, level, blocks): one row per folder that has a document which parses, of the first of the
     sources (file name to source, best first) whose document does."""
+    return preferred(files(spark, root, globs, list(sources)), sources, title)
+
+
+def preferred(found: DataFrame, sources: dict[str, str], title: str) -> DataFrame:
+    """The records among (dir, file, text)."""
     order = F.create_map(*[F.lit(x) for i, f in enumerate(sources) for x in (f, i)])
     kind = F.create_map(*[F.lit(x) for f, s in sources.items() for x in (f, s)])
-    read = files(spark, root, globs, list(sources)).select("dir", "file", parse_document(F.col("text"), title).alias("p")).where("p is not null")
+    read = found.select("dir", "file", parse_document(F.col("text"), title).alias("p")).where("p is not null")
     best = read.groupBy("dir").agg(F.min_by(F.struct(kind[F.col("file")].alias("source"), "p"), order[F.col("file")]).alias("x"))
     return best.select("dir", "x.source", "x.p.*")
 

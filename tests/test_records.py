@@ -177,3 +177,21 @@ def test_export_vectors(spark, tmp_path):
     df = spark.createDataFrame([("b", [3.0, 4.0]), ("a", [0.0, 2.0]), ("unlabeled_x", [1.0, 1.0]), ("zero", [0.0, 0.0])], "key string, vec array<float>")
     sinks.export_vectors(df, f"file://{tmp_path}/vec", "key", "vec")
     assert [(r.key, r.vec) for r in spark.read.parquet(f"file://{tmp_path}/vec").orderBy("key").collect()] == [("a", [0.0, 1.0]), ("b", [0.6, 0.8])]
+
+
+def test_packed_archive(spark, archive):
+    """A table of paths and texts gives the records that the folders give."""
+    texts = [(os.path.relpath(p, archive), open(p, encoding="utf-8", errors="replace", newline="").read()) for p in glob.glob(f"{archive}/**/*.txt", recursive=True)]
+    table = spark.createDataFrame(texts, "path string, text string")
+    for globs in (["captures/*/*"], ["captures/campaign/*"], ["captures/none/*"]):
+        found = records.preferred(records.packed(table, globs, list(SOURCES)), SOURCES, TITLE)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, records.records(spark, f"file://{archive}", globs, SOURCES, TITLE).collect()))
+
+
+def test_archive_has_few_files(spark, monkeypatch, tmp_path):
+    """The files of an archive do not grow with its records."""
+    from quarry.plans import archive as made
+
+    monkeypatch.setattr(made, "shared_folder", lambda spark: f"file://{tmp_path}")
+    assert made.record_discovery(spark, "/root/testdata/sf0.01").count() == 65
+    assert len(glob.glob(f"{tmp_path}/**/part-*", recursive=True)) < 10
