@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,9 +36,16 @@ def islands(df: DataFrame, keys: list[str], order: list[str], flag: str, level:
 
 def sections(df: DataFrame, key: str, lines: str, mark: str = "--------") -> DataFrame:
     """(key, section, pos, line): lines numbered by the separators before them."""
-    flat = df.select(key, F.posexplode(lines).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos")
-    return flat.withColumn("section", F.sum((F.col("line") == mark).cast("int")).over(w)).where(F.col("line") != mark).select(key, "section", "pos", "line")
+    cut = df.select(key, F.posexplode(blocks(F.col(lines), mark)).alias("section", "_b"))
+    return cut.select(key, "section", "_b.at", F.posexplode("_b.lines").alias("_i", "line")).where("line is not null").select(key, "section", (F.col("at") + F.col("_i")).alias("pos"), "line")
+
+
+def blocks(lines: Column, mark: str = "--------") -> Column:
+    """Array of struct(at, lines) of the parts of an array between its separators: the part's first position and its lines. It is
+    made within the row, in one pass, so nothing is sorted or shuffled."""
+    at = F.filter(F.transform(lines, lambda x, i: F.when(x == mark, i)), lambda i: i.isNotNull())
+    begin, end = F.concat(F.array(F.lit(0)), F.transform(at, lambda i: i + 1)), F.concat(at, F.array(F.size(lines)))
+    return F.transform(F.arrays_zip(begin.alias("b"), end.alias("e")), lambda x: F.struct(x["b"].alias("at"), F.slice(lines, x["b"] + 1, x["e"] - x["b"]).alias("lines")))
 
 
 def aligned(df: DataFrame, key: str, left: str, right: str) -> DataFrame:

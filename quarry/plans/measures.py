@@ -151,15 +151,15 @@ def two_pass_fill(spark, sf_dir):
 @query("SELECT l_orderkey AS id, CAST(l_linenumber AS INTEGER) AS section, l_returnflag AS item, l_linestatus || ' (Tier: ' || (l_linenumber % 3 + 1) || ')' AS attachment FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_returnflag, l_linestatus, l_quantity) = 1")
 def sections_roundtrip(spark, sf_dir):
     """Orders rendered as sectioned documents, then parsed back."""
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), "l_linenumber").agg(F.min(F.struct("l_partkey", "l_returnflag", "l_linestatus")).alias("v"))
-    block = F.array(F.lit("--------"), F.col("v.l_returnflag"), F.concat(F.col("v.l_linestatus"), F.lit(" (Tier: "), (F.col("l_linenumber") % 3 + 1).cast("string"), F.lit(")")))
-    docs = lines.withColumn("b", F.struct("l_linenumber", block.alias("b"))).groupBy("id").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    text = docs.select("id", F.array_join(F.concat(F.array(F.lit("Sample Title")), F.flatten(F.transform("bs", lambda x: x["b"]))), "\n").alias("text"), F.transform("bs", lambda x: x["l_linenumber"]).alias("ns"))
-    parsed = S.sections(text.withColumn("lines", F.split("text", "\n")), "id", "lines").where("section > 0")
-    w = Window.partitionBy("id", "section").orderBy("pos")
-    rows = parsed.withColumn("rn", F.row_number().over(w)).groupBy("id", "section").agg(F.max(F.when(F.col("rn") == 1, F.col("line"))).alias("item"), F.max(F.when(F.col("rn") == 2, F.col("line"))).alias("attachment"))
-    number = text.select("id", F.posexplode("ns").alias("i", "n"))
-    return rows.join(number.withColumn("section", F.col("i") + 1).drop("i"), ["id", "section"]).select("id", F.col("n").cast("int").alias("section"), "item", "attachment")
+    line = F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")
+    docs = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(line)).alias("all"))
+    first = lambda x, i: (i == 0) | ~x["l_linenumber"].eqNullSafe(F.get("all", i - 1)["l_linenumber"])
+    block = lambda x: F.array(F.lit("--------"), x["l_returnflag"], F.concat(x["l_linestatus"], F.lit(" (Tier: "), (x["l_linenumber"] % 3 + 1).cast("string"), F.lit(")")))
+    docs = docs.select("id", F.filter("all", first).alias("bs"))
+    text = docs.select("id", F.array_join(F.concat(F.array(F.lit("Sample Title")), F.flatten(F.transform("bs", block))), "\n").alias("text"), F.transform("bs", lambda x: x["l_linenumber"]).alias("ns"))
+    parsed = text.select("id", "ns", F.split("text", "\n").alias("lines")).select("id", "ns", F.posexplode(S.blocks(F.col("lines"))).alias("section", "b"))
+    rows = parsed.where("section between 1 and size(ns) and size(b.lines) > 0")
+    return rows.select("id", F.get("ns", F.col("section") - 1).cast("int").alias("section"), F.get("b.lines", F.lit(0)).alias("item"), F.get("b.lines", F.lit(1)).alias("attachment"))
 
 
 @query()
