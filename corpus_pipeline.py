@@ -32,8 +32,10 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone = F.col("root").isNull()
     key = ["root", F.when(alone, F.col("doc_id")).alias("_id"), F.when(alone, F.col("_row")).alias("_own")]
     least = rows.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node", "_row")).alias("x")).select("x.doc_id", "x._row")
-    one = marked.join(least, marked.doc_id.eqNullSafe(least.doc_id) & (marked["_row"] == least["_row"]), "left_semi")
-    return one.select(*COLUMNS).dropDuplicates()
+    # one key alone for the join, so that equal rows lie together after it and texts are not shuffled again
+    same = F.coalesce(marked.doc_id == least.doc_id, marked.doc_id.isNull() & least.doc_id.isNull())
+    one = marked.join(least, (marked["_row"] == least["_row"]) & same, "left_semi")
+    return one.dropDuplicates(["_row", *COLUMNS]).select(*COLUMNS)
 
 
 def suffix_arrays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

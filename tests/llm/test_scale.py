@@ -1,12 +1,14 @@
 """What keeps disk and groups from growing faster than the input."""
 
 import glob
+import re
 import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarry.llm import jaccard_join as jj
 from quarry.llm.common import Stash
 
@@ -47,3 +49,19 @@ def test_shuffles_of_a_written_table_are_freed(spark):
         time.sleep(0.2)
     assert not held() - before and out.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_ngram_join_shuffles_texts_once(spark):
+    """Equal rows, rows without words and null ids are one each, and no exchange is dealt by whole texts."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, f"{text} more"), (None, text), (3, ""), (3, ""), (None, None), (None, None), (4, "other")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.ngram_join(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(1, text), (3, ""), (None, None), (4, "other")]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "hashpartitioning(_row#" in plan and not re.search(r"hashpartitioning\([^)]*text#", plan)
